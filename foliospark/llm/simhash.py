@@ -18,6 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import cut, small
 
@@ -57,7 +58,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in text], dtype="int64")
 
