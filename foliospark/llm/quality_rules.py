@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from .common import GAP, WORD, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Classes of characters, as patterns; what is left over is the last class.
-CLASSES = {"lower": r"[\p{Ll}\p{Lo}]", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "sentence": r"[.,;:?'\"()-]", "symbol": r"[#*$%&|<>!~^=+@_/\\{}\[\]]"}
+#: Classes of characters, as they stand in brackets; what is left over is the last class.
+CLASSES = {"lower": r"\p{Ll}\p{Lo}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "sentence": r".,;:?'\"()-", "symbol": r"#*$%&|<>!~^=+@_/\\{}\[\]"}
 MAX_CLASS_DISTANCE = 0.30  # Jensen-Shannon distance (root of the divergence in bits)
 MAX_WORD_DISTANCE = 0.70
 COMMON_WORDS = 24  # per language
 MIN_CHARS, MIN_COMMON = 200, 60  # below these a text's histogram is not judged
 
 
-def _n(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def _n(text: Column, chars: str) -> Column:
+    """How many characters of a class a text has: what is left when runs of all others are taken out."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
 def repeats(w: Column) -> Column:
@@ -52,7 +53,7 @@ def base(docs: DataFrame) -> DataFrame:
         *docs.columns,
         F.size("__w").cast("long").alias("n_words"),
         F.coalesce(F.length(F.regexp_replace("text", GAP, "")), F.lit(0)).cast("long").alias("word_chars"),
-        F.coalesce(_n(F.col("text"), r"[#*$%&|<>]"), F.lit(0).cast("long")).alias("n_symbols"),
+        F.coalesce(_n(F.col("text"), r"#*$%&|<>"), F.lit(0).cast("long")).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("__i", lambda i: F.array(i, i + 1, i + 2))))), F.lit(0)).cast("long").alias("n_repeat_words"),
         (F.col("__w") if "__w" not in docs.columns else F.lit(None)).alias("__words"),
