@@ -118,4 +118,5 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("class_distance", jensen_shannon(_shares(F.col("__c")), _shares(F.col("ref_classes"))))
     rows = rows.withColumn("word_distance", jensen_shannon(_shares(F.col("__k")), _shares(F.col("ref_counts"))))
     verdict = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "class_distance", "word_distance")
+    # written once: filters on the verdict would otherwise be pushed into the rules and work them out again
+    return cut(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "class_distance", "word_distance"))
