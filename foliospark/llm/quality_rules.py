@@ -26,37 +26,45 @@ def _n(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
-def repeats(w: Column) -> Column:
-    """Words of the array w that lie in a window of three words that occurs twice or more.
-
-    Windows are told apart by 64-bit hashes. Without a repeated window nothing is sorted.
-    """
+def windows(w: Column) -> Column:
+    """64-bit hashes of the windows of three words of the array w, in order."""
     size = F.size(w)
     at = F.when(size >= 3, F.sequence(F.lit(0), size - 3)).otherwise(F.expr("cast(array() as array<int>)"))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)))
-    return hashes
+    return F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+
+def uncommon(text: Column) -> Column:
+    """A text without white space and the letters of the class lower: all else is counted in what is left."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\x20\x09-\x0D{CLASSES['lower']}]+", "")
 
 
-def _covered(hashes: Column) -> Column:
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return pairs
+def solid(text: Column) -> Column:
+    """How many characters a text has besides white space."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), GAP, "")).cast("long")
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with the base numbers: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    out = docs.withColumn("__w", words(F.col("text"))).withColumn("__h", repeats(F.col("__w")))
-    out = out.withColumn("__same", F.size(F.array_distinct("__h")) == F.size("__h"))
-    out = out.withColumn("__s", F.when(F.col("__same"), F.expr("cast(null as array<struct<h:bigint,i:int>>)")).otherwise(_covered(F.col("__h"))))
-    out = out.withColumn("__i", F.transform(F.filter("__s", lambda x, k: (F.get(F.col("__s"), k - 1)["h"] == x["h"]) | F.coalesce(F.get(F.col("__s"), k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.regexp_replace(x, GAP, "")) > 0)
+    """docs (doc_id, text, ...) with the base numbers: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+
+    Windows are told apart by 64-bit hashes; a text without a repeated window sorts nothing. Further columns for judge():
+    __words and __rest, what uncommon() leaves of the text.
+    """
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    out = docs.withColumns({"__words": words(F.col("text")), "__l": lines, "__rest": uncommon(F.col("text")), "word_chars": solid(F.col("text"))})
+    out = out.withColumn("__h", windows(F.col("__words")))
+    pairs = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), pairs))
+    again = F.filter("__s", lambda x, k: (F.get(F.col("__s"), k - 1)["h"] == x["h"]) | F.coalesce(F.get(F.col("__s"), k + 1)["h"] == x["h"], F.lit(False)))
+    out = out.withColumn("__i", F.transform(again, lambda x: x["i"]))
     return out.select(
         *docs.columns,
-        F.size("__w").cast("long").alias("n_words"),
-        F.coalesce(F.length(F.regexp_replace("text", GAP, "")), F.lit(0)).cast("long").alias("word_chars"),
-        F.coalesce(_n(F.col("text"), r"#*$%&|<>"), F.lit(0).cast("long")).alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size("__words").cast("long").alias("n_words"),
+        "word_chars",
+        _n(F.col("__rest"), r"#*$%&|<>").alias("n_symbols"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("__i", lambda i: F.array(i, i + 1, i + 2))))), F.lit(0)).cast("long").alias("n_repeat_words"),
-        (F.col("__w") if "__w" not in docs.columns else F.lit(None)).alias("__words"),
+        "__words",
+        "__rest",
     )
 
 
@@ -72,14 +80,14 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
-def classes(text: Column) -> Column:
-    """Counts of a text's characters by class, white space left out; the last class is the rest."""
-    named = [F.coalesce(_n(text, p), F.lit(0).cast("long")) for p in CLASSES.values()]
-    solid = F.coalesce(F.length(F.regexp_replace(text, GAP, "")), F.lit(0)).cast("long")
-    rest = solid
-    for c in named:
-        rest = rest - c
-    return F.array(*named, F.greatest(rest, F.lit(0).cast("long")))
+def classes(rest: Column, n_solid: Column) -> Column:
+    """Counts of a text's characters by class, white space left out, from what uncommon() and solid() give for it.
+
+    The last class is the rest.
+    """
+    others = [_n(rest, p) for name, p in CLASSES.items() if name != "lower"]
+    left = F.length(rest).cast("long")
+    return F.array(n_solid - left, *others, F.greatest(left - sum(others), F.lit(0).cast("long")))
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -88,9 +96,9 @@ def references(docs: DataFrame) -> DataFrame:
     Ties of words go by the word. A null language is one of its own. Rows per language and word are summed where they
     are read, before they are shuffled.
     """
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.lower("text").alias("low"), classes(F.col("text")).alias("c"))
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.lower("text").alias("low"), uncommon(F.col("text")).alias("rest"), solid(F.col("text")).alias("solid"))
     n = len(CLASSES) + 1
-    chars = rows.groupBy("lang").agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(n)]).alias("ref_classes"))
+    chars = rows.select("lang", classes(F.col("rest"), F.col("solid")).alias("c")).groupBy("lang").agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(n)]).alias("ref_classes"))
     counts = rows.select("lang", F.explode(words(F.col("low"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("r", rank).filter(F.col("r") <= COMMON_WORDS).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("t"))
@@ -112,9 +120,9 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     rows = rows.join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, "__lang", "left")
     hits = F.filter(F.transform("__words", F.lower), lambda w: F.array_contains("ref_words", w))
-    rows = rows.withColumn("__c", F.when(~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS), classes(F.col("text"))))
+    rows = rows.withColumn("__c", F.when(~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS), classes(F.col("__rest"), F.col("word_chars"))))
     rows = rows.withColumn("__hits", F.when(~F.col("base_failed"), hits))
-    rows = rows.withColumn("__k", F.when(F.size("__hits") >= MIN_COMMON, F.transform("ref_words", lambda r: F.size(F.filter("__hits", lambda w: w == r)).cast("long"))))
+    rows = rows.withColumn("__k", F.when(F.size("__hits") >= MIN_COMMON, F.transform("ref_words", lambda r: (F.size("__hits") - F.size(F.array_remove("__hits", r))).cast("long"))))
     rows = rows.withColumn("class_distance", jensen_shannon(_shares(F.col("__c")), _shares(F.col("ref_classes"))))
     rows = rows.withColumn("word_distance", jensen_shannon(_shares(F.col("__k")), _shares(F.col("ref_counts"))))
     verdict = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
