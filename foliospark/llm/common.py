@@ -36,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, words
+from .common import WORD, cut, small, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Classes of characters, as they stand in brackets; what is left over is the last class.
@@ -19,6 +19,7 @@ MAX_CLASS_DISTANCE = 0.30  # Jensen-Shannon distance (root of the divergence in
 MAX_WORD_DISTANCE = 0.70
 COMMON_WORDS = 24  # per language
 MIN_CHARS, MIN_COMMON = 200, 60  # below these a text's histogram is not judged
+MOST_LANGUAGES = 10_000  # up to so many the references are broadcast, beyond they are joined by a shuffle
 
 
 def _n(text: Column, chars: str) -> Column:
@@ -28,9 +29,8 @@ def _n(text: Column, chars: str) -> Column:
 
 def windows(w: Column) -> Column:
     """64-bit hashes of the windows of three words of the array w, in order."""
-    size = F.size(w)
-    at = F.when(size >= 3, F.sequence(F.lit(0), size - 3)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.slice(hashes, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
 
 
 def uncommon(text: Column) -> Column:
@@ -38,11 +38,6 @@ def uncommon(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\x20\x09-\x0D{CLASSES['lower']}]+", "")
 
 
-def solid(text: Column) -> Column:
-    """How many characters a text has besides white space."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), GAP, "")).cast("long")
-
-
 def base(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with the base numbers: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
@@ -50,8 +45,8 @@ def base(docs: DataFrame) -> DataFrame:
     __words and __rest, what uncommon() leaves of the text.
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    out = docs.withColumns({"__words": words(F.col("text")), "__l": lines, "__rest": uncommon(F.col("text")), "word_chars": solid(F.col("text"))})
-    out = out.withColumn("__h", windows(F.col("__words")))
+    out = docs.withColumns({"__words": words(F.col("text")), "__l": lines, "__rest": uncommon(F.col("text"))})
+    out = out.withColumns({"__h": windows(F.col("__words")), "word_chars": F.length(F.array_join("__words", "")).cast("long")})
     pairs = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), pairs))
     again = F.filter("__s", lambda x, k: (F.get(F.col("__s"), k - 1)["h"] == x["h"]) | F.coalesce(F.get(F.col("__s"), k + 1)["h"] == x["h"], F.lit(False)))
@@ -81,7 +76,7 @@ def _shares(counts: Column) -> Column:
 
 
 def classes(rest: Column, n_solid: Column) -> Column:
-    """Counts of a text's characters by class, white space left out, from what uncommon() and solid() give for it.
+    """Counts of a text's characters by class, white space left out, from what uncommon() leaves of it.
 
     The last class is the rest.
     """
@@ -90,19 +85,22 @@ def classes(rest: Column, n_solid: Column) -> Column:
     return F.array(n_solid - left, *others, F.greatest(left - sum(others), F.lit(0).cast("long")))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """One row per language: the summed class counts and the COMMON_WORDS most frequent words with their counts.
+def common_words(docs: DataFrame) -> DataFrame:
+    """One row per language: its COMMON_WORDS most frequent words in lower case (ref_words) and their counts (ref_counts).
 
-    Ties of words go by the word. A null language is one of its own. Rows per language and word are summed where they
-    are read, before they are shuffled.
+    Ties of words go by the word. A null language is one of its own. Counts are summed where texts are read, before
+    they are shuffled.
     """
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.lower("text").alias("low"), uncommon(F.col("text")).alias("rest"), solid(F.col("text")).alias("solid"))
-    n = len(CLASSES) + 1
-    chars = rows.select("lang", classes(F.col("rest"), F.col("solid")).alias("c")).groupBy("lang").agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(n)]).alias("ref_classes"))
-    counts = rows.select("lang", F.explode(words(F.col("low"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    each = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(words(F.col("text"))).alias("word"))
+    counts = each.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("r", rank).filter(F.col("r") <= COMMON_WORDS).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("t"))
-    return chars.join(top, "lang", "left").select("lang", "ref_classes", F.coalesce("t.word", F.expr("cast(array() as array<string>)")).alias("ref_words"), F.coalesce("t.n", F.expr("cast(array() as array<bigint>)")).alias("ref_counts"))
+    return top.select("lang", F.col("t.word").alias("ref_words"), F.col("t.n").alias("ref_counts"))
+
+
+def _few(known: DataFrame) -> DataFrame:
+    """known (one row per language) with a broadcast hint, if it is as small as it should be."""
+    return small(known, MOST_LANGUAGES)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -111,20 +109,24 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Null texts have no words and fail; repeated rows get equal verdicts; an empty table gives an empty result. Other
     columns are ignored.
-    """
-    from .common import cut
 
+    Texts are read twice: for the common words, and for all else. What the second pass finds is written once, class counts
+    included, so that the class references are sums over narrow rows and filters on the verdict run no rule again.
+    """
     docs = docs.select("doc_id", "text", "lang")
-    known = cut(references(docs)).withColumnRenamed("lang", "__lang")
+    known = cut(common_words(docs)).withColumnRenamed("lang", "__lang")
     rows = base(docs).withColumn("__lang", F.coalesce("lang", F.lit("")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    rows = rows.join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, "__lang", "left")
+    rows = rows.join(_few(known), "__lang", "left")
     hits = F.filter(F.transform("__words", F.lower), lambda w: F.array_contains("ref_words", w))
-    rows = rows.withColumn("__c", F.when(~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS), classes(F.col("__rest"), F.col("word_chars"))))
-    rows = rows.withColumn("__hits", F.when(~F.col("base_failed"), hits))
+    rows = rows.withColumns({"__c": classes(F.col("__rest"), F.col("word_chars")), "__hits": F.when(~F.col("base_failed"), hits)})
     rows = rows.withColumn("__k", F.when(F.size("__hits") >= MIN_COMMON, F.transform("ref_words", lambda r: (F.size("__hits") - F.size(F.array_remove("__hits", r))).cast("long"))))
-    rows = rows.withColumn("class_distance", jensen_shannon(_shares(F.col("__c")), _shares(F.col("ref_classes"))))
     rows = rows.withColumn("word_distance", jensen_shannon(_shares(F.col("__k")), _shares(F.col("ref_counts"))))
+    numbers = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    rows = cut(rows.select(*numbers, "__lang", "__c", "word_distance"))
+    totals = rows.groupBy("__lang").agg(F.array(*[F.sum(F.get("__c", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
+    rows = rows.join(_few(cut(totals)), "__lang", "left")
+    judged = F.when(~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS), F.col("__c"))
+    rows = rows.withColumn("class_distance", jensen_shannon(_shares(judged), _shares(F.col("ref_classes"))))
     verdict = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    # written once: filters on the verdict would otherwise be pushed into the rules and work them out again
-    return cut(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "class_distance", "word_distance"))
+    return rows.select(*numbers, (~F.col("base_failed") & verdict).alias("kept"), "class_distance", "word_distance")
