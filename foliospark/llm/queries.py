@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lm_score, mixing, quality_gam, quality_rules, sharding, simhash, url_filter, warc
+from . import decontaminate, html_extract, lm_score, mixing, quality_gam, quality_rules, sharding, simhash, sql, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,4 +52,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_sharding, op4_quality_rules, op5_warc, op6_url_filters, op7_quality_classifier, op8_lm_scoring, op9_mixing, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)

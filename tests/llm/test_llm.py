@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, html_extract, lm_score, mixing, quality_gam, quality_rules, sharding, simhash, url_filter, warc
+from foliospark.llm import decontaminate, html_extract, lm_score, mixing, quality_gam, quality_rules, queries, sharding, simhash, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, seed long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -213,6 +214,16 @@ def test_url_filter(spark):
     assert got[8:] == [(None, "allow"), (None, "allow"), (None, "block"), (None, "block"), ("org/", "allow")]
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, sf, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_globs_against_regex():
     rng = np.random.default_rng(1)
     globs = ["".join(rng.choice(list("ab*/"), 5)) for _ in range(60)]
