@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive, tags negative; a linear scan finds the contiguous region
 of highest score. Weights are log odds of a token's kind inside against outside the content of labelled pages: pages that
-mark their content themselves (one article or main element) label it for the others. What is never content (menus,
+mark their content themselves (article or main elements) label it for the others. On those pages, too, the scan decides:
+crossing the bound of such an element only costs score, and words outside count less. What is never content (menus,
 adverts, forms, comments and the like, known by element, role or class) is left out of the sequence first.
 """
 
@@ -29,6 +30,8 @@ BLOCK = {
     "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CONTENT = {"article", "main"}
+BOUND = -50.0  # score of leaving a content element, and of entering the outermost: what lies beyond must outweigh it
+OUTSIDE = 0.5  # factor of a word's score outside all content elements of a page that has some
 #: Elements, roles and words of class or id that are never content.
 SKIP = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "head", "label", "option"}
 SKIP_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
@@ -60,9 +63,9 @@ def _skipped(name: str, attributes: str, in_content: bool) -> bool:
 def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
     """(sequence, blocks): the page's tokens outside what is skipped, and the texts of its blocks.
 
-    A token is (kind, block, in content): kind is a tag ('<p>', '</p>' both as 'p'), or 'word' or 'linked' with as many
-    tokens as the block has words. in content: within an article or main element. A text without a place yet, white
-    space alone, makes no block.
+    A token is (kind, block, in content): kind is a tag that begins ('<p>' as 'p'), '/' for a bound of a content element
+    (the end of each, and the begin of an outermost one), or 'word' or 'linked' with as many tokens as the block has
+    words. in content: within an article or main element. A text without a place yet, white space alone, makes no block.
     """
     seq: list[tuple[str, int, bool]] = []
     blocks: list[str] = []
@@ -83,8 +86,11 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
         nonlocal skip, content, links
         while len(stack) > to:
             name, was = stack.pop()
+            if name in CONTENT:
+                if not skip:
+                    seq.append(("/", -1, True))
+                content -= 1
             skip -= was
-            content -= name in CONTENT
             links -= name == "a"
 
     at, end = 0, len(page)
@@ -123,7 +129,10 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
             was = _skipped(name, m[3], content > 0)
             stack.append((name, was))
             skip += was
-            content += name in CONTENT
+            if name in CONTENT:
+                if not skip and not content:
+                    seq.append(("/", -1, False))
+                content += 1
             links += name == "a"
     flush()
     return seq, blocks
@@ -131,9 +140,9 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
 
 def count_labelled(page: str) -> tuple[Counter, Counter]:
     """Kinds of tokens inside and outside the content of a page that marks it; both empty for others."""
-    seq, _ = parse(page)
-    inside = Counter(k for k, _, c in seq if c)
-    return (inside, Counter(k for k, _, c in seq if not c)) if inside["word"] else (Counter(), Counter())
+    seq = [(k, c) for k, _, c in parse(page)[0] if k != "/"]
+    inside = Counter(k for k, c in seq if c)
+    return (inside, Counter(k for k, c in seq if not c)) if inside["word"] else (Counter(), Counter())
 
 
 def weights(inside: Counter, outside: Counter) -> dict[str, float]:
@@ -161,15 +170,11 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     seq, blocks = parse(page or "")
     if not blocks:
         return ""
-    marked = {b for k, b, c in seq if c and b >= 0}
-    if marked:  # content elements bound the region: what lies outside them counts like a tag
-        scores = [(weight.get(k, -0.5) if c or b < 0 else -3.0) if b < 0 or not c else 1.0 for k, b, c in seq]
-    else:
-        scores = [weight.get(k, -0.5) for k, _, _ in seq]
+    marked = any(c and b >= 0 for _, b, c in seq)  # an element without words bounds nothing
+    outside, bound = (OUTSIDE, BOUND) if marked else (1.0, 0.0)
+    scores = [bound if k == "/" else weight.get(k, -0.5) * (outside if k == "word" and not c else 1.0) for k, _, c in seq]
     lo, hi = best_region(scores)
     taken = {b for _, b, _ in seq[lo:hi] if b >= 0}
-    if marked:  # blocks at the edge of the element that the region lies in belong to it
-        taken = {b for b in marked if taken & marked} or taken
     return "\n".join(x for b, x in enumerate(blocks) if b in taken)
 
 

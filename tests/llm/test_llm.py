@@ -272,6 +272,18 @@ def test_html_extraction(spark):
     assert html_extract.main_text(table.limit(0)).count() == 0
 
 
+def test_html_scan_decides_among_articles(spark):
+    teaser = "<article><h3><a href=/%d>Story %d</a></h3><p>A short teaser that leads to another page.</p></article>"
+    words = "\n".join(f"<p>Paragraph {k} of the long text " + "goes on and on " * 20 + "</p>" for k in range(6))
+    cards = "".join(teaser % (k, k) for k in range(4))
+    page = f"<body><main>{cards}<article><h1>The long one</h1>{words}</article>{cards}</main><div>Some words outside.</div></body>"
+    plain = f"<body><article><p>Only a promo of few words.</p></article><div>{words}</div></body>"
+    table = spark.createDataFrame([(1, None, page), (2, None, plain)], "page_id long, url string, html string")
+    one, two = (r.text for r in html_extract.main_text(table).orderBy("page_id").collect())
+    assert one.startswith("The long one\nParagraph 0") and one.count("Paragraph") == 6 and "teaser" not in one and "Story" not in one and "outside" not in one
+    assert two.count("Paragraph") == 6
+
+
 def test_best_region():
     assert html_extract.best_region([-1, 2, 3, -1, 4, -9, 5]) == (1, 5)
     assert html_extract.best_region([-1.0]) == (0, 0) and html_extract.best_region([]) == (0, 0)
