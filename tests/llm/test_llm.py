@@ -110,6 +110,13 @@ def test_classifier_held_out(spark, sf, docs, odd):
     assert set(quality_gam.keep_good(odd, labels).columns) == set(odd.columns)
 
 
+def test_classifier_counts_every_word():
+    top = quality_gam.FEATURES.index("top_word")
+    for text in (" ".join(["x%d" % k for k in range(20)] + ["same"] * 10), "a b " * 40 + "c d e " * 200 + "z " * 300, "", None):
+        w = (text or "").split()
+        assert quality_gam.features(text)[top] == max(Counter(w).values(), default=0) / max(1, len(w))
+
+
 def test_decontamination(spark, odd):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     swapped = item.replace("delta", "DIFFERENT").replace("kappa", "other")
