@@ -1,8 +1,9 @@
 """Quality rules with a distribution test, in built-in functions only.
 
 A text fails on its own if it has few words or mostly repeats itself. Of the others, the histogram of character classes
-and that of common words are held against references of the text's language, which are summed up over all
-documents in one pass. The distance is Jensen-Shannon's; texts too short for a stable histogram are not judged by it.
+and that of common words, with one bin for all other words, are held against references of the text's language, which
+are summed up over all documents. The distance is Jensen-Shannon's, for words as a share of that of a text without
+any common word; texts too short for a stable histogram are not judged by it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ CLASSES = {"lower": r"\p{Ll}\p{Lo}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "se
 MAX_CLASS_DISTANCE = 0.30  # Jensen-Shannon distance (root of the divergence in bits)
 MAX_WORD_DISTANCE = 0.70
 COMMON_WORDS = 24  # per language
-MIN_CHARS, MIN_COMMON = 200, 60  # below these a text's histogram is not judged
+MIN_CHARS = 200  # below this a text's histogram of classes is not judged
+MIN_JUDGED_WORDS, MIN_COMMON = 150, 60  # a text with fewer words, and fewer common ones, is not judged by its words
 MOST_LANGUAGES = 10_000  # up to so many the references are broadcast, beyond they are joined by a shuffle
 
 
@@ -70,11 +72,20 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
 
 
+def _sum(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+    total = _sum(counts)
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
+def _with_others(counts: Column, n: Column) -> Column:
+    """Counts of common words with one more bin: all others of n words."""
+    return F.concat(counts, F.array(n - _sum(counts)))
+
+
 def classes(rest: Column, n_solid: Column) -> Column:
     """Counts of a text's characters by class, white space left out, from what uncommon() leaves of it.
 
@@ -110,8 +121,12 @@ def judge(docs: DataFrame) -> DataFrame:
     Null texts have no words and fail; repeated rows get equal verdicts; an empty table gives an empty result. Other
     columns are ignored.
 
-    Texts are read twice: for the common words, and for all else. What the second pass finds is written once, class counts
-    included, so that the class references are sums over narrow rows and filters on the verdict run no rule again.
+    word_distance is 1 for a text without any common word of its language, and null for texts of few words and few
+    common ones.
+
+    Texts are read twice: for the common words, and for all else. What the second pass finds is written once, counts of
+    classes and common words included, so that references are sums over narrow rows and filters on the verdict run no
+    rule again.
     """
     docs = docs.select("doc_id", "text", "lang")
     known = cut(common_words(docs)).withColumnRenamed("lang", "__lang")
@@ -120,12 +135,18 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = rows.join(_few(known), "__lang", "left")
     hits = F.filter(F.transform("__words", F.lower), lambda w: F.array_contains("ref_words", w))
     rows = rows.withColumns({"__c": classes(F.col("__rest"), F.col("word_chars")), "__hits": F.when(~F.col("base_failed"), hits)})
-    rows = rows.withColumn("__k", F.when(F.size("__hits") >= MIN_COMMON, F.transform("ref_words", lambda r: (F.size("__hits") - F.size(F.array_remove("__hits", r))).cast("long"))))
-    rows = rows.withColumn("word_distance", jensen_shannon(_shares(F.col("__k")), _shares(F.col("ref_counts"))))
+    rows = rows.withColumn("__k", F.transform("ref_words", lambda r: (F.size("__hits") - F.size(F.array_remove("__hits", r))).cast("long")))
     numbers = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    rows = cut(rows.select(*numbers, "__lang", "__c", "word_distance"))
-    totals = rows.groupBy("__lang").agg(F.array(*[F.sum(F.get("__c", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("ref_classes"))
+    rows = cut(rows.select(*numbers, "__lang", "__c", F.when(~F.col("base_failed"), F.col("__k")).alias("__k")))
+    totals = rows.groupBy("__lang").agg(F.array(*[F.sum(F.get("__c", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("ref_classes"), F.sum("n_words").alias("ref_n"))
+    totals = totals.join(_few(known.select("__lang", "ref_counts")), "__lang", "left")
+    totals = totals.withColumn("ref_k", _with_others(F.col("ref_counts"), F.col("ref_n")))
+    none = F.transform("ref_k", lambda x, i: (i == F.size("ref_counts")).cast("double"))
+    totals = totals.withColumn("__none", jensen_shannon(none, _shares(F.col("ref_k"))))
     rows = rows.join(_few(cut(totals)), "__lang", "left")
+    words_of = _shares(_with_others(F.col("__k"), F.col("n_words")))
+    long = ~F.col("base_failed") & ((F.col("n_words") >= MIN_JUDGED_WORDS) | (_sum(F.col("__k")) >= MIN_COMMON))
+    rows = rows.withColumn("word_distance", F.when(long, jensen_shannon(words_of, _shares(F.col("ref_k"))) / F.nullif("__none", F.lit(0.0))))
     judged = F.when(~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS), F.col("__c"))
     rows = rows.withColumn("class_distance", jensen_shannon(_shares(judged), _shares(F.col("ref_classes"))))
     verdict = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)

@@ -193,6 +193,18 @@ def test_quality_rules_keep_clean_text(spark, sf, docs):
     assert got.filter("not kept").count() == 0
 
 
+def test_quality_rules_judge_texts_without_common_words(spark):
+    rng = np.random.default_rng(4)
+    common, syllables = ["the", "of", "and", "to", "in", "is", "it", "for"], ["ba", "ku", "mi", "ro", "se", "ta", "lo", "ne"]
+    other = lambda: "".join(rng.choice(syllables, 5))
+    normal = lambda n: " ".join(str(rng.choice(common)) if rng.random() < 0.4 else other() for _ in range(n))
+    rows = [(k, normal(400), "en") for k in range(60)] + [(100, " ".join(other() for _ in range(5000)), "en"), (101, " ".join(other() for _ in range(60)), "en")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[100].base_failed and not got[100].kept and math.isclose(got[100].word_distance, 1, abs_tol=0.02)
+    assert got[101].kept and got[101].word_distance is None
+    assert all(got[k].kept and got[k].word_distance < 0.5 for k in range(60))
+
+
 def test_warc_round_trip(spark, sf):
     rows = [(1, "http://a/", "x"), (2, "u\r\nEvil: 1", "x"), (3, None, None), (4, "http://b/", ""), (None, "n", "é" * 300_000), (2, "again", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
