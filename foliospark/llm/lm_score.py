@@ -1,61 +1,62 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and word pairs of the training documents are quantised on a log scale; an n-gram of level q is entered
-into one Bloom filter q times, as (n-gram, 1) to (n-gram, q). A count is read back by probing level after level until
-one is missing. The filter's size is bounded by MAX_BITS whatever the corpus: it is cut into segments, each n-gram
-belongs to one, and each segment takes its most frequent n-grams until it is full, so a larger corpus raises the
-count from which n-grams are held. The filter is broadcast; probabilities are interpolated from what it says.
-
-The exact base score needs exact counts of all words. The most frequent words (a fixed number) are broadcast; the rare
-words of a document leave its row and are joined with the counts by shuffling. Words are told apart by 64-bit hashes.
+into a Bloom filter q times, as (n-gram, 1) to (n-gram, q). A count is read back by probing level after level until one
+is missing, and probabilities are smoothed from the counts so read. Every n-gram is held, those seen once too: the filter
+is cut into segments by n-gram, its size and the number of its segments grow with the corpus, and a segment has
+BITS_PER_ENTRY bits for each of its entries, so the rate of false probes is the same at every size.
+
+A filter that is proven to have at most BROADCAST_BYTES is broadcast to where documents are scored. A larger one stays
+where it was built: probes travel to the segments, and the levels found travel back. Both ways read the same bits, so
+scores are the same. What travels is packed: a chunk of some 800,000 tokens asks a segment once, for each of its different
+n-grams, with 32 bits each. A frequent n-gram therefore costs one number a chunk, however many documents hold it.
+
+Texts are split into words once. The chunks of word numbers are written to the checkpoint folder and everything after
+reads them from there, so lost executors change nothing.
+
+The exact base score needs exact counts of all words; they come back from the segments with the levels. Words are told
+apart by 64-bit hashes, pairs by 32 bits within their segment (a false count in about 1 of 4,000 pairs, fewer than the filter
+itself errs on: PROBES probes with BITS_PER_ENTRY bits an entry make 0.7 % of absent entries look present).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, cut
 
 FOLDS, HELD_OUT = 7, 2
-MAX_BITS = 1 << 27  # of the filter that is broadcast (16 MB)
-SEGMENTS, PROBES, BITS_PER_ENTRY = 1024, 4, 8
-LOG_BASE = 1.5  # level q stands for counts from LOG_BASE ** (q - 1) on
-MAX_LEVEL = 120
-MIN_COUNT = 2  # n-grams seen once are not held
-FREQUENT = 131_072  # words whose exact counts are broadcast
-WEIGHT = 0.5  # of the pair's share; the rest is the word's own
-CHUNK = 800_000  # tokens that are worked on at a time
-MEMO = 300_000  # word hashes a task remembers
-END, START = np.int64(-1), np.int64(-2)  # the end token and what stands before the first word
+BROADCAST_BYTES = 16 << 20  # of a filter that is broadcast; beyond, probes travel to the segments
+SEGMENT_TEXT = 8 << 20  # bytes of text for which there is a segment
+PROBES, BITS_PER_ENTRY = 4, 12
+EXACT_COUNTS, LOG_BASE = 10, 1.1  # levels up to EXACT_COUNTS are counts, a further one stands for LOG_BASE times as much
+MASS = 4.0  # weight of a word's own share in a pair's, in counts
+CHUNK = 800_000  # tokens that are worked on at a time; a document is never divided
+MOST_TASKS = 50_000  # that segments or chunks are dealt to
+END, START = 0xFFFFFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFE  # keys of the end token and of what stands before the first word
+
+CHUNK_ROW = "ends binary, held binary, words binary, tokens binary"
+PROBE_ROW = "seg int, chunk long, pairs binary, pair_n binary, words binary, word_n binary"
+ANSWER_ROW = "seg int, chunk long, pair_levels binary, word_levels binary, word_counts binary, bits binary, n long, distinct long"
 
 
-class _Hashes(dict):
-    """Hashes of words (bytes), remembered up to a bound."""
+class _Numbers(dict):
+    """Words numbered as they come."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = xxhash.xxh64_intdigest(w, 11)
-        self[w] = h = (h - (1 << 64) if h >> 63 else h) if h < (1 << 64) - 2 else 0
-        return h
-
-
-def _tokens(text: str | None, known: _Hashes) -> np.ndarray:
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(w) + 1, np.int64)
-    out[:-1] = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-    out[-1] = END
-    return out
+        self[w] = k = len(self)
+        return k
 
 
 def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """A 64-bit hash of two numbers."""
+    """A 64-bit hash of two numbers, one to one in the first."""
     with np.errstate(over="ignore"):
         x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -63,190 +64,254 @@ def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _before(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The token before each token; START at the beginning of a text."""
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.concatenate([[0], ends[:-1]])] = START
-    return out
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, mostly small, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _chunks(texts: list, known: _Hashes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, tokens, ends) of runs of texts with about CHUNK tokens."""
-    at, parts, load = 0, [], 0
-    for k, t in enumerate(texts):
-        parts.append(_tokens(t, known))
-        load += len(parts[-1])
-        if load >= CHUNK or k == len(texts) - 1:
-            yield at, k + 1, np.concatenate(parts), np.cumsum([len(p) for p in parts])
-            at, parts, load = k + 1, [], 0
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = _Hashes()
-    for pdf in batches:
-        for _, _, tokens, _ in _chunks(list(pdf["text"]), known):
-            key, n = np.unique(tokens, return_counts=True)
-            yield pd.DataFrame({"key": key, "n": n})
+def _chunks(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, held_out, text) to chunks of them with about CHUNK tokens: words are the keys of a chunk's different
+    words (the end token first), tokens their numbers in order, ends where texts end."""
+    fields = pa.schema([("ids", pa.list_(kind)), *((c, pa.binary()) for c in ("ends", "held", "words", "tokens"))])
+    for rb in batches:
+        ids, texts, held = rb.column(0), rb.column(2).to_pylist(), np.array(rb.column(1).to_pylist(), bool)
+        numbers, parts, at, load = _Numbers({None: 0}), [], 0, 0
+        for k, text in enumerate(texts):
+            w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            part = np.zeros(len(w) + 1, np.uint32)
+            part[:-1] = np.fromiter(map(numbers.__getitem__, w), np.uint32, len(w))
+            parts.append(part)
+            load += len(part)
+            if load >= CHUNK or k == len(texts) - 1:
+                words = np.array([END, *(min(xxhash.xxh64_intdigest(w, 11), START - 1) for w in list(numbers)[1:])], np.uint64)
+                ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+                own = pa.ListArray.from_arrays(pa.array([0, k + 1 - at], pa.int32()), ids.slice(at, k + 1 - at))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array([x], pa.binary()) for x in (ends.tobytes(), held[at : k + 1].tobytes(), words.tobytes(), _pack(np.concatenate(parts))))], schema=fields)
+                numbers, parts, at, load = _Numbers({None: 0}), [], k + 1, 0
 
 
-def _pair_keys(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return _mix(_mix(before.view(np.uint64), 2), tokens.view(np.uint64)).view(np.int64)
+class _Grams:
+    """The n-grams of a chunk in the order in which it asks for them: by segment, and by their bits within it."""
 
+    def __init__(self, row: dict, n_seg: int):
+        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), _unpack(row["tokens"])
+        self.ends, self.held = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["held"], bool)
+        self.starts = self.ends - np.diff(self.ends, prepend=0)
+        self.before = np.empty_like(self.tokens)
+        self.before[1:] = self.tokens[:-1]
+        self.before[self.starts] = len(self.words)  # START
+        context = _mix(np.append(self.words, np.uint64(START)), 2)
+        self.pairs, self.pair_of = np.unique(_place(_mix(context[self.before], self.words[self.tokens]), n_seg), return_inverse=True)
+        mixed = _word_keys(self.words)
+        self.order = np.argsort(mixed)
+        self.mixed = mixed[self.order]
 
-def _word_keys(tokens: np.ndarray) -> np.ndarray:
-    return _mix(tokens.view(np.uint64), 1).view(np.int64)
+    def trained(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each pair and each word stands in training texts of the chunk."""
+        learnt = np.repeat(~self.held, np.diff(self.ends, prepend=0)).astype(float)
+        pairs, words = np.bincount(self.pair_of, learnt, len(self.pairs)), np.bincount(self.tokens, learnt, len(self.words))
+        return pairs.astype(np.uint32), words[self.order].astype(np.uint32)
 
 
-def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = _Hashes()
-    for pdf in batches:
-        for _, _, tokens, ends in _chunks(list(pdf["text"]), known):
-            key, n = np.unique(_pair_keys(tokens, _before(tokens, ends)), return_counts=True)
-            yield pd.DataFrame({"key": key, "n": n})
+def _word_keys(words: np.ndarray) -> np.ndarray:
+    return _mix(words, 1)
 
 
-def level(count: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
+def _place(key: np.ndarray, n_seg: int) -> np.ndarray:
+    """The segment of each n-gram in the upper, its bits there in the lower half."""
+    low = np.uint64(0xFFFFFFFF)
+    return (_segment(key, n_seg) << np.uint64(32)) | (key & low)
 
 
-def count_of(lev: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    low, high = LOG_BASE ** (lev - 1.0), LOG_BASE ** lev.astype(float)
-    return np.where(lev > 0, np.where(lev < 2, 1.0, (np.ceil(low) + np.maximum(np.ceil(high) - 1, np.ceil(low))) / 2), 0.0)
+def _segment(key: np.ndarray, n_seg: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(n_seg)) >> np.uint64(32)
 
 
-def _places(key: np.ndarray, lev: np.ndarray | int, bits: int) -> list[np.ndarray]:
-    """The bits of (n-gram, level) within its segment, by double hashing."""
-    x = _mix(key.view(np.uint64), np.asarray(lev) + 1000)
-    a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
+def level(count: np.ndarray) -> np.ndarray:
+    """Levels of counts: 0 of 0, the count up to EXACT_COUNTS, then on a log scale."""
+    up = np.log(np.maximum(count, EXACT_COUNTS) / EXACT_COUNTS) / np.log(LOG_BASE)
+    return np.minimum(count, EXACT_COUNTS).astype(np.int64) + np.floor(up + 1e-9).astype(np.int64)
+
 
+def count_of(lev: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level; 0 for level 0."""
+    lev = np.asarray(lev, np.int64)
+    low = EXACT_COUNTS * LOG_BASE ** np.maximum(lev - EXACT_COUNTS, 0.0)
+    first, last = np.ceil(low - 1e-6), np.ceil(low * LOG_BASE - 1e-6) - 1
+    return np.where(lev < EXACT_COUNTS, lev, (first + np.maximum(first, last)) / 2)
 
-def segment(key: Column) -> Column:
-    return F.pmod(key, F.lit(SEGMENTS)).cast("int")
 
+def _bits_at(key: np.ndarray, lev: np.ndarray | int, bits: int) -> list[np.ndarray]:
+    """The bits of (n-gram, level), by double hashing."""
+    x = _mix(key, np.asarray(lev) + 1000)
+    a, b, low = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1), np.uint64(0xFFFFFFFF)
+    return [((((a + np.uint64(i) * b) & low) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64) for i in range(PROBES)]
 
-def build_filter(counts: DataFrame, entries: int, max_bits: int = MAX_BITS) -> np.ndarray:
-    """The filter as bytes [segment, byte] from (key, n), n-grams with n entered most frequent first.
 
-    entries is about how many entries are wanted; the filter has BITS_PER_ENTRY bits for each, max_bits at most. What
-    reaches the driver is the filter, in segments.
-    """
-    want = max(SEGMENTS * 64, entries * BITS_PER_ENTRY)
-    bits = max(64, min(1 << (want - 1).bit_length(), max_bits) // SEGMENTS)
-    room = bits // BITS_PER_ENTRY
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seg, held, left = None, None, 0
-        for pdf in batches:
-            for s, part in pdf.groupby("seg", sort=True):
-                if s != seg:
-                    if held is not None:
-                        yield pd.DataFrame({"seg": [seg], "bits": [np.packbits(held).tobytes()]})
-                    seg, held, left = s, np.zeros(bits, bool), room
-                key, lev = part["key"].to_numpy(), level(part["n"].to_numpy())
-                upto = int(np.searchsorted(np.cumsum(lev), left, "right"))
-                left -= int(lev[:upto].sum()) if upto == len(lev) else left
-                key, lev = key[:upto], lev[:upto]
-                every = np.repeat(np.arange(len(key)), lev)
-                nth = np.arange(len(every)) - np.repeat(np.cumsum(lev) - lev, lev) + 1
-                for p in _places(key[every], nth, bits):
-                    held[p] = True
-        if held is not None:
-            yield pd.DataFrame({"seg": [seg], "bits": [np.packbits(held).tobytes()]})
-
-    filled = counts.sortWithinPartitions("seg", F.desc("n"), "key").mapInPandas(fill, "seg int, bits binary")
-    out = np.zeros((SEGMENTS, bits // 8), np.uint8)
-    for r in filled.collect():
-        out[r["seg"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out
+def build(key: np.ndarray, lev: np.ndarray) -> np.ndarray:
+    """A segment's filter as bytes: n-grams (64-bit keys) with their levels, all of them."""
+    entries = int(lev.sum())
+    held = np.zeros(-(-max(64, entries * BITS_PER_ENTRY) // 8) * 8, bool)
+    for lo in range(0, len(key), 500_000):  # so many n-grams at a time
+        k, n = key[lo : lo + 500_000], lev[lo : lo + 500_000]
+        every = np.repeat(k, n)
+        nth = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n) + 1
+        for p in _bits_at(every, nth, len(held)):
+            held[p] = True
+    return np.packbits(held)
 
 
 def probe(held: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Level of each n-gram: how many levels in a row the filter has."""
-    bits = held.shape[1] * 8
-    lev, live = np.zeros(len(key), np.int64), np.arange(len(key))
-    seg = np.mod(key, SEGMENTS)
-    while len(live) and lev[live[0]] < MAX_LEVEL:
+    lev, live, at, bits = np.zeros(len(key), np.uint16), np.arange(len(key)), 0, len(held) * 8
+    while len(live) and at < 1000:
+        at += 1
         has = np.ones(len(live), bool)
-        for p in _places(key[live], int(lev[live[0]]) + 1, bits):
-            has &= (held[seg[live], p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        for p in _bits_at(key[live], at, bits):
+            has &= (held[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
         live = live[has]
-        lev[live] += 1
+        lev[live] = at
     return lev
 
 
-def _least_count(words: DataFrame, most: int) -> int:
-    """The smallest of a fixed series of counts that at most so many words reach; found from a histogram."""
-    by = F.floor(F.log("n") / F.log(F.lit(1.05)) + 1e-9).cast("long")
-    room, least = most, None
-    for r in words.groupBy(by.alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("n").alias("top")).orderBy(F.desc("b")).collect():
-        if r["c"] > room:
-            return r["top"] + 1
-        room, least = room - r["c"], r["n"]
-    return least or 1
-
-
-def score(docs: DataFrame, max_bits: int = MAX_BITS, frequent: int = FREQUENT) -> DataFrame:
+def _pair_keys(bits: np.ndarray) -> np.ndarray:
+    """Filter keys of pairs from their 32 bits."""
+    return bits.astype(np.uint64) | np.uint64(1 << 40)
+
+
+def _ask(n_seg: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks to what they ask each segment: different pairs and words, with their counts in training texts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for row in rb.to_pylist():
+                g = _Grams(row, n_seg)
+                pair_n, word_n = g.trained()
+                pair_seg, word_seg = (g.pairs >> np.uint64(32)).astype(np.int64), _segment(g.mixed, n_seg).astype(np.int64)
+                bits = g.pairs.astype(np.uint32)
+                asked = np.union1d(pair_seg, word_seg)
+                cols = {"pairs": [], "pair_n": [], "words": [], "word_n": []}
+                for (a, b), (c, d) in zip(_runs(pair_seg, asked), _runs(word_seg, asked)):
+                    for name, x in (("pairs", bits[a:b]), ("pair_n", pair_n[a:b]), ("words", g.mixed[c:d]), ("word_n", word_n[c:d])):
+                        cols[name].append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array([row["chunk"]] * len(asked), pa.int64()), *(pa.array(x, pa.binary()) for x in cols.values())], names=["seg", "chunk", *cols])
+
+    return ask
+
+
+def _runs(sorted_by: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each of the values begins and ends in a sorted array."""
+    return zip(np.searchsorted(sorted_by, values).tolist(), np.searchsorted(sorted_by, values, "right").tolist())
+
+
+def _counted(parts: list[bytes], counts: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys of all parts, their summed counts, and each part's key as a place among them, in order."""
+    key, at = np.unique(np.frombuffer(b"".join(parts), kind), return_inverse=True)
+    return key, np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(key)).astype(np.int64), at
+
+
+def _answer(broadcast: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is asked of segments, sorted by segment, to answers: levels of pairs and words (if the filter isn't broadcast)
+    and exact counts of words, in the order asked. A further row without a chunk has the segment's sums, and its bits if
+    they are broadcast. A task holds one segment, which is a fixed share of the corpus."""
+
+    def of_segment(seg: int, rows: list[dict]) -> pa.RecordBatch:
+        pairs, pair_n, pair_at = _counted([r["pairs"] for r in rows], [r["pair_n"] for r in rows], np.uint32)
+        words, word_n, word_at = _counted([r["words"] for r in rows], [r["word_n"] for r in rows], np.uint64)
+        keys = np.concatenate([_pair_keys(pairs), words])
+        held = build(keys, level(np.concatenate([pair_n, word_n])))
+        out = {"chunk": [None], "pair_levels": [None], "word_levels": [None], "word_counts": [None], "bits": [held.tobytes() if broadcast else None], "n": [int(word_n.sum())], "distinct": [int((word_n > 0).sum())]}
+        pair_levels, word_levels = (None, None) if broadcast else (probe(held, keys[: len(pairs)])[pair_at], probe(held, keys[len(pairs) :])[word_at])
+        word_counts, p, w = word_n[word_at], 0, 0
+        for r in rows:
+            q, v = p + len(r["pairs"]) // 4, w + len(r["words"]) // 8
+            for name, x in (("chunk", r["chunk"]), ("pair_levels", None if broadcast else pair_levels[p:q].tobytes()), ("word_levels", None if broadcast else word_levels[w:v].tobytes()), ("word_counts", word_counts[w:v].tobytes()), ("bits", None), ("n", None), ("distinct", None)):
+                out[name].append(x)
+            p, w = q, v
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([seg] * len(out["chunk"]), pa.int32()), *(pa.array(x, t) for x, t in zip(out.values(), kinds))], names=["seg", *out])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg, rows = None, []
+        for rb in batches:
+            for r in rb.to_pylist():
+                if r["seg"] != seg and rows:
+                    yield of_segment(seg, rows)
+                    rows = []
+                seg = r["seg"]
+                rows.append(r)
+        if rows:
+            yield of_segment(seg, rows)
+
+    return answer
+
+
+def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
+    score is the sum over tokens w after v of log10((c(v, w) + MASS * p(w)) / (c(v) + MASS)), p(w) = (c(w) + 1) / (N + V + 1),
+    with counts c as the filter has them; before the first word stands a start mark, which is as frequent as the end. After
+    every context the probabilities sum to 1 but for what quantising and false probes do to counts, a few percent.
+
     Null and empty texts are an end token alone. Repeated rows get equal scores, and count as often in training as they
     occur. Null ids count as crc32 0, so they are trained on. An empty table gives an empty result.
-    Other columns are ignored.
+    Other columns are ignored. broadcast_bytes decides how the filter is read, not what it holds.
     """
     spark = docs.sparkSession
     held_out = F.pmod(crc_of_id(), F.lit(FOLDS)) == HELD_OUT
-    train = docs.filter(~held_out).select("text")
-    words = cut(train.mapInPandas(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.filter(F.col("n") >= _least_count(words, frequent)).toPandas().sort_values("key")  # frequent rows at most
-    top_keys, top_n = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-
-    pairs = train.mapInPandas(_count_pairs, "key long, n long")
-    of_word = F.pandas_udf(lambda k: pd.Series(_word_keys(k.to_numpy(np.int64))), "long")
-    both = pairs.unionByName(words.filter(F.col("n") >= MIN_COUNT).select(of_word("key").alias("key"), "n"))
-    # rows are only a key and a count; all of a segment go to one partition, and are summed there
-    grams = both.repartition(segment(F.col("key"))).withColumn("seg", segment(F.col("key"))).groupBy("seg", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
-    held = spark.sparkContext.broadcast((build_filter(grams, 2 * total, max_bits), top_keys, top_n))
-    begun = float((words.filter(F.col("key") == int(END)).agg(F.sum("n")).first()[0]) or 0)  # texts in training
-    unseen = np.log10(1 / (total + distinct + 1))
-
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bloom, keys, counts = held.value
-        logs, known = np.log10((counts + 1) / (total + distinct + 1)), _Hashes()
-        for pdf in batches:
-            ids, texts = pdf["doc_id"], list(pdf["text"])
-            for lo, hi, tokens, ends in _chunks(texts, known):
-                word, at = np.unique(tokens, return_inverse=True)
-                place = np.minimum(np.searchsorted(keys, word), max(0, len(keys) - 1))
-                common = (keys[place] == word)[at] if len(keys) else np.zeros(len(tokens), bool)
-                base = np.where(common, logs[place[at]], 0.0) if len(keys) else np.zeros(len(tokens))
-                c1 = count_of(probe(bloom, _word_keys(word)))
-                before = _before(tokens, ends)
-                pair, pair_at = np.unique(_pair_keys(tokens, before), return_inverse=True)
-                c2 = count_of(probe(bloom, pair))[pair_at]
-                c = c1[at]
-                ahead = np.empty_like(c)
-                ahead[1:] = c[:-1]
-                starts = ends - np.diff(ends, prepend=0)
-                ahead[starts] = begun
-                own = (c + 1) / (total + distinct + 1)
-                share = np.minimum(1.0, c2 / np.maximum(ahead, 1.0))
-                p = np.where(ahead > 0, WEIGHT * share + (1 - WEIGHT) * own, own)
-                add = lambda v: np.add.reduceat(v, starts)
-                rare = [tokens[a:b][~common[a:b]] for a, b in zip(starts, ends)]
-                yield pd.DataFrame({"doc_id": ids.iloc[lo:hi].to_numpy(), "n_tokens": ends - starts, "n_common": add(common.astype(np.int64)), "base_common": add(base), "score": add(np.log10(p)), "rare": rare})
-
+    rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string"))
+    n_bytes, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n_seg = max(1, -(-n_bytes // SEGMENT_TEXT))
+    # a token has two bytes of text, or ends one; it makes a word's entry and a pair's at most
+    broadcast = 2 * (n_bytes // 2 + n_rows) * BITS_PER_ENTRY // 8 + 16 * n_seg <= broadcast_bytes
     kind = dict(docs.dtypes)["doc_id"]
-    rated = docs.select("doc_id", "text").mapInPandas(rate, f"doc_id {kind}, n_tokens long, n_common long, base_common double, score double, rare array<long>")
-    rated = cut(rated.withColumn("row", F.monotonically_increasing_id()))
-    rare = rated.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("key"))
-    found = rare.join(words, "key", "left")
-    one = F.when(F.col("n").isNull(), F.lit(float(unseen))).otherwise(F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1))))
-    found = found.groupBy("row").agg(F.sum(one).alias("base_rare"), F.count("n").alias("n_rare"))
-    out = rated.drop("rare").join(found, "row", "left")
-    return out.select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_common") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score",
-    )
+    arrow_kind = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    chunks = cut(rows.mapInArrow(lambda b: _chunks(b, arrow_kind), f"ids array<{kind}>, {CHUNK_ROW}"))
+    chunks = chunks.withColumn("chunk", F.monotonically_increasing_id())  # of written rows: the same each time
+    tasks = min(n_seg, MOST_TASKS)
+    asked = chunks.drop("ids").mapInArrow(_ask(n_seg), PROBE_ROW)
+    asked = asked.repartitionById(tasks, (F.col("seg") * F.lit(tasks).cast("long") / F.lit(n_seg)).cast("int")).sortWithinPartitions("seg", "chunk")
+    answers = cut(asked.mapInArrow(_answer(broadcast), ANSWER_ROW))
+    total, distinct = answers.filter("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    held = None
+    if broadcast:  # at most broadcast_bytes
+        held = spark.sparkContext.broadcast({r["seg"]: r["bits"] for r in answers.filter("bits is not null").select("seg", "bits").collect()})
+
+    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, found = _Grams(left.to_pylist()[0], n_seg), sorted(right.to_pylist(), key=lambda r: r["seg"])
+        joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in found), kind)
+        exact = np.empty(len(g.words), np.int64)
+        exact[g.order] = joined("word_counts", np.int64)
+        if held is None:
+            pair_levels, word_levels = joined("pair_levels", np.uint16), joined("word_levels", np.uint16)
+        else:
+            filters = {s: np.frombuffer(b, np.uint8) for s, b in held.value.items()}
+            pair_levels, word_levels = _probe_all(filters, g.pairs >> np.uint64(32), _pair_keys(g.pairs.astype(np.uint32))), _probe_all(filters, _segment(g.mixed, n_seg), g.mixed)
+        c1 = np.empty(len(g.words) + 1)
+        c1[g.order] = count_of(word_levels)
+        c1[-1] = c1[0]  # as many texts begin as end
+        own = (c1 + 1) / (total + distinct + 1)
+        p = (count_of(pair_levels)[g.pair_of] + MASS * own[g.tokens]) / (c1[g.before] + MASS)
+        base = np.log10((exact + 1) / (total + distinct + 1))
+        add = lambda v: np.add.reduceat(v, g.starts)
+        ids = left.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(g.held), pa.array(np.diff(g.ends, prepend=0)), pa.array(add((exact > 0)[g.tokens].astype(np.int64))), pa.array(add(base[g.tokens])), pa.array(add(np.log10(p)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    pieces = min(MOST_TASKS, max(1, -(-n_bytes // (4 * SEGMENT_TEXT)), spark.sparkContext.defaultParallelism))
+    left, right = chunks.repartition(pieces, "chunk"), answers.filter("chunk is not null").drop("bits", "n", "distinct").repartition(pieces, "chunk")
+    rated = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return rated.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _probe_all(filters: dict[int, np.ndarray], seg: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Levels of n-grams that are sorted by segment."""
+    out = np.zeros(len(key), np.uint16)
+    values = np.unique(seg)
+    for s, (a, b) in zip(values.tolist(), _runs(seg, values)):
+        out[a:b] = probe(filters[s], key[a:b])
+    return out
