@@ -8,8 +8,8 @@ BITS_PER_ENTRY bits for each of its entries, so the rate of false probes is the
 
 A filter that is proven to have at most BROADCAST_BYTES is broadcast to where documents are scored. A larger one stays
 where it was built: probes travel to the segments, and the levels found travel back. Both ways read the same bits, so
-scores are the same. What travels is packed: a chunk of some 800,000 tokens asks a segment once, for each of its different
-n-grams, with 32 bits each. A frequent n-gram therefore costs one number a chunk, however many documents hold it.
+scores are the same. What travels is packed: a chunk of some million tokens asks a segment once, for each of its different
+n-grams, with 32 bits each, as steps from one to the next in order. A frequent n-gram therefore costs one number a chunk, however many documents hold it.
 
 Texts are split into words once. The chunks of word numbers are written to the checkpoint folder and everything after
 reads them from there, so lost executors change nothing.
@@ -34,11 +34,11 @@ from .common import crc_of_id, cut
 
 FOLDS, HELD_OUT = 7, 2
 BROADCAST_BYTES = 16 << 20  # of a filter that is broadcast; beyond, probes travel to the segments
-SEGMENT_TEXT = 8 << 20  # bytes of text for which there is a segment
+SEGMENT_TEXT = 16 << 20  # bytes of text for which there is a segment; a task holds one, in some ten times that memory
 PROBES, BITS_PER_ENTRY = 4, 12
 EXACT_COUNTS, LOG_BASE = 10, 1.1  # levels up to EXACT_COUNTS are counts, a further one stands for LOG_BASE times as much
 MASS = 4.0  # weight of a word's own share in a pair's, in counts
-CHUNK = 800_000  # tokens that are worked on at a time; a document is never divided
+CHUNK = 1_000_000  # tokens that are worked on at a time; a document is never divided
 MOST_TASKS = 50_000  # that segments or chunks are dealt to
 END, START = 0xFFFFFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFE  # keys of the end token and of what stands before the first word
 
@@ -65,13 +65,21 @@ def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, mostly small, compressed byte plane by byte plane."""
-    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    """Numbers of some type, mostly small, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_steps(ascending: np.ndarray) -> bytes:
+    return _pack(np.diff(ascending, prepend=ascending.dtype.type(0)))
+
+
+def _unpack_steps(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_unpack(data, kind), dtype=kind)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -99,7 +107,7 @@ class _Grams:
     """The n-grams of a chunk in the order in which it asks for them: by segment, and by their bits within it."""
 
     def __init__(self, row: dict, n_seg: int):
-        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), _unpack(row["tokens"])
+        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), _unpack(row["tokens"], np.uint32).astype(np.int32)
         self.ends, self.held = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["held"], bool)
         self.starts = self.ends - np.diff(self.ends, prepend=0)
         self.before = np.empty_like(self.tokens)
@@ -197,8 +205,8 @@ def _ask(n_seg: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 asked = np.union1d(pair_seg, word_seg)
                 cols = {"pairs": [], "pair_n": [], "words": [], "word_n": []}
                 for (a, b), (c, d) in zip(_runs(pair_seg, asked), _runs(word_seg, asked)):
-                    for name, x in (("pairs", bits[a:b]), ("pair_n", pair_n[a:b]), ("words", g.mixed[c:d]), ("word_n", word_n[c:d])):
-                        cols[name].append(x.tobytes())
+                    for name, x, packed in (("pairs", bits[a:b], _pack_steps), ("pair_n", pair_n[a:b], _pack), ("words", g.mixed[c:d], _pack_steps), ("word_n", word_n[c:d], _pack)):
+                        cols[name].append(packed(x))
                 yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array([row["chunk"]] * len(asked), pa.int64()), *(pa.array(x, pa.binary()) for x in cols.values())], names=["seg", "chunk", *cols])
 
     return ask
@@ -209,10 +217,12 @@ def _runs(sorted_by: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, int]
     return zip(np.searchsorted(sorted_by, values).tolist(), np.searchsorted(sorted_by, values, "right").tolist())
 
 
-def _counted(parts: list[bytes], counts: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys of all parts, their summed counts, and each part's key as a place among them, in order."""
-    key, at = np.unique(np.frombuffer(b"".join(parts), kind), return_inverse=True)
-    return key, np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(key)).astype(np.int64), at
+def _counted(parts: list[bytes], counts: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Different keys of all parts, their summed counts, and for each part its keys as places among them."""
+    asked = [_unpack_steps(p, kind) for p in parts]
+    key, at = np.unique(np.concatenate(asked), return_inverse=True)
+    n = np.bincount(at, np.concatenate([_unpack(c, np.uint32) for c in counts]), len(key)).astype(np.int64)
+    return key, n, np.split(at, np.cumsum([len(a) for a in asked])[:-1])
 
 
 def _answer(broadcast: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -226,13 +236,11 @@ def _answer(broadcast: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         keys = np.concatenate([_pair_keys(pairs), words])
         held = build(keys, level(np.concatenate([pair_n, word_n])))
         out = {"chunk": [None], "pair_levels": [None], "word_levels": [None], "word_counts": [None], "bits": [held.tobytes() if broadcast else None], "n": [int(word_n.sum())], "distinct": [int((word_n > 0).sum())]}
-        pair_levels, word_levels = (None, None) if broadcast else (probe(held, keys[: len(pairs)])[pair_at], probe(held, keys[len(pairs) :])[word_at])
-        word_counts, p, w = word_n[word_at], 0, 0
-        for r in rows:
-            q, v = p + len(r["pairs"]) // 4, w + len(r["words"]) // 8
-            for name, x in (("chunk", r["chunk"]), ("pair_levels", None if broadcast else pair_levels[p:q].tobytes()), ("word_levels", None if broadcast else word_levels[w:v].tobytes()), ("word_counts", word_counts[w:v].tobytes()), ("bits", None), ("n", None), ("distinct", None)):
+        levels = None if broadcast else probe(held, keys)
+        for r, p, w in zip(rows, pair_at, word_at):
+            found = (None, None) if broadcast else (_pack(levels[p]), _pack(levels[len(pairs) + w]))
+            for name, x in zip(out, (r["chunk"], *found, _pack(word_n[w]), None, None, None)):
                 out[name].append(x)
-            p, w = q, v
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([seg] * len(out["chunk"]), pa.int32()), *(pa.array(x, t) for x, t in zip(out.values(), kinds))], names=["seg", *out])
 
@@ -284,7 +292,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         g, found = _Grams(left.to_pylist()[0], n_seg), sorted(right.to_pylist(), key=lambda r: r["seg"])
-        joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in found), kind)
+        joined = lambda name, kind: np.concatenate([_unpack(r[name], kind) for r in found])
         exact = np.empty(len(g.words), np.int64)
         exact[g.order] = joined("word_counts", np.int64)
         if held is None:
@@ -302,7 +310,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         ids = left.column("ids").combine_chunks().flatten()
         return pa.table([ids, pa.array(g.held), pa.array(np.diff(g.ends, prepend=0)), pa.array(add((exact > 0)[g.tokens].astype(np.int64))), pa.array(add(base[g.tokens])), pa.array(add(np.log10(p)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    pieces = min(MOST_TASKS, max(1, -(-n_bytes // (4 * SEGMENT_TEXT)), spark.sparkContext.defaultParallelism))
+    pieces = min(MOST_TASKS, max(1, -(-n_bytes // SEGMENT_TEXT), spark.sparkContext.defaultParallelism))
     left, right = chunks.repartition(pieces, "chunk"), answers.filter("chunk is not null").drop("bits", "n", "distinct").repartition(pieces, "chunk")
     rated = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rated.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
