@@ -128,13 +128,12 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints (column fp, distinct, not null) that links connect."""
-    spark = fps.sparkSession
     masks, masks_of = [0], {0: child_masks(0)}
     rows = fps.select(F.lit(0).cast("long").alias("mask"), "fp")
     found = None
     for level in range(LEVELS):
-        kids = spark.createDataFrame([(_signed(m), _signed(c)) for m in masks for c in masks_of[m]], "mask long, child long")
-        rows = rows.join(F.broadcast(kids), "mask").select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("val"), "fp")
+        kids = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(c)).cast("long") for c in masks_of[m]]))])
+        rows = rows.select("fp", F.explode(kids[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
         counts = cut(rows.groupBy("mask", "val").count().filter("count > 1"))
         last = level == LEVELS - 1
         fit = counts if last else counts.filter(F.col("count") <= MAX_TRIE)
@@ -173,6 +172,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("root").alias("id"), "root").distinct())
 
 
+def _component_of(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for every fingerprint of rows (doc_id, fp): root is equal for all that links connect, and
+    component_id is their smallest doc_id."""
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    labels = cut(components(link_fingerprints(classes.select("fp"))))
+    lows = labels.join(classes, labels["id"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("low"))
+    linked = labels.join(lows, "root").select(F.col("id").alias("fp"), "root", F.col("low").alias("linked"))
+    return cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("linked", "low").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
@@ -180,29 +189,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept and never become a component_id, unless a component has no other (then null). Other columns are ignored.
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    labels = cut(components(link_fingerprints(classes.select("fp"))))
-    lows = labels.join(classes, labels["id"] == classes["fp"]).groupBy("root").agg(F.min("low").alias("low"))
-    of_class = labels.join(lows, "root").select(F.col("id").alias("fp"), F.col("low").alias("linked"))
-    of_class = cut(classes.join(of_class, "fp", "left").select("fp", F.coalesce("linked", "low").alias("component_id")))
-    return rows.join(small(of_class), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(small(_component_of(rows)), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with the document of smallest doc_id of each component only; rows that repeat its doc_id count as copies.
+    """docs with one row of each component: that of smallest doc_id, null ids last, of those that of smallest text hash.
 
-    A component whose ids are all null keeps one of its rows.
+    An id may stand on rows of different texts; each belongs to the component of its text. Of rows equal in doc_id and text
+    one is kept, whatever their other columns. Rows are unchanged, an empty table stays empty. What is decided about rows are
+    ids and hashes; texts meet those that go, which are broadcast if they are few.
     """
-    found = cut(near_duplicates(docs))
-    lone = found.filter("component_id is null").limit(1).count() == 0
-    stay = found.filter("doc_id = component_id").groupBy("doc_id").count()
-    again = stay.filter("count > 1").limit(1).count()
-    ids = cut(stay.select(F.col("doc_id").alias("__stay")))
-    kept = docs.join(ids, docs["doc_id"] == ids["__stay"], "left_semi")
-    if again:
-        kept = kept.dropDuplicates(["doc_id"])
-    if not lone:
-        spare = docs.filter("doc_id is null").withColumn("__fp", _fingerprints(F.col("text"))).dropDuplicates(["__fp"])
-        nulls = found.filter("component_id is null").select(F.conv("fingerprint", 16, -10).cast("long").alias("__fp")).distinct()
-        kept = kept.unionByName(spare.join(nulls, "__fp", "left_semi").drop("__fp"))
-    return kept
+    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("hash"), _fingerprints(F.col("text")).alias("fp")))
+    keys = rows.groupBy("doc_id", "hash", "fp").agg(F.count("*").alias("n"))
+    keys = cut(keys.join(small(_component_of(rows).select("fp", "root")), "fp"))
+    me = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    first = cut(keys.groupBy("root").agg(F.min(me).alias("first")))
+    verdict = keys.join(small(first), "root").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "n", (me == F.col("first")).alias("__stays"))
+    marked = cut(verdict.filter("not __stays or n > 1"))
+    is_row = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    kept = docs.join(small(marked), is_row, "left_anti")
+    again = marked.filter("__stays")
+    if again.isEmpty():
+        return kept
+    repeated = docs.join(small(again), is_row, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    return kept.unionByName(repeated.drop("__hash"))
