@@ -37,39 +37,73 @@ def _narrow(text: str = "text") -> list[Column]:
     return [(F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("hash")]
 
 
+def _tables(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Shards of large groups by name and of bundles of the others, for rows (size, text_crc32, hash)."""
+    spark = rows.sparkSession
+    groups = cut(rows.groupBy("hash", "text_crc32", "size").agg((F.count("*") * F.col("size")).alias("bytes")))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    alone = F.col("bytes") * (shards * LARGE) > total
+    large = [(r[0], r[1]) for r in groups.filter(alone).select("bytes", _name()).collect()]  # under LARGE * shards rows
+    bundles = [(r[0], f"b{r[1]}") for r in groups.filter(~alone).groupBy(_bundle().alias("b")).agg(F.sum("bytes").alias("n")).select("n", "b").collect()]
+    shard_of = schedule(large + bundles, shards)
+    return spark.createDataFrame([(n, shard_of[n]) for _, n in large], "__name string, __big int"), spark.createDataFrame([(int(n[1:]), shard_of[n]) for _, n in bundles], "__bundle long, __rest int")
+
+
+def _name() -> Column:
+    return F.concat_ws(":", "hash", "text_crc32", "size")
+
+
+def _bundle() -> Column:
+    return F.pmod("hash", F.lit(BUNDLES))
+
+
+def _with_shard(rows: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    big, rest = map(F.broadcast, tables)  # under LARGE * shards and BUNDLES rows
+    found = rows.withColumns({"__name": _name(), "__bundle": _bundle()}).join(big, "__name", "left").join(rest, "__bundle", "left")
+    return found.withColumn("shard", F.coalesce("__big", "__rest")).drop("__name", "__bundle", "__big", "__rest")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per row of docs: doc_id, size, text_crc32, law ('bytes'), shard, slot (0, 1, ... within the shard), grown_shard (null).
 
     Null texts count as empty ones and group with them; repeated rows stay together and have slots of their own; ties of
     sizes go by hash. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = cut(docs.select("doc_id", *_narrow()))
-    groups = rows.groupBy("hash", "text_crc32", "size").agg((F.count("*") * F.col("size")).alias("bytes"))
-    groups = cut(groups)
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    alone = F.col("bytes") * (shards * LARGE) > total
-    name = F.concat_ws(":", "hash", "text_crc32", "size")
-    bundle = F.pmod("hash", F.lit(BUNDLES))
-    large = [(r[0], r[1]) for r in groups.filter(alone).select("bytes", name).collect()]  # under LARGE * shards rows
-    bundles = [(r[0], f"b{r[1]}") for r in groups.filter(~alone).groupBy(bundle.alias("b")).agg(F.sum("bytes").alias("n")).select("n", "b").collect()]
-    shard_of = schedule(large + bundles, shards)
-    big = spark.createDataFrame([(n, shard_of[n]) for _, n in large], "name string, big_shard int")
-    rest = spark.createDataFrame([(int(n[1:]), shard_of[n]) for _, n in bundles], "bundle long, rest_shard int")
-    at = rows.withColumn("name", name).withColumn("bundle", bundle).join(F.broadcast(big), "name", "left").join(F.broadcast(rest), "bundle", "left")
-    at = cut(at.select("doc_id", "size", "text_crc32", "hash", F.coalesce("big_shard", "rest_shard").alias("shard")))
+    at = cut(_with_shard(rows, _tables(rows, shards)).select("doc_id", "size", "text_crc32", "hash", "shard"))
     return _slots(at, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """docs with one more column, the shard of each row as assign() has it (in place of a column of that name).
+
+    Rows stay where they are: groups are counted from sizes and hashes, and shards looked up in two small tables. Odd rows
+    are treated as in assign().
+    """
+    wide = docs.drop("shard")
+    rows = cut(wide.select(*_narrow()))
+    big, rest = _tables(rows, shards)
+    size, crc, hashed = _narrow()
+    keyed = wide.select(F.struct(*wide.columns).alias("__row"), size, crc, hashed)
+    return _with_shard(keyed, (big, rest)).select("__row.*", "shard")
+
+
 def _slots(at: DataFrame, shards: int) -> DataFrame:
-    """at with slot: numbers without gaps in each shard, dealt out chunk by chunk; a shard has chunks in proportion to its rows."""
+    """at with slot: numbers without gaps in each shard, dealt out chunk by chunk; a shard has chunks in proportion to its rows.
+
+    A row's chunk goes by the hash of its id and text. Rows equal in both that are more than a chunk's share are dealt out
+    over as many chunks as they fill; it can't be told which of them has which slot. at must be a checkpoint.
+    """
     held = {r[0]: r[1] for r in at.groupBy("shard").count().collect()}  # one row per shard
     each = max(SLOT_ROWS, sum(held.values()) // MOST_CHUNKS)
     chunks = F.get(F.array(*[F.lit(max(1, held.get(s, 0) // each)) for s in range(shards)]), F.col("shard"))
-    at = at.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hash"), chunks))
-    # equal rows beyond a chunk's share would meet in one chunk, so they are dealt out by their place among equals
+    hot = cut(at.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).filter(F.col("n") > each).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "n"))
+    at = at.withColumn("nth", F.monotonically_increasing_id())
+    at = at.join(F.broadcast(hot), at["doc_id"].eqNullSafe(F.col("__id")) & (at["hash"] == F.col("__hash")), "left")  # fewer than rows / each
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("nth"), F.ceil(F.col("n") / each))).otherwise(F.lit(0))
+    at = at.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hash", part), chunks)).drop("__id", "__hash", "n")
     counts = cut(at.groupBy("shard", "chunk").agg(F.count("*").alias("n")))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "chunk", F.coalesce(before, F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "hash"))
-    return at.withColumn("place", place).join(F.broadcast(starts), ["shard", "chunk"]).withColumn("slot", F.col("start") + F.col("place") - 1)
+    order = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "hash", "nth"))
+    return at.withColumn("place", order).join(F.broadcast(starts), ["shard", "chunk"]).withColumn("slot", F.col("start") + F.col("place") - 1)
