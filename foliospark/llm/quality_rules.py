@@ -2,7 +2,7 @@
 
 A text fails on its own if it has few words or mostly repeats itself. Of the others, the histogram of character classes
 and that of common words, with one bin for all other words, are held against references of the text's language, which
-are summed up over all documents. The distance is Jensen-Shannon's, for words as a share of that of a text without
+are summed up over all documents that pass the base rules. The distance is Jensen-Shannon's, for words as a share of that of a text without
 any common word; texts too short for a stable histogram are not judged by it.
 """
 
@@ -66,10 +66,10 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
-    """Distance of two arrays of shares, 0 to 1: the root of the divergence in bits."""
+    """Distance of two arrays of shares, 0 to 1: the root of the divergence in bits; null if one is null."""
     term = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     parts = F.zip_with(p, q, lambda a, b: 0.5 * term(a, (a + b) / 2) + 0.5 * term(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
+    return F.when(parts.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))))
 
 
 def _sum(counts: Column) -> Column:
@@ -97,7 +97,7 @@ def classes(rest: Column, n_solid: Column) -> Column:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """One row per language: its COMMON_WORDS most frequent words in lower case (ref_words) and their counts (ref_counts).
+    """One row per language: its COMMON_WORDS most frequent words in lower case (ref_words).
 
     Ties of words go by the word. A null language is one of its own. Counts are summed where texts are read, before
     they are shuffled.
@@ -105,8 +105,8 @@ def common_words(docs: DataFrame) -> DataFrame:
     each = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(words(F.col("text"))).alias("word"))
     counts = each.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("r", rank).filter(F.col("r") <= COMMON_WORDS).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("t"))
-    return top.select("lang", F.col("t.word").alias("ref_words"), F.col("t.n").alias("ref_counts"))
+    top = counts.withColumn("r", rank).filter(F.col("r") <= COMMON_WORDS).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word"))).alias("t"))
+    return top.select("lang", F.col("t.word").alias("ref_words"))
 
 
 def _few(known: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__k", F.transform("ref_words", lambda r: (F.size("__hits") - F.size(F.array_remove("__hits", r))).cast("long")))
     numbers = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     rows = cut(rows.select(*numbers, "__lang", "__c", F.when(~F.col("base_failed"), F.col("__k")).alias("__k")))
-    totals = rows.groupBy("__lang").agg(F.array(*[F.sum(F.get("__c", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("ref_classes"), F.sum("n_words").alias("ref_n"))
-    totals = totals.join(_few(known.select("__lang", "ref_counts")), "__lang", "left")
+    summed = lambda c, n: F.array_compact(F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)]))
+    totals = rows.filter("not base_failed").groupBy("__lang").agg(summed("__c", len(CLASSES) + 1).alias("ref_classes"), summed("__k", COMMON_WORDS).alias("ref_counts"), F.sum("n_words").alias("ref_n"))
     totals = totals.withColumn("ref_k", _with_others(F.col("ref_counts"), F.col("ref_n")))
     none = F.transform("ref_k", lambda x, i: (i == F.size("ref_counts")).cast("double"))
     totals = totals.withColumn("__none", jensen_shannon(none, _shares(F.col("ref_k"))))
