@@ -29,7 +29,11 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+INLINE = set("a abbr acronym audio b bdi bdo big cite code data datalist del dfn em font i ins kbd label map mark meter nobr option optgroup output picture progress q rp rt ruby s samp slot small span strike strong sub sup time tt u var video".split())
 CONTENT = {"article", "main"}
+#: An end tag within one of these doesn't end what was open around it.
+SCOPE = {"article", "main", "body", "table"}
+CROSSING = {"article", "main", "body", "html"}  # end tags that do
 BOUND = -50.0  # score of leaving a content element, and of entering the outermost: what lies beyond must outweigh it
 OUTSIDE = 0.5  # factor of a word's score outside all content elements of a page that has some
 #: Elements, roles and words of class or id that are never content.
@@ -41,6 +45,7 @@ SKIP_WORDS = {
     "widget", "widgets", "login", "search", "alert", "copyright", "recommended", "responses", "discussion",
 }
 HEADER_WORDS = {"header"}
+KNOWN = RAW | VOID | BLOCK | INLINE | SKIP
 #: Elements whose end tags are often left out: a new one ends an open one of the same set.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -63,7 +68,7 @@ def _skipped(name: str, attributes: str, in_content: bool) -> bool:
 def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
     """(sequence, blocks): the page's tokens outside what is skipped, and the texts of its blocks.
 
-    A token is (kind, block, in content): kind is a tag that begins ('<p>' as 'p'), '/' for a bound of a content element
+    A token is (kind, block, in content): kind is a tag that begins ('<p>' as 'p', one that HTML doesn't know as 'other'), '/' for a bound of a content element
     (the end of each, and the begin of an outermost one), or 'word' or 'linked' with as many tokens as the block has
     words. in content: within an article or main element. A text without a place yet, white space alone, makes no block.
     """
@@ -71,6 +76,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
     blocks: list[str] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool]] = []
+    opened: list[Counter] = [Counter()]  # names of open elements, by scope; an end tag without a begin looks no further
+    every: Counter = Counter()
     skip = content = links = 0
 
     def flush() -> None:
@@ -86,6 +93,10 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
         nonlocal skip, content, links
         while len(stack) > to:
             name, was = stack.pop()
+            opened[-1][name] -= 1
+            every[name] -= 1
+            if name in SCOPE:
+                opened.pop()
             if name in CONTENT:
                 if not skip:
                     seq.append(("/", -1, True))
@@ -111,15 +122,13 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
             continue
         if name in BLOCK:
             flush()
+        elif name == "br" and not skip:
+            parts.append((" ", False))
         if not skip and not closing:
-            seq.append((name, -1, content > 0))
+            seq.append((name if name in KNOWN else "other", -1, content > 0))
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "table") and name not in ("article", "main", "body", "html"):
-                    break
+            if (every if name in CROSSING else opened[-1])[name]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             ends = CLOSES.get(name, {"p"} if name in BLOCK else set())
             while stack and stack[-1][0] not in BLOCK and ends and any(x in ends for x, _ in stack[-6:]):
@@ -127,7 +136,11 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
             if stack and stack[-1][0] in ends:
                 pop(len(stack) - 1)
             was = _skipped(name, m[3], content > 0)
+            if name in SCOPE:
+                opened.append(Counter())
             stack.append((name, was))
+            opened[-1][name] += 1
+            every[name] += 1
             skip += was
             if name in CONTENT:
                 if not skip and not content:
@@ -193,7 +206,7 @@ def learn(pages: DataFrame, max_pages: int = MAX_LABELLED) -> dict[str, float]:
                     total.update(got)
             yield pd.DataFrame([(k, side == 0, n) for side in (0, 1) for k, n in both[side].items()], columns=["kind", "inside", "n"])
 
-    got = sample.mapInPandas(count, "kind string, inside boolean, n long").filter(F.length("kind") <= 20).groupBy("kind", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(1000).collect()
+    got = sample.mapInPandas(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()  # at most two rows for each known tag
     return weights(Counter({r["kind"]: r["n"] for r in got if r["inside"]}), Counter({r["kind"]: r["n"] for r in got if not r["inside"]}))
 
 
