@@ -17,10 +17,13 @@ BROADCAST_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: spark.checkpoint.dir, or a local one where that is unset (single machine)."""
+    """The shared folder for checkpoints: spark.checkpoint.dir. Where that is unset, one of its own on a single machine; on a
+    cluster, whose executors wouldn't see that, an error."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="foliospark-checkpoint-")
         sc.setCheckpointDir(known)
     elif not sc.getCheckpointDir():

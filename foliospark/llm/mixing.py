@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, small
 
 SHARE = 1.5  # of all words that are taken
 MOST = 2.0  # times a document at most
@@ -27,8 +27,12 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
 
     Each round shares what is left by weight among the sources that are not full, and fills up those that get too much.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1  # one row per source is sorted
-    at = cut(sizes.withColumn("weight", F.get(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int")).cast("double")).withColumn("limit", most * F.col("source_size")))
+    order = (F.col("source").isNull(), F.col("source"))
+    ranged = cut(sizes.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    held = {r[0]: r[1] for r in ranged.groupBy("__p").count().collect()}  # one row per partition
+    ahead = F.create_map(*[F.lit(x) for p in sorted(held) for x in (p, sum(n for q, n in held.items() if q < p))]) if held else F.lit(None)
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1 + (ahead[F.col("__p")] if held else F.lit(0))
+    at = cut(ranged.withColumn("weight", F.get(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int")).cast("double")).withColumn("limit", most * F.col("source_size")))
     left = share * (at.agg(F.sum("source_size")).first()[0] or 0)
     rate, full = 0.0, 0
     while left > 0:
@@ -75,7 +79,7 @@ def _round_together(units: DataFrame) -> DataFrame:
     decided, level = None, 0
     # a source of n units gets n / FAN buckets, whatever n is
     counts = units.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("__n"))
-    current = units.join(counts, F.col("source").eqNullSafe(F.col("__s"))).select("source", "key", "size", "f", F.greatest(F.lit(1), F.ceil(F.col("__n") / FAN)).cast("long").alias("of"))
+    current = units.join(small(cut(counts)), F.col("source").eqNullSafe(F.col("__s"))).select("source", "key", "size", "f", F.greatest(F.lit(1), F.ceil(F.col("__n") / FAN)).cast("long").alias("of"))
     while True:
         bucket = F.pmod(F.xxhash64(F.lit(SEED + level), "key"), F.col("of"))
         folded = current.groupBy("source", "of", bucket.alias("b")).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), F.xxhash64(F.lit(SEED + level), "key").alias("tie"), "key", "size", "f"))).alias("x"))
@@ -111,19 +115,23 @@ def _mixed(rows: DataFrame) -> DataFrame:
     by = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     by = cut(by.withColumn("p", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor("p")).withColumn("f", F.col("p") - F.col("whole")))
     units = rows.groupBy("source", "key").agg(F.sum("size").alias("size")).filter("size > 0")
-    part = by.filter("f > 0").select(F.col("source").alias("__s"), "f")
+    part = small(by.filter("f > 0").select(F.col("source").alias("__s"), "f"))
     units = cut(units.join(part, F.col("source").eqNullSafe(F.col("__s"))).select("source", "key", "size", "f"))
     up = cut(_round_together(units).filter("up = 1").select(F.col("source").alias("__s"), F.col("key").alias("__k"), "up"))
     by = by.select(F.col("source").alias("__b"), "source_size", "target", "whole")
-    out = rows.join(by, F.col("source").eqNullSafe(F.col("__b"))).join(up, F.col("source").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__k")), "left")
+    out = rows.join(small(by), F.col("source").eqNullSafe(F.col("__b"))).join(up, F.col("source").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__k")), "left")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.coalesce("up", F.lit(0))).otherwise(0).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source", "key")
 
 
 def repeat(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it: not at all, once or twice."""
+    """docs with each row as often as the mix takes it: not at all, once or twice.
+
+    Nulls, texts without words, repeated rows and an empty table are treated as in mix(); extra columns are kept, copies are
+    equal. Texts meet what is decided about them, which is broadcast if it is of few documents.
+    """
     size, key = _keyed()
     got = cut(_mixed(docs.select("doc_id", "source", size, key)).filter("copies > 0").select(F.col("source").alias("__s"), F.col("key").alias("__k"), F.col("copies").alias("__copies")).distinct())
     keyed = docs.withColumn("__key", key)
-    found = keyed.join(got, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k")))
+    found = keyed.join(small(got), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k")))
     return found.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

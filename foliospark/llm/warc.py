@@ -19,7 +19,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_checkpoint_dir
+from .common import cut, ensure_checkpoint_dir, small
 
 PIECE = 1 << 18  # bytes read at a time
 HEADER_MOST = 1 << 20  # bytes of a record's header at most
@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     owner = full.filter(F.octet_length("html") >= MIN_SHARED).groupBy("sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("n"))
     owner = cut(owner.filter("n > 1").select("sha", "owner"))
     # only payloads that occur more than once have an owner to look up
-    marked = full.join(owner, "sha", "left").select("page_id", "url", "html", F.when(F.col("owner") != F.col("page_id"), F.col("owner")).alias("refers_to"))
+    marked = full.join(small(owner), "sha", "left").select("page_id", "url", "html", F.when(F.col("owner") != F.col("page_id"), F.col("owner")).alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, base = _open(folder)
