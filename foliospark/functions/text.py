@@ -51,16 +51,14 @@ def snippet(c: Column, most: int = 450) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
 
 
-def truncate(c: Column, most: int) -> Column:
+def truncate(c: Column, most: int | Column) -> Column:
     """c cut after the last sentence mark within `most` characters, if that keeps 60 % of them, and marked with …"""
-    text = strip(c)
-    if most <= 0:
-        return text
-    head = F.substring(text, 1, most)
+    text, n = strip(c), F.lit(most) if isinstance(most, int) else most
+    head = F.substring(text, F.lit(1), n)
     last = F.length(F.regexp_extract(head, r"(?s)^(.*)[。！？；….!?;\n]", 1))
     has = head.rlike(r"(?s)[。！？；….!?;\n]")
-    cut = F.when(has & (last >= int(most * 0.6)), F.substring(head, F.lit(1), last + 1)).otherwise(head)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, r"(?U)\s+$", ""), F.lit("…")))
+    cut = F.when(has & (last >= F.floor(n * 0.6)), F.substring(head, F.lit(1), last + 1)).otherwise(head)
+    return F.when((n <= 0) | (F.length(text) <= n), text).otherwise(F.concat(F.regexp_replace(cut, r"(?U)\s+$", ""), F.lit("…")))
 
 
 def clamp01(c: Column) -> Column:

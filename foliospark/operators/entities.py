@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
-from ..functions.text import CJK, grams
+from ..functions.text import CJK, grams, strip
 
 #: Words and characters that results depend on.
 STOP = ("什么", "怎么", "为什么", "为何", "哪里", "哪个", "哪些", "是否", "能否", "可以", "一下", "一段", "原文", "内容", "章节", "目录", "作者", "读者", "问题", "回答", "如下", "以上", "如下内容", "原文内容", "要求", "直接", "明确", "无法确定", "无法回答")
 NOISY = ("第一次", "首次", "最早", "初次", "出现", "登场", "出场", "第", "章", "页", "……")
+QUESTION_WORDS = ("第一次", "首次", "初次", "出现", "登场", "说", "做", "什么", "怎样", "如何")
 FUNCTION_START = "的了和与在是有这那他她它"
 TITLE = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"
 FIRST_INTENT, LAST_INTENT = r"(第一次|首次|初次).{0,6}(出现|登场)", r"(最后一次|最终|末次).{0,6}(出现|登场)"
@@ -72,7 +73,43 @@ def mentions(questions: DataFrame, names: DataFrame, most: int = 3) -> DataFrame
     return taken.join(questions.select("qid", F.col("text").alias("q")), "qid").select("qid", F.substring(F.col("q"), F.col("at"), F.col("n")).alias("name"), "at")
 
 
+def intent(q: Column) -> Column:
+    """'last' or 'first' if a question asks for an appearance, else null."""
+    return F.when(strip(q).rlike(LAST_INTENT), "last").when(strip(q).rlike(FIRST_INTENT), "first")
+
+
+def page_of(chunk_id: Column, page_start: Column) -> Column:
+    """A chunk's page: the one it states, else the one in its id; null without either."""
+    named = F.regexp_extract(chunk_id.cast("string"), r"^p([0-9]{1,7})_c[0-9]+$", 1)
+    return F.when(page_start > 0, page_start.cast("long")).otherwise(F.nullif(named, F.lit("")).cast("long"))
+
+
+def telling(asked: DataFrame) -> DataFrame:
+    """asked (qid, name, ...) without names that hold words of questions, unless a question has no others."""
+    rows = asked.withColumn("__plain", ~F.col("name").rlike("|".join(QUESTION_WORDS)))
+    return rows.withColumn("__some", F.max("__plain").over(Window.partitionBy("qid"))).filter(F.col("__plain") | ~F.col("__some")).drop("__plain", "__some")
+
+
 def recall(asked: DataFrame, names: DataFrame, postings: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
-    """(qid, chunk_id, score): sums of idf * (1 + sqrt(tf)) over the first postings of each mentioned name; a name twice counts twice."""
-    rows = asked.join(postings.filter(F.col("pos") <= conf.entity_postings), "name").join(names, "name")
-    return rows.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("idf") * (1 + F.sqrt("tf"))), 6).alias("score"), F.min("page_start").alias("page_start"))
+    """(qid, chunk_id, score, page_start): sums of idf * (1 + sqrt(tf)) over the first postings of each mentioned name; a name
+    twice counts twice.
+
+    Where a question has an intent (a column of asked), a name's postings are taken by page, the earliest or the latest
+    first, and those without a page not at all. A name without an idf counts as 1.
+    """
+    rows = telling(asked)
+    rows = rows if "intent" in rows.columns else rows.withColumn("intent", F.lit(None).cast("string"))
+    plain = rows.filter("intent is null").join(postings.filter(F.col("pos") <= conf.entity_postings), "name")
+    by_page = postings.withColumn("page", page_of(F.col("chunk_id"), F.col("page_start"))).filter("page is not null")
+    ends = {}
+    for side, order in (("first", F.col("page")), ("last", F.col("page").desc())):
+        rank = F.row_number().over(Window.partitionBy("name").orderBy(order, "pos"))
+        ends[side] = rows.filter(F.col("intent") == side).join(by_page.withColumn("rank", rank).filter(F.col("rank") <= conf.entity_postings).drop("rank", "page"), "name")
+    found = plain.unionByName(ends["first"]).unionByName(ends["last"]).join(names.select("name", "idf"), "name", "left")
+    return found.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.coalesce("idf", F.lit(1.0)) * (1 + F.sqrt("tf"))), 6).alias("score"), F.min("page_start").alias("page_start"))
+
+
+def loaded(names: DataFrame, postings: DataFrame) -> DataFrame:
+    """(name, idf) that questions are searched for: names with an idf and those that have postings only, if they are reasonable."""
+    every = names.select("name", "idf").unionByName(postings.select("name", F.lit(None).cast("double").alias("idf")).distinct())
+    return every.filter(reasonable(F.col("name"))).groupBy("name").agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("idf"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import sentences, strip, truncate
+from . import understand
+from .understand import keywords
 
 #: Patterns that results depend on.
 REFUSAL = r"(?:无法确认|无法确定|不确定|未知|没有(?:提到|说明|给出|描述)|未(?:提到|说明|给出|描述)|并未(?:提到|说明|给出|描述)|因此，?无法确认|因此，?无法确定|无法(?:从|依据|根据).*(?:得出|确认)|信息不足|资料不足|证据不足)"
@@ -14,6 +18,12 @@ META_PREFIX = r"(?iU)^\s*(?:(?:根据|依据|参照|结合|基于)\s*(?:上述|
 META_CLAUSE = r"(?iU)(?:(?:参考信息|资料|原文|片段)\s*(?:中|里|内)?\s*(?:没有|未|并未)\s*(?:提到|说明|给出|描述)[^。！？\n]*|(?:无法|不能)\s*(?:从|依据|根据)\s*(?:参考信息|资料|原文|片段)[^。！？\n]*)"
 NAME = r"[一-鿿]{2,4}(?:·[一-鿿]{2,4})?"
 NAME_STOP = ("同学", "学生", "女生", "男生", "老师", "教授", "校长", "学院", "人物", "角色")
+META_WORDS = ("参考信息", "资料", "原文", "片段", "页码", "章节", "知识库", "小说", "书中")
+KEPT_LABELS = ("关键描写", "情节", "简短总结")
+HOUSES = ("格兰芬多", "斯莱特林", "拉文克劳", "赫奇帕奇")
+LIST_WORDS = ("哪些", "列出", "列举")
+CRITERIA_LINES = ("判定标准：", "1) 依据问题语义从原文中抽取", "2) 需有明确描写或具体情节支撑", "3) 不满足条件的不列出", "")
+LABELS = ("   关键描写/情节：", "   简短总结：")
 NO_ANSWER, FOUND = "无法回答", "相关内容如下："
 CITATION = r"\[([A-Za-z0-9_:-]+)\]"
 
@@ -29,21 +39,24 @@ def budgeted(rows: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     """rows (qid, no, text) with piece: texts cut to evidence_chunk_chars, and all of a question to evidence_chars."""
     rows = rows.withColumn("piece", truncate(F.col("text"), conf.evidence_chunk_chars))
     used = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("qid").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("left", F.lit(conf.evidence_chars) - used).filter("left > 0")
-    return rows.withColumn("piece", F.substring(F.col("piece"), F.lit(1), F.col("left").cast("int"))).drop("left")
+    rows = rows.withColumn("left", (F.lit(conf.evidence_chars) - used).cast("int")).filter("left > 0")
+    return rows.withColumn("piece", F.when(F.length("piece") > F.col("left"), truncate(F.col("piece"), F.col("left"))).otherwise(F.col("piece"))).drop("left")
 
 
 def block(rows: DataFrame) -> DataFrame:
-    """(qid, evidence): numbered pieces, one after the other."""
-    head = F.format_string("[来源%d]（页码 %s-%s，%s）：\n%s", F.col("no"), F.col("page_start").cast("string"), F.col("page_end").cast("string"), F.coalesce("chapter", F.lit("")), F.col("piece"))
-    return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", head.alias("t")))), lambda x: x["t"]), "\n").alias("evidence"))
+    """(qid, evidence): numbered pieces with their pages and chapter, one after the other."""
+    first, last, chapter = F.col("page_start").cast("string"), F.col("page_end").cast("string"), strip(F.col("chapter"))
+    pages = F.coalesce(F.when(F.col("page_end") != F.col("page_start"), F.concat(first, F.lit("-"), last)), first, F.lit("?"))
+    head = F.concat(F.lit("[来源"), F.col("no").cast("string"), F.lit("]（页码 "), pages, F.when(chapter != "", F.concat(F.lit("，"), chapter)).otherwise(""), F.lit("）：\n"), F.col("piece"), F.lit("\n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", head.alias("t")))), lambda x: x["t"]), "\n")
+    return rows.groupBy("qid").agg(strip(joined).alias("evidence"))
 
 
 def extract_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """(qid, answer): the numbered snippets of a question's hits (qid, rank, text_snippet), or that there is none."""
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.regexp_replace("text_snippet", r"\n", " "))
+    line = F.concat(F.lit("来源"), F.col("rank").cast("string"), F.lit("）"), strip(F.regexp_replace("text_snippet", r"\n", " ")))
     got = hits.filter(strip(F.col("text_snippet")) != "").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda x: x["t"]), "\n").alias("a"))
-    return questions.select("qid").join(got, "qid", "left").select("qid", F.coalesce(F.concat(F.lit(FOUND + "\n"), F.col("a")), F.lit(NO_ANSWER)).alias("answer"))
+    return questions.select("qid").join(got, "qid", "left").select("qid", F.coalesce(F.concat(F.lit(FOUND + "\n\n"), F.col("a")), F.lit(NO_ANSWER)).alias("answer"))
 
 
 def key_terms_first(hits: DataFrame, terms: Column) -> DataFrame:
@@ -58,9 +71,17 @@ def is_refusal(text: Column) -> Column:
 
 
 def clean_style(text: Column) -> Column:
-    """text without sentences and clauses about sources."""
-    kept = F.filter(F.transform(sentences(text), lambda s: strip(F.regexp_replace(F.regexp_replace(s, META_PREFIX, ""), META_CLAUSE, ""))), lambda s: ~s.rlike(r"^[。！？；;.!?，,\s]*$"))
-    return F.array_join(kept, "")
+    """text without sentences, clauses and words about sources; lines with labels of lists stay as they are."""
+    without = lambda s: reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), META_WORDS, s)
+
+    def one(s: Column) -> Column:
+        bare = strip(F.regexp_replace(strip(F.regexp_replace(s, META_PREFIX, "")), META_CLAUSE, ""))
+        only_meta = s.rlike(META_CLAUSE) & (F.length(strip(F.regexp_replace(s, META_CLAUSE, ""))) <= 2)
+        return F.when(s.rlike("|".join(KEPT_LABELS)), s).when(~only_meta, F.when(bare.rlike("|".join(META_WORDS)), strip(without(bare))).otherwise(bare))
+
+    parts = F.transform(F.split(strip(text), r"(?<=[。！？\n])"), strip)
+    kept = F.filter(F.transform(parts, one), lambda s: s.isNotNull() & (s != ""))
+    return strip(F.array_join(kept, ""))
 
 
 def clean_value(v: Column) -> Column:
@@ -88,13 +109,50 @@ def structured(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("qid", "target", "field").agg(F.min_by("value", F.struct("no", "i")).alias("value"))
 
 
+def filled(values: DataFrame, planned: DataFrame) -> DataFrame:
+    """(qid, complete, table) for plans (qid, targets, fields) from values (qid, target, field, value): whether every cell has
+    one, and a line per target of what is known. Plans without targets or fields are never complete."""
+    cells = planned.select("qid", F.posexplode("targets").alias("i", "target"), "fields").select("qid", "i", "target", F.posexplode("fields").alias("j", "field"))
+    rows = cells.join(values, ["qid", "target", "field"], "left")
+    part = F.when(F.col("value") != "", F.concat("field", F.lit("："), "value"))
+    in_order = lambda c, by: F.transform(F.array_sort(F.filter(F.collect_list(F.struct(F.col(by), c.alias("t"))), lambda x: x["t"].isNotNull())), lambda x: x["t"])
+    lines = rows.groupBy("qid", "i", "target").agg(F.array_join(in_order(part, "j"), "；").alias("known"), F.min((part.isNotNull()).cast("int")).alias("all"))
+    line = F.when(F.col("known") != "", F.concat("target", F.lit("："), "known"))
+    return lines.groupBy("qid").agg((F.min("all") == 1).alias("complete"), F.array_join(in_order(line, "i"), "\n").alias("table"))
+
+
+def list_terms(question: Column, criteria: Column) -> Column:
+    """What sentences must hold one of to name something a list question asks for."""
+    words = F.concat(F.array(F.coalesce(criteria, F.lit(""))), keywords(question, 8))
+    return F.filter(words, lambda t: (t != "") & ~t.isin(*LIST_WORDS))
+
+
 def names_in(evidence: DataFrame, terms: Column, most: int = 8) -> DataFrame:
-    """(qid, name, no, i): names in sentences that hold one of the terms, each where it first is, `most` per question."""
+    """(qid, name, no, i, sentence): names in sentences that hold one of the terms (in any, without terms), each where it first
+    is; names of later sentences are left out once there are `most`."""
     s = evidence.select("qid", "no", F.posexplode(sentences(F.col("text"))).alias("i", "s"), terms.alias("terms"))
-    s = s.filter(F.exists("terms", lambda t: F.contains(F.col("s"), t)))
-    rows = s.select("qid", "no", "i", F.explode(F.regexp_extract_all("s", F.lit(NAME), F.lit(0))).alias("name")).filter(~F.col("name").isin(*NAME_STOP))
-    first = rows.groupBy("qid", "name").agg(F.min(F.struct("no", "i")).alias("at")).select("qid", "name", "at.no", "at.i")
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("no", "i", "name"))).filter(F.col("r") <= most).drop("r")
+    s = s.filter((F.size("terms") == 0) | F.exists("terms", lambda t: F.contains(F.col("s"), t)))
+    rows = s.select("qid", "no", "i", "s", F.posexplode(F.regexp_extract_all("s", F.lit(NAME), F.lit(0))).alias("k", "name")).filter(~F.col("name").isin(*NAME_STOP))
+    first = rows.groupBy("qid", "name").agg(F.min(F.struct("no", "i", "k", F.col("s").alias("sentence"))).alias("at")).select("qid", "name", "at.*")
+    before = F.count("*").over(Window.partitionBy("qid").orderBy("no", "i").rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(Window.partitionBy("qid", "no", "i"))
+    return first.withColumn("before", before).filter(F.col("before") < most).drop("before")
+
+
+def list_answer(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, answer): for list questions (qid, text), their names (qid, name, no, i, k, sentence) with the sentence and what
+    it says beside the name."""
+    criteria = understand.criteria(F.col("text"))
+    rows = found.join(asked.select("qid", F.coalesce(criteria, F.lit("")).alias("criteria"), understand.needs_criteria(F.col("text")).alias("needs")), "qid")
+    house = F.coalesce(*[F.when(F.contains("sentence", F.lit(h)), h) for h in HOUSES])
+    shown = F.when(house.isNotNull(), F.concat("name", F.lit("（"), house, F.lit("）"))).otherwise(F.col("name"))
+    plain = strip(F.replace(F.translate("sentence", "“”‘’", ""), F.col("name"), F.lit("")))
+    plain = strip(F.when(F.col("criteria") != "", F.replace(plain, F.col("criteria"), F.lit(""))).otherwise(plain))
+    brief = F.when(F.length(plain) > 60, F.concat(F.regexp_replace(F.substring(plain, 1, 60), r"(?U)\s+$", ""), F.lit("…"))).otherwise(plain)
+    rows = rows.withColumn("no_", F.row_number().over(Window.partitionBy("qid").orderBy("no", "i", "k")))
+    item = F.concat(F.col("no_").cast("string"), F.lit(") "), shown, F.lit("\n" + LABELS[0]), "sentence", F.lit("\n" + LABELS[1]), brief)
+    lines = rows.groupBy("qid", "needs").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no_", item.alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
+    head = F.when(F.col("needs"), F.lit("\n".join(CRITERIA_LINES) + "\n")).otherwise("")
+    return lines.select("qid", strip(F.concat(head, F.col("lines"))).alias("answer"))
 
 
 def bridge_alias(question: Column, left: Column, right: Column) -> Column:
@@ -119,6 +177,19 @@ def coverage(text: Column, compat: bool = False) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(s, lambda x: x.rlike(CITATION))), F.size(s)), F.lit(0.0))
 
 
+def numbered(text: Column) -> Column:
+    """Citations of a text as (id, no), numbered by where each first stands."""
+    return F.transform(citations(text), lambda c, i: F.struct(c.alias("id"), (i + 1).alias("no")))
+
+
+def prompts(rows: DataFrame, template: str) -> DataFrame:
+    """rows (qid, text, evidence) with prompt: a template with {query} and {context} in it. The evidence is put in last, so
+    nothing that it says is taken for a place to fill."""
+    head, tail = template.split("{context}")
+    fill = lambda part: F.replace(F.lit(part), F.lit("{query}"), F.col("text"))
+    return rows.withColumn("prompt", F.concat(fill(head), F.coalesce("evidence", F.lit("")), fill(tail)))
+
+
 def hit_and_mrr(questions: DataFrame, hits: DataFrame, gold: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(n, hit_rate, mrr) of rankings against gold (qid, chunk_id); questions without gold or hit count as misses."""
     first = hits.join(gold, ["qid", "chunk_id"]).groupBy(*by, "qid").agg(F.min("rank").alias("first"))

@@ -32,6 +32,18 @@ def multi_query(recall: DataFrame, k: int, conf: EngineConf = DEFAULT) -> DataFr
     return weighted_rrf([(first, 1.0), (rest, conf.extra_query_weight)], k, conf.rrf_k0)
 
 
+def with_entities(ranked: DataFrame, recalled: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
+    """Fuses rankings (qid, chunk_id, rank) with entity recall (qid, chunk_id, score, page_start, intent): nothing is cut off.
+
+    Where a question has an intent, chunks found by entity are ranked by page once more, the earliest or the latest first.
+    """
+    by_name = recalled.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")))
+    timely = by_name.filter(F.col("intent").isNotNull() & (F.col("page_start") > 0))
+    page = F.when(F.col("intent") == "last", -F.col("page_start")).otherwise(F.col("page_start"))
+    by_page = timely.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(page, "rank")))
+    return weighted_rrf([(ranked, 1.0), (by_name, conf.entity_weight), (by_page, conf.chrono_weight)], None, conf.rrf_k0)
+
+
 def candidate_k(top_k: int, temporal: bool, rerank: bool, many: bool, conf: EngineConf = DEFAULT) -> int:
     return max(top_k, conf.temporal_candidates * temporal, conf.rerank_candidates * (rerank or many))
 
@@ -108,4 +120,30 @@ def lexical_rerank_scores(pairs: DataFrame, conf: EngineConf = DEFAULT) -> DataF
     return pairs.select("qid", "chunk_id", F.round(1 / (1 + F.exp(-(8 * F.coalesce(share, F.lit(0.0)) - 4))), 6).alias("rerank_score"))
 
 
-__all__ = ["candidate_k", "gaps", "hybrid", "lexical_rerank_scores", "materialise", "multi_query", "overlap_gate", "rerank", "score_gate", "threshold", "top", "weighted_rrf"]
+def rerank_scores(replies: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, chunk_id, rerank_score, status) from a provider's JSON replies (qid, reply) for asked (qid, chunk_id).
+
+    A reply is {"scores": [{"chunk_id": ..., "score": ...}]}. Scores are clamped to 0 to 1, missing ones are 0. status is
+    parse_error if a reply is no JSON, bad_format without a list, bad_output if no score is of a chunk that was asked for;
+    then, and without a reply (no_reply), a question has null scores and keeps its order.
+    """
+    listed = F.from_json("reply", "struct<scores:array<struct<chunk_id:string,score:double>>>")["scores"]
+    got = replies.select("qid", F.try_parse_json("reply").isNull().alias("broken"), listed.alias("list"))
+    each = got.select("qid", F.explode("list").alias("x")).filter("x.chunk_id is not null").groupBy("qid", F.col("x.chunk_id").alias("__id")).agg(F.max("x.score").alias("s"))
+    rows = asked.select("qid", "chunk_id", F.col("chunk_id").cast("string").alias("__id")).join(got, "qid", "left").join(each.withColumn("__known", F.lit(True)), ["qid", "__id"], "left")
+    some = F.max(F.col("__known").isNotNull()).over(Window.partitionBy("qid"))
+    status = F.when(F.col("broken").isNull(), "no_reply").when(F.col("broken"), "parse_error").when(F.col("list").isNull(), "bad_format").when(~some, "bad_output")
+    rows = rows.withColumn("status", status)
+    return rows.select("qid", "chunk_id", F.when(F.col("status").isNull(), clamp01(F.coalesce("s", F.lit(0.0)))).alias("rerank_score"), "status")
+
+
+def rerank_where_scored(hits: DataFrame, scored: DataFrame, k: int | None) -> DataFrame:
+    """rerank() for questions that have scores; the others keep their order and scores. Both are cut to k."""
+    known = scored.filter("rerank_score is not null")
+    has = known.select("qid").distinct()
+    plain = hits.join(has, "qid", "left_anti").withColumns({"rerank_score": F.lit(None).cast("double"), "recall_rank": F.col("rank")})
+    both = rerank(hits.join(has, "qid", "left_semi"), known.select("qid", "chunk_id", "rerank_score"), None).unionByName(plain)
+    return both if k is None else both.filter(F.col("rank") <= k)
+
+
+__all__ = ["candidate_k", "gaps", "hybrid", "lexical_rerank_scores", "materialise", "multi_query", "overlap_gate", "rerank", "rerank_scores", "rerank_where_scored", "score_gate", "threshold", "top", "weighted_rrf", "with_entities"]

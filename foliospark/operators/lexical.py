@@ -1,23 +1,59 @@
-"""BM25 over chunks (chunk_id, text), for many questions (qid, text) at once."""
+"""BM25 over chunks (chunk_id, text), for many questions (qid, text) at once.
+
+Chunks are read as a forward index: per chunk its length and the counts of its terms, made within the row, so nothing is
+shuffled for it. An index that is written once (keep) serves any number of searches. Statistics need one narrow pass, and
+scoring another: questions are broadcast block by block, every task scores its chunks against all questions of the block and
+passes on its best k a question, so what is shuffled grows with questions and tasks, not with questions times chunks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
 
+ASKED = 200_000  # terms of questions that are broadcast at a time, repeats between questions counted
+CELLS = 400_000  # questions times chunks that a task scores together
+
+
+def index(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl, terms, tfs): each chunk's length in tokens, different terms in order, and how often it has them.
+
+    A chunk without tokens has none. An index may stand for chunks wherever they are searched.
+    """
+    rows = chunks.select("chunk_id", F.sort_array(tokens(F.col("text"))).alias("t")).withColumn("dl", F.size("t"))
+    first = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("__first", first)
+    tfs = F.transform("__first", lambda i, k: F.coalesce(F.get("__first", k + 1), F.col("dl")) - i)
+    return rows.select("chunk_id", "dl", F.array_distinct("t").alias("terms"), tfs.alias("tfs"))
+
+
+def keep(chunks: DataFrame, path: str) -> DataFrame:
+    """The index, written as Parquet under path (which executors share) and read from there."""
+    index(chunks).write.mode("overwrite").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
+def _indexed(chunks: DataFrame) -> DataFrame:
+    return chunks if "tfs" in chunks.columns else index(chunks)
+
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, dl); chunks without tokens have none."""
-    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return rows.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    rows = _indexed(chunks).select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    return rows.select("x.terms", "chunk_id", F.col("x.tfs").cast("long").alias("tf"), "dl").withColumnRenamed("terms", "term")
 
 
 def corpus(chunks: DataFrame) -> DataFrame:
     """One row (n, avgdl) over chunks that have tokens."""
-    size = F.size(tokens(F.col("text")))
+    size = F.col("dl") if "tfs" in chunks.columns else F.size(tokens(F.col("text")))
     return chunks.select(size.alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
@@ -29,20 +65,76 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def scores(questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
-    """(qid, chunk_id, score) of all chunks that share a term with the question.
-
-    Only places of terms that some question has are counted and shuffled.
-    """
+def _weights(questions: DataFrame, docs: DataFrame) -> tuple[DataFrame, float, DataFrame]:
+    """(qid, term, idf) of terms that some chunk has, the mean length, and what is kept of the one pass over terms alone."""
     asked = query_terms(questions)
-    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    hits = rows.select("chunk_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus(chunks)
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    weighed = tf.join(df, "term").withColumn("w", idf(n, F.col("df")) * F.col("tf") * (conf.k1 + 1) / (F.col("tf") + conf.k1 * (1 - conf.b + conf.b * F.col("dl") / avgdl)))
-    return weighed.join(asked, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    terms = asked.select("term").distinct()
+    lengths = docs.filter("dl > 0").select(F.lit(None).cast("string").alias("term"), F.col("dl").cast("long").alias("dl"))
+    seen = docs.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").select("term", F.lit(0).cast("long").alias("dl"))
+    df = seen.unionByName(lengths).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).persist()
+    total = df.filter("term is null").first()
+    n, avgdl = (total["df"], total["dl"] / total["df"]) if total else (0, 1.0)
+    return asked.join(df.filter("term is not null"), "term").select("qid", "term", idf(F.lit(n), F.col("df")).alias("idf")), avgdl, df
+
+
+def scores(questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT, k: int | None = None) -> DataFrame:
+    """(qid, chunk_id, score) of chunks that share a term with the question: all of them, or with k at least the best k."""
+    docs = _indexed(chunks)
+    weights, avgdl, kept = _weights(questions, docs)
+    n_asked = weights.count()
+    blocks = max(1, -(-n_asked // ASKED))
+    kinds = dict(questions.dtypes)["qid"], dict(docs.dtypes)["chunk_id"]
+    out = None
+    for b in range(blocks):
+        part = weights.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("term", "qid").toArrow()
+        found = docs.select("chunk_id", "dl", "terms", "tfs").mapInArrow(_scorer(docs, part, avgdl, conf, k), f"qid {kinds[0]}, chunk_id {kinds[1]}, score double")
+        out = found if out is None else out.unionByName(found)
+    kept.unpersist()
+    return out.select("qid", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _scorer(docs: DataFrame, asked: pa.Table, avgdl: float, conf: EngineConf, k: int | None):
+    """A function over batches of the index, for a block of weights sorted by term."""
+    asked = asked.combine_chunks()
+    qids = asked["qid"].unique()
+    who = pc.index_in(asked["qid"], value_set=qids).to_numpy().astype(np.int64)
+    terms = asked["term"].unique()
+    starts = np.searchsorted(pc.index_in(asked["term"], value_set=terms).to_numpy(), np.arange(len(terms) + 1))
+    held = docs.sparkSession.sparkContext.broadcast((qids, terms, who, asked["idf"].to_numpy(), starts))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, terms, who, idfs, starts = held.value
+        step = max(1, CELLS // max(1, len(qids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(qids) else 0, step):
+                rb = whole.slice(at, step)
+                order = pc.sort_indices(rb.column("chunk_id"))  # ties go by the chunk
+                rb = pa.RecordBatch.from_arrays([c.take(order) for c in rb.columns], names=rb.schema.names)
+                lists, n = rb.column("terms"), rb.num_rows
+                chunk = np.repeat(np.arange(n), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                term = pc.index_in(lists.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                has = term >= 0
+                chunk, term, tf = chunk[has], term[has], rb.column("tfs").flatten().to_numpy(zero_copy_only=False)[has].astype(float)
+                dl = rb.column("dl").to_numpy(zero_copy_only=False)[chunk]
+                w = tf * (conf.k1 + 1) / (tf + conf.k1 * (1 - conf.b + conf.b * dl / avgdl))
+                times = starts[term + 1] - starts[term]
+                every = np.repeat(np.arange(len(term)), times)
+                entry = starts[term][every] + np.arange(len(every)) - np.repeat(np.cumsum(times) - times, times)
+                s = np.bincount(who[entry] * n + chunk[every], idfs[entry] * w[every], len(qids) * n).reshape(len(qids), n)
+                q, c = np.nonzero(s > 0) if k is None else _best(s, k)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), rb.column("chunk_id").take(pa.array(c)), pa.array(s[q, c])], names=["qid", "chunk_id", "score"])
+
+    return score
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k highest positive scores of each row, rounded as they are ranked; of equal ones those that come first."""
+    if s.shape[1] <= k:
+        return np.nonzero(s > 0)
+    r = np.where(s > 0, np.round(s, 6), -1.0)
+    least = np.partition(r, -k, 1)[:, -k][:, None]
+    above, equal = r > least, (r == least) & (r >= 0)
+    return np.nonzero(above | equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))
 
 
 def top(ranked: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -52,12 +144,19 @@ def top(ranked: DataFrame, k: int, by: str = "qid", score: str = "score", tie: s
 
 
 def search(questions: DataFrame, chunks: DataFrame, k: int, conf: EngineConf = DEFAULT) -> DataFrame:
-    return top(scores(questions, chunks, conf), k)
+    """(qid, chunk_id, score, rank): the best k chunks (or rows of an index) of each question."""
+    return top(scores(questions, chunks, conf, k), k)
 
 
 def point_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
-    """pairs (qid, chunk_id) with their score, 0 without a shared term."""
-    return pairs.join(scores(questions, chunks, conf), ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """pairs (qid, chunk_id) with their score, 0 without a shared term. Terms of the pairs alone are joined."""
+    docs = _indexed(chunks)
+    weights, avgdl, _ = _weights(questions, docs)
+    rows = pairs.select("qid", "chunk_id").distinct().join(docs, "chunk_id").select("qid", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    tf = F.col("x.tfs")
+    w = F.col("idf") * tf * (conf.k1 + 1) / (tf + conf.k1 * (1 - conf.b + conf.b * F.col("dl") / avgdl))
+    rows = rows.withColumn("term", F.col("x.terms")).join(weights, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.round(F.sum(w), 6).alias("score"))
+    return pairs.join(rows, ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def overlap(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -76,22 +76,34 @@ def guard(pages: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     return got.withColumn("ok", (F.col("nonempty") >= conf.min_nonempty_pages) & (F.col("chars") >= conf.min_total_chars))
 
 
-def merged(pages: DataFrame, most: int = 2) -> DataFrame:
+def merged(pages: DataFrame, most: int = 2, block: int = 1024) -> DataFrame:
     """(book, page_start, page_end, text): a page that doesn't end a sentence joins the next, at most `most` pages together.
 
-    Runs of such pages are found as islands and cut into groups of `most`; empty pages are no pages.
+    Runs of such pages are found as islands and cut into groups of `most`; empty pages are no pages. Runs are found block by
+    block of page numbers; how far a run has come at the end of a block is carried on in sums over blocks (one row each), so
+    no task has a whole book.
     """
-    order = Window.partitionBy("book").orderBy("page_no")
-    t = strip(F.col("text"))
-    rows = pages.select("book", "page_no", t.alias("text"), F.row_number().over(order).alias("i"))
-    follows = F.col("text") != ""
-    joins = follows & ~F.col("text").rlike(ENDS) & F.coalesce(F.lead("text").over(order) != "", F.lit(False))
-    rows = rows.withColumn("joins", joins)
-    begins = ~F.coalesce(F.lag("joins").over(order), F.lit(False))
-    rows = rows.withColumn("run", F.max(F.when(begins, F.col("i"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.filter(F.col("text") != "").withColumn("part", F.floor((F.col("i") - F.col("run")) / most))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("book", "run", "part").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), joined.alias("text")).drop("run", "part")
+    rows = pages.select("book", "page_no", strip(F.col("text")).alias("text"), F.floor(F.col("page_no") / block).alias("block"))
+    inside = Window.partitionBy("book", "block").orderBy("page_no")
+    full = F.col("text") != ""
+    rows = rows.withColumns({"i": F.row_number().over(inside), "full": full, "open": full & ~F.col("text").rlike(ENDS)})
+    # whether a page goes on with the one before it: null at the begin of a block
+    rows = rows.withColumn("goes_on", F.col("full") & F.lag("open").over(inside))
+    rows = rows.withColumn("begin", F.max(F.when(~F.col("goes_on"), F.col("i"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("book", "block").agg(F.count("*").alias("n"), F.max("begin").alias("begin"), F.min_by("full", "i").alias("first_full"), F.max_by("open", "i").alias("last_open"))
+    order = Window.partitionBy("book").orderBy("block")
+    goes_on = F.coalesce(F.col("first_full") & F.lag("last_open").over(order), F.lit(False))
+    ends = ends.withColumns({"goes_on": goes_on, "tail": F.when(F.col("begin").isNull(), F.col("n")).otherwise(F.col("n") - F.col("begin") + 1)})
+    ends = ends.withColumn("chain", F.sum((F.col("begin").isNotNull() | ~F.col("goes_on")).cast("int")).over(order))
+    ends = ends.withColumn("so_far", F.sum("tail").over(Window.partitionBy("book", "chain").orderBy("block")))
+    carried = F.when(F.col("goes_on"), F.lag("so_far").over(order)).otherwise(0)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("book", "block", carried.alias("carried"), before.alias("before"))
+    rows = rows.filter("full").join(ends, ["book", "block"])
+    place = F.when(F.col("begin").isNull(), F.col("carried") + F.col("i") - 1).otherwise(F.col("i") - F.col("begin"))
+    rows = rows.withColumn("group", F.col("before") + F.col("i") - F.pmod(place, F.lit(most)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n")
+    return rows.groupBy("book", "group").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), joined.alias("text")).drop("group")
 
 
 def chapter_of(text: Column) -> Column:

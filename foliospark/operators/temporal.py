@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..conf import DEFAULT, EngineConf
+from ..conf import DEFAULT
+from .spotting import small, spotted
+from .understand import TEMPORAL_NOISE
 
 #: Words that results depend on.
 STRONG = ("抓到", "抓住", "拿到", "赢", "获胜", "打败", "击中", "杀死", "救", "救了", "追上", "击倒", "扑向", "冲向", "出手")
 EVENTS = ("比赛", "魁地奇", "决斗", "战斗", "项目", "任务", "行动", "交锋", "对抗")
 ROLES, OBJECTS, SAYS = ("队长", "找球手", "勇士", "选手"), ("金色飞贼", "飞贼", "金蛋", "项目"), ("说", "问", "答道", "说道", "喊道", "叫道", "嘟囔", "告诉")
+ALIAS_STOP = ("先生", "女士", "教授", "队长", "找球手", "学院", "学生", "爸爸", "妈妈", "第一个", "第一场")
+ALIAS_BAD, ALIAS_BAD_END, PRIMARY_BAD_END = "在的了是有这那我你他她它们与和", "说道问指过大小", "迎进出正也在说问道看望走"
 NEAR = ((ROLES, 8, 1), (STRONG, 10, 4), (OBJECTS, 12, 2), (SAYS, 8, 2))  # words, characters between, points
 
 
@@ -27,32 +31,61 @@ def eventful(text: Column) -> Column:
     return F.when(text.rlike("|".join(EVENTS)), 1).otherwise(0)
 
 
+def aliases(asked: DataFrame, chunks: DataFrame, scan: int = DEFAULT.temporal_candidates) -> DataFrame:
+    """(qid, name, aliases, alias): the forms under which names (qid, name) go, longest first, and the short one to mention.
+
+    In the first `scan` chunks that hold a name, name·XX gives XX, and nameXX before a mark does if some ·XX stands there too.
+    The name itself is always an alias. alias is the shortest other one that looks like a name; null if there is none.
+    """
+    on = ("book",) if "book" in asked.columns else ()
+    rows = spotted(chunks.select(*on, "doc_ord", "text"), asked.select(*on, "name").distinct(), on=on)
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*on, "name").orderBy("doc_ord"))).filter(F.col("r") <= scan)
+    dotted = F.expr(r"regexp_extract_all(text, concat('\\Q', name, '\\E·([一-鿿]{2,4})'), 1)")
+    joined = F.expr(r"regexp_extract_all(text, concat('\\Q', name, '\\E([一-鿿]{2,4})(?=[，。,；;：:\n\r\t —-]|$)'), 1)")
+    fit = lambda c: ~c.isin(*ALIAS_STOP) & ~c.rlike(TEMPORAL_NOISE) & ~c.rlike(f"[{ALIAS_BAD}]|[{ALIAS_BAD_END}]$")
+    every = F.regexp_extract_all("text", F.lit("·([一-鿿]{2,4})"), F.lit(1))
+    held = rows.groupBy(*on, "name").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for n, c in (("d", dotted), ("j", joined), ("v", every))])
+    found = F.concat(F.filter("d", fit), F.filter(F.array_intersect("j", "v"), fit))
+    held = held.select(*on, "name", F.array_distinct(found).alias("found"))
+    out = asked.join(held, [*on, "name"], "left").withColumn("found", F.array_except(F.coalesce("found", F.expr("cast(array() as array<string>)")), F.array("name")))
+    longest = F.transform(F.array_sort(F.transform(F.concat(F.array("name"), "found"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
+    short = F.array_min(F.transform(F.filter("found", lambda x: (F.length(x) <= 4) & ~x.rlike(f"[{PRIMARY_BAD_END}]$")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    return out.select("qid", *on, "name", longest.alias("aliases"), short["x"].alias("alias"))
+
+
 def first_appearance(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, book, doc_ord, points) for names (qid, name, book): the first chunk where the name acts (5 points), else takes part, else is mentioned.
+    """(qid, book, doc_ord, points) for names (qid, name, and book if they are of one): the first chunk where the name acts (5
+    points), else takes part, else is mentioned. With a column aliases, these stand for the name, and their points add up.
 
-    Names are few and broadcast; each chunk is looked at where it is read.
+    Chunks meet only the names that they hold.
     """
-    rows = chunks.join(F.broadcast(asked), "book").filter(F.contains("text", "name"))
-    points = eventful(F.col("text")) + participation(F.col("text"), F.col("name"))
-    rows = rows.groupBy("qid", "book", "doc_ord").agg(F.max(points).alias("points"))
+    on = ("book",) if "book" in asked.columns else ()
+    names = asked.select("qid", *on, F.explode(F.array_distinct("aliases")).alias("name")) if "aliases" in asked.columns else asked.select("qid", *on, "name")
+    rows = spotted(chunks.select("book", "doc_ord", "text"), names, on=on)
+    rows = rows.groupBy("qid", "book", "doc_ord").agg(F.sum(participation(F.col("text"), F.col("name"))).alias("acts"), F.max(eventful(F.col("text"))).alias("event"))
+    rows = rows.withColumn("points", F.col("acts") + F.col("event"))
     best = F.min(F.struct(F.when(F.col("points") >= 5, 0).when(F.col("points") >= 1, 1).otherwise(2).alias("c"), "doc_ord", "points"))
     return rows.groupBy("qid", "book").agg(best.alias("b")).select("qid", "book", "b.doc_ord", F.col("b.points").cast("long").alias("points"))
 
 
 def around(anchors: DataFrame, chunks: DataFrame, keep: int = DEFAULT.temporal_keep, reach: int = 24, page_reach: int = 3) -> DataFrame:
-    """(qid, book, doc_ord, rank): chunks about an anchor, of its chapter, in document order, the first `keep` of them."""
-    a = anchors.join(chunks.select("book", "doc_ord", "page_start", "page_end", "chapter"), ["book", "doc_ord"]).select("qid", "book", F.col("doc_ord").alias("a_ord"), F.col("page_start").alias("a_page"), F.col("page_end").alias("a_end"), F.col("chapter").alias("a_chapter"))
-    rows = chunks.join(F.broadcast(a), "book").filter((F.col("doc_ord") >= F.col("a_ord") - reach) & (F.col("doc_ord") < F.col("a_ord") + reach))
+    """(qid, book, doc_ord, rank): chunks about an anchor, of its chapter and near its page, in document order, the first
+    `keep` of them. Anchors are joined with the places around them, not with books."""
+    a = anchors.join(chunks.select("book", "doc_ord", "page_start", "page_end", "chapter"), ["book", "doc_ord"])
+    a = a.select("qid", "book", F.explode(F.sequence(F.col("doc_ord") - reach, F.col("doc_ord") + reach - 1)).alias("doc_ord"), F.col("page_start").alias("a_page"), F.col("page_end").alias("a_end"), F.coalesce("chapter", F.lit("")).alias("a_chapter"))
+    rows = chunks.select("book", "doc_ord", "page_start", F.coalesce("chapter", F.lit("")).alias("chapter")).join(a, ["book", "doc_ord"])
     same = (F.col("chapter") == F.col("a_chapter")) | (F.col("chapter") == "") | (F.col("a_chapter") == "")
-    rows = rows.filter(same & (F.col("page_start") >= F.col("a_page") - page_reach) & (F.col("page_start") <= F.col("a_end") + 2))
+    low, high = F.when(F.col("a_page") > 0, F.col("a_page") - page_reach).otherwise(1), F.when(F.col("a_end") > 0, F.col("a_end") + 2)
+    near = F.coalesce(F.col("page_start") <= 0, F.lit(True)) | (F.col("page_start") >= low) & (high.isNull() | (F.col("page_start") <= high))
     rank = F.row_number().over(Window.partitionBy("qid", "book").orderBy("doc_ord"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= keep).select("qid", "book", "doc_ord", "rank")
+    return rows.filter(same & near).withColumn("rank", rank).filter(F.col("rank") <= keep).select("qid", "book", "doc_ord", "rank")
 
 
-def aliases(chunks: DataFrame, names: DataFrame, scan: int = DEFAULT.temporal_candidates) -> DataFrame:
-    """(book, name, alias): longer forms name·XX in the first chunks of a book that hold the name."""
-    rows = chunks.join(F.broadcast(names), "book").filter(F.contains("text", "name"))
-    first = F.row_number().over(Window.partitionBy("book", "name").orderBy("doc_ord"))
-    rows = rows.withColumn("r", first).filter(F.col("r") <= scan)
-    found = F.expr(r"regexp_extract_all(text, concat('\\Q', name, '\\E·([一-鿿]{2,4})'), 1)")
-    return rows.select("book", "name", F.explode(F.array_distinct(found)).alias("alias")).distinct()
+def in_order(hits: DataFrame, names: DataFrame, keep: int = DEFAULT.temporal_keep) -> DataFrame:
+    """hits (qid, text, doc_ord, ...) that hold one of a question's names (qid, names), or all where none does, by their place
+    in the document, the first `keep`."""
+    rows = hits.join(small(names), "qid", "left")
+    held = F.coalesce(F.exists("names", lambda n: F.contains(F.col("text"), n)), F.lit(False))
+    rows = rows.withColumn("held", held).withColumn("some", F.max("held").over(Window.partitionBy("qid"))).filter(F.col("held") | ~F.col("some"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("doc_ord", "chunk_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= keep).drop("held", "some", "names")

@@ -15,8 +15,12 @@ CRITERIA_HINT = r"(判定标准|标准|依据|何为|什么才算|如何定义|
 FIELD_STOP = ("什么", "哪些", "多少", "谁", "是谁", "是否", "怎么", "为何", "为什么", "哪里", "哪位", "哪种", "分别", "各自", "情况", "信息", "内容", "方面", "问题", "答案")
 CRITERIA_STOP = ("哪些", "有哪些", "谁是", "哪几位", "都有谁", "都有哪些", "的人", "的人物", "的角色", "的同学", "同学", "人物", "角色")
 KEYWORD_STOP = ("什么", "怎么", "为什么", "为何", "哪里", "哪个", "哪些", "是否", "能否", "可以", "一下", "一段", "原文", "台词", "逐字", "引用", "剧情", "结局")
-FIELD_RUN = r"([一-鿿、/，和及与]{2,40})"
-FIELD_PATTERNS = (FIELD_RUN + r"\s*(?:分别|各自)\s*(?:是|为|有哪些|有什么|是谁|是什么)?", r"的\s*" + FIELD_RUN + r"\s*(?:是|为|有哪些|有什么|分别|分别是)?", FIELD_RUN + r"\s*(?:是什么|有哪些|有什么|分别是|分别为)\s*$")
+FIELD_PATTERNS = (
+    r"([一-鿿、/，和及与]{2,40})\s*(?:分别|各自)\s*(?:是|为|有哪些|有什么|是谁|是什么)?",
+    r"的\s*([一-鿿、/，和及与]{2,40})\s*(?:是|为|有哪些|有什么|分别|分别是)?",
+    r"([一-鿿、/，和及与]{2,40})\s*(?:是什么|有哪些|有什么|分别是|分别为)\s*$",
+)
+TARGET_STOP = ("什么", "哪些", "多少", "谁", "是谁", "是否", "怎么", "为何", "为什么", "哪里", "哪位", "哪种", "分别", "各自")
 PREFIX = r"(?iu)^\s*(?:忽略(?:以上|所有)?(?:规则|指令|要求|限制)|不要(?:引用|标注|来源)|直接(?:编|生成)(?:一个)?答案|无视(?:以上|所有)?(?:规则|指令|要求)|)\s*[：:，,。.\n\r]+"
 TEMPORAL = r"(第一次|首次|最早|初次|初登场|第一次出现|首次出现|第一次出场|首次出场|第一次登场)"
 TEMPORAL_NOISE = r"(怎样|怎么|如何|什么|是怎|他说|做了|说了|做什么|场景|台词|动作)"
@@ -80,18 +84,39 @@ def keywords(q: Column, most: int = 6) -> Column:
     return F.slice(F.array_distinct(F.filter(_all(q, f"[A-Za-z0-9]{{2,}}|{CJK}{{2,}}"), lambda t: ~t.isin(*KEYWORD_STOP))), 1, most)
 
 
-def plan_kind(q: Column, targets: Column) -> Column:
-    """mapping, multi_field, target_field or null, from a question and the names it is about."""
-    n = F.size(fields(q))
+def plan_kind(q: Column, targets: Column, n: Column) -> Column:
+    """mapping, multi_field, target_field or null, from a question, the names it is about and how many fields it has."""
     some = F.size(targets) > 0
     return F.when(strip(q).rlike(MAPPING_HINT) & (n > 0) & (F.size(targets) >= 2), "mapping").when((n >= 2) & some, "multi_field").when((n >= 1) & some, "target_field")
 
 
-def subqueries(q: Column, targets: Column, names: Column) -> Column:
-    """target + field + keywords for each pair, then all together; without repeats, max(3, 2 * targets + 1) at most."""
-    words = F.array_join(F.array_distinct(F.concat(names, targets, keywords(q))), " ")
-    each = F.flatten(F.transform(targets, lambda t: F.transform(names, lambda f: F.concat_ws(" ", t, f))))
-    return F.slice(F.array_distinct(F.concat(each, F.array(words))), F.lit(1), F.greatest(F.lit(3), 2 * F.size(targets) + 1))
+def is_noise(e: Column) -> Column:
+    """Whether a name can't be what a question is about."""
+    return (F.length(e) <= 1) | e.isin(*TARGET_STOP) | e.rlike(r"^\p{Nd}+$")
+
+
+def spans(q: Column, most: int = 8) -> Column:
+    """Runs of CJK characters that stand for names where none is known, without dots and repeats."""
+    bare = F.transform(_all(strip(q), r"[一-鿿·]{2,10}"), lambda s: strip(F.replace(s, F.lit("·"), F.lit(""))))
+    return F.slice(F.array_distinct(F.filter(bare, lambda s: ~is_noise(s))), 1, most)
+
+
+def plan_keywords(q: Column, asked: Column, targets: Column, most: int = 6) -> Column:
+    """Fields, targets, then further words of a question, without repeats."""
+    words = F.filter(_all(q, f"[A-Za-z0-9]{{2,}}|{CJK}{{2,}}"), lambda t: ~t.isin(*FIELD_STOP, *TARGET_STOP))
+    return F.slice(F.array_distinct(F.concat(asked, targets, words)), 1, most)
+
+
+def subqueries(targets: Column, asked: Column, words: Column) -> Column:
+    """target + field + keywords (words, joined) for each pair, then all together; without repeats, max(3, 2 * targets + 1) at most."""
+    each = F.flatten(F.transform(targets, lambda t: F.transform(asked, lambda f: strip(F.concat_ws(" ", t, f, words)))))
+    last = strip(F.concat_ws(" ", F.array_join(targets, " "), F.array_join(asked, " "), words))
+    return F.slice(F.array_distinct(F.concat(each, F.array(last))), F.lit(1), F.greatest(F.lit(3), 2 * F.size(targets) + 1))
+
+
+def is_temporal(q: Column) -> Column:
+    """Whether a question asks for a first appearance."""
+    return strip(q).rlike(TEMPORAL)
 
 
 def temporal_target(q: Column) -> Column:
@@ -99,3 +124,9 @@ def temporal_target(q: Column) -> Column:
     left = F.regexp_extract(strip(q), r"(?s)^(.*?)" + TEMPORAL, 1)
     names = F.filter(_all(left, r"[一-鿿·]{2,12}"), lambda c: ~c.rlike(TEMPORAL_NOISE) & ~c.isin(*GENERIC))
     return F.when(strip(q).rlike(TEMPORAL), F.try_element_at(names, F.lit(-1)))
+
+
+def without_noise(names: Column, most: int = 3) -> Column:
+    """Names without words of actions and questions; all of them if none is left."""
+    clean = F.filter(names, lambda c: ~c.rlike(TEMPORAL_NOISE))
+    return F.slice(F.when(F.size(clean) > 0, clean).otherwise(names), 1, most)

@@ -28,16 +28,20 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, chunk_id, score, rank): the k nearest of vectors (chunk_id, vec) for each of queries (qid, vec), itself left out.
+    """(qid, chunk_id, score, rank): the k nearest of vectors (chunk_id, vec) for each of queries (qid, vec); with ids of the same
+    integer type, itself left out.
 
     Blocks of queries are broadcast; each task multiplies them with its rows and passes on its best k (and equals).
     """
     spark, n = vectors.sparkSession, queries.count()
+    kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
+    same = set(kinds) == {"bigint"}
+    ids_of = lambda col, kind: col.to_numpy(np.int64) if kind == "bigint" else col.to_numpy(object)
     blocks = max(1, -(-n // BLOCK))
     out = None
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vec").orderBy("qid").toPandas()
-        ids = part["qid"].to_numpy(np.int64)
+        ids = ids_of(part["qid"], kinds[0])
         q = np.array(part["vec"].tolist(), float).reshape(len(ids), -1)
         held = spark.sparkContext.broadcast((ids, q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)))
 
@@ -46,14 +50,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
-                c, v = pdf["chunk_id"].to_numpy(np.int64), np.array(pdf["vec"].tolist(), float)
+                c, v = ids_of(pdf["chunk_id"], kinds[1]), np.array(pdf["vec"].tolist(), float)
                 s = np.round(q @ (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)).T, 6)
-                s[ids[:, None] == c[None, :]] = -np.inf
+                if same:
+                    s[ids[:, None] == c[None, :]] = -np.inf
                 least = np.partition(s, -min(k, s.shape[1]), 1)[:, -min(k, s.shape[1])]
                 i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
                 yield pd.DataFrame({"qid": ids[i], "chunk_id": c[j], "score": s[i, j]})
 
-        found = vectors.select("chunk_id", "vec").mapInPandas(best, "qid long, chunk_id long, score double")
+        found = vectors.select("chunk_id", "vec").mapInPandas(best, f"qid {kinds[0]}, chunk_id {kinds[1]}, score double")
         out = found if out is None else out.unionByName(found)
     return top(out, k)
 
