@@ -101,7 +101,7 @@ class Engine:
             hits = kept(fusion.rerank_where_scored(hits, scored, c.top_k).withColumn("mode", F.when(F.col("rerank_score").isNotNull(), "rerank").otherwise(F.col("mode"))).drop("recall_rank", "rerank_score"))
         cut = [fusion.threshold(hits.filter(F.col("mode") == m if m == "vector" else F.col("mode") != "vector"), m, c) for m in (["vector", "hybrid"] if c.alpha is None else ["hybrid"])]
         passed = cut[0] if len(cut) == 1 else cut[0].unionByName(cut[1])
-        out = passed.join(hits.drop("score", "rank", "mode"), ["qid", "chunk_id"])
+        out = passed.join(hits.drop("score", "rank", "mode"), ["qid", "chunk_id"]).withColumn("alias_hint", F.lit(None).cast("string"))
         for more in (timely, early):
             if more is not None:
                 out = out.unionByName(more.select(*[x for x in out.columns if x in more.columns]), allowMissingColumns=True)
