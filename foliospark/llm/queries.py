@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lm_score, mixing, quality_gam, quality_rules, sharding, simhash, sql, url_filter, warc
+from . import decontaminate, filter_audit, html_extract, lm_score, mixing, quality_gam, quality_rules, runs, sharding, simhash, sql, token_codes, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_sharding, op4_quality_rules, op5_warc, op6_url_filters, op7_quality_classifier, op8_lm_scoring, op9_mixing, op10_decontamination)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # vocabulary files, on every worker
+
+    return token_codes.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_sharding, op4_quality_rules, op5_warc, op6_url_filters, op7_quality_classifier, op8_lm_scoring, op9_mixing, op10_decontamination, op11_filter_audit, op12_periodic_runs, op13_token_codes)}
 ORACLES: dict[str, str] = dict(sql.ORACLES)
