@@ -11,6 +11,7 @@ Documents are dealt out by ranges of their ids, so that files follow each other
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -33,7 +34,7 @@ RANK_BITS = 512  # bits of a bitmap for each entry of its directory
 END = 2  # the id after each document
 PIECE = 1 << 18  # ids read at a time
 MAGIC = b"DAC-ids1"
-CACHE, CACHED = 1_500_000, 40  # pieces of text whose ids a worker keeps, characters of a piece at most
+CACHE, CACHED = 1_000_000, 40  # pieces of text whose ids a worker keeps, characters of a piece at most
 
 #: Before a single space or line end between characters that are surely no white space a new word of a byte-level tokenizer
 #: begins, whatever surrounds it, so what stands on either side is encoded by itself. So do a line end's next word, and these
@@ -99,6 +100,12 @@ class Pieces(dict):
         return np.frombuffer(b"".join(found) + self._pack([END]), "<u4")
 
 
+@functools.lru_cache(1)
+def pieces(path: str) -> Pieces:
+    """One for all tasks of a worker."""
+    return Pieces(path)
+
+
 def widths(ids: np.ndarray) -> list[int]:
     """The widths of chunks, low ones first, for which ids take the fewest bits."""
     bits = np.bincount(np.frexp(ids.astype(np.float64))[1].clip(1), minlength=33)
@@ -271,16 +278,16 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = _open(folder)
-        path, pieces, out, ids = f"{base}/{uuid.uuid4().hex}.dac", None, None, []
+        path, out, ids = f"{base}/{uuid.uuid4().hex}.dac", None, []
         for b in batches:
             if out is None and b.num_rows:
                 where.create_dir(base, recursive=True)
-                out, pieces = where.open_output_stream(path, compression=None), Pieces(tokenizer)
-                writer = Writer(out)
+                out = where.open_output_stream(path, compression=None)
+                writer, known = Writer(out), pieces(tokenizer)
             if b.num_rows:
                 ids.append(b.column("doc_id"))
             for text in b.column("text"):
-                writer.add(pieces.encode(text.as_py()))
+                writer.add(known.encode(text.as_py()))
         if out is not None:
             writer.close(ids)
             out.close()
