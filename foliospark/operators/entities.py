@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import CJK, grams, strip
+from .spotting import longest
 
 #: Words and characters that results depend on.
 STOP = ("什么", "怎么", "为什么", "为何", "哪里", "哪个", "哪些", "是否", "能否", "可以", "一下", "一段", "原文", "内容", "章节", "目录", "作者", "读者", "问题", "回答", "如下", "以上", "如下内容", "原文内容", "要求", "直接", "明确", "无法确定", "无法回答")
@@ -57,20 +58,8 @@ def reasonable(t: Column) -> Column:
 
 
 def mentions(questions: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
-    """(qid, name, at): leftmost longest names in each question, not overlapping, `most` at most.
-
-    Every place of a question is joined with the names by text, the longest name of a place is kept, and places are
-    taken from the left, each after the end of the one before.
-    """
-    longest = 24
-    places = questions.select("qid", F.col("text").alias("q"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))).alias("at"))
-    spans = places.select("qid", "at", F.explode(F.sequence(F.lit(2), F.lit(longest))).alias("n"), "q").filter(F.col("at") + F.col("n") - 1 <= F.length("q")).select("qid", "at", "n", F.substring(F.col("q"), F.col("at"), F.col("n")).alias("name"))
-    found = spans.join(names.select("name"), "name", "left_semi").groupBy("qid", "at").agg(F.max("n").alias("n"))
-    order = F.array_sort(F.collect_list(F.struct("at", "n")))
-    start = F.struct(F.lit(1).alias("free"), F.expr("cast(array() as array<struct<at:int,n:int>>)").alias("out"))
-    walk = F.aggregate(order, start, lambda a, x: F.when((x["at"] >= a["free"]) & (F.size(a["out"]) < most), F.struct((x["at"] + x["n"]).alias("free"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a))["out"]
-    taken = found.groupBy("qid").agg(walk.alias("w")).select("qid", F.explode("w").alias("x")).select("qid", "x.at", "x.n")
-    return taken.join(questions.select("qid", F.col("text").alias("q")), "qid").select("qid", F.substring(F.col("q"), F.col("at"), F.col("n")).alias("name"), "at")
+    """(qid, name, at): leftmost longest names in each question, not overlapping, `most` at most."""
+    return longest(questions, names, most)
 
 
 def intent(q: Column) -> Column:
@@ -110,6 +99,7 @@ def recall(asked: DataFrame, names: DataFrame, postings: DataFrame, conf: Engine
 
 
 def loaded(names: DataFrame, postings: DataFrame) -> DataFrame:
-    """(name, idf) that questions are searched for: names with an idf and those that have postings only, if they are reasonable."""
-    every = names.select("name", "idf").unionByName(postings.select("name", F.lit(None).cast("double").alias("idf")).distinct())
-    return every.filter(reasonable(F.col("name"))).groupBy("name").agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("idf"))
+    """(name, idf) that questions are searched for: all names, and those that have postings only if they are reasonable; without
+    an idf a name counts as 1."""
+    more = postings.select("name", F.lit(None).cast("double").alias("idf")).filter(reasonable(F.col("name"))).distinct()
+    return names.select("name", "idf").unionByName(more).groupBy("name").agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("idf"))

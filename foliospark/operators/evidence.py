@@ -197,3 +197,17 @@ def hit_and_mrr(questions: DataFrame, hits: DataFrame, gold: DataFrame, by: tupl
         questions = questions.crossJoin(F.broadcast(hits.select(*by).distinct()))  # one row per configuration
     rows = questions.join(first, [*by, "qid"], "left")
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def ab_grid(questions: DataFrame, arms: dict[str, DataFrame], gold: DataFrame, k: int) -> DataFrame:
+    """(config, n, hit_rate, mrr) of the first k hits (qid, chunk_id, rank) of each arm by name; an arm that finds nothing has
+    misses alone."""
+    hits, spark = None, questions.sparkSession
+    for name, found in arms.items():
+        arm = found.filter(F.col("rank") <= k).select(F.lit(name).alias("config"), "qid", "chunk_id", "rank")
+        hits = arm if hits is None else hits.unionByName(arm)
+    names = spark.createDataFrame([(n,) for n in arms], "config string")
+    asked = questions.select("qid").crossJoin(F.broadcast(names))  # one row a configuration
+    first = hits.join(gold, ["qid", "chunk_id"]).groupBy("config", "qid").agg(F.min("rank").alias("first"))
+    rows = asked.join(first, ["config", "qid"], "left")
+    return rows.groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))

@@ -1,13 +1,26 @@
-"""Where names stand in texts, by joining substrings with names rather than every text with every name."""
+"""Where names stand in texts: an automaton of the names is sent to the texts, which stay where they are.
+
+Names are taken in shards of bounded bytes, one automaton each, dealt out by hash; texts are read once a shard. What leaves a task are
+matches, in a shuffle only where several shards have to agree on the longest name, and then without texts.
+"""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .automaton import BYTES_A_CHARACTER, Automaton
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 << 20  # of an automaton and what is known of its names, at most about so many
+SEARCHED = 4 << 20  # characters of texts that are searched together
+RETURNED = 16 << 20  # bytes of rows in a batch that is given back, about
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,13 +42,111 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Names:
+    """One shard: an automaton of different names, and the rows that each of them has."""
+
+    def __init__(self, table: pa.Table, name: str):
+        table = table.combine_chunks()
+        of = table[name].to_pylist()
+        names = sorted(set(of))
+        number = {n: k for k, n in enumerate(names)}
+        row = np.argsort(np.array([number[n] for n in of], np.int64), kind="stable")
+        self.automaton, self.rows = Automaton(names), table.take(pa.array(row))
+        self.counts = np.bincount([number[n] for n in of], minlength=len(names)) if of else np.zeros(0, np.int64)
+        self.begins = np.cumsum(self.counts) - self.counts
+
+    def pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, row): the rows of the names that each text holds, each once."""
+        text, _, name = self.automaton.find(texts)
+        both = np.unique(text * max(1, len(self.counts)) + name)
+        text, name = np.divmod(both, max(1, len(self.counts)))
+        n = self.counts[name]
+        return np.repeat(text, n), np.repeat(self.begins[name], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _shards(names: DataFrame, name: str) -> Iterator[DataFrame]:
+    """Parts of names, each of bounded bytes; names must be kept."""
+    size = F.octet_length(F.to_json(F.struct(*names.columns))) + BYTES_A_CHARACTER * F.length(name)
+    n = -(-(names.agg(F.sum(size.cast("long"))).first()[0] or 0) // BROADCAST_BYTES)
+    for k in range(max(1, n)):
+        yield names.filter(F.pmod(F.xxhash64(*names.columns), F.lit(n)) == k) if n > 1 else names
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are searched together."""
+    begin, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= SEARCHED or k == len(texts) - 1:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+
+
 def spotted(rows: DataFrame, names: DataFrame, name: str = "name", on: tuple[str, ...] = ()) -> DataFrame:
-    """rows (text, ...) joined with the names (name, ...) that their text contains, and that agree in the columns `on`.
+    """rows (text, ...) with each row of names (name, ...) whose name their text contains, and that agrees in the columns `on`.
 
-    A text is cut into its different substrings of just the lengths that names have; empty names stand nowhere.
+    A map over rows, whatever the number of names. Empty names stand nowhere; null texts hold nothing.
     """
-    names = names.filter(F.length(name) > 0)
-    lengths = sorted(r[0] for r in names.select(F.length(name)).distinct().collect())  # at most as many as the longest name has characters
-    parts = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths] or [F.expr("cast(array() as array<string>)")]
-    cut = rows.withColumn(name, F.explode(F.array_distinct(F.concat(*parts))))
-    return cut.join(small(names), [name, *on])
+    usable = kept(names.filter(F.length(name) > 0))
+    spark, more = rows.sparkSession, [c for c in usable.columns if c not in on]
+    schema = StructType([*rows.schema.fields, *(usable.schema[c] for c in more)])
+    out = None
+    for shard in _shards(usable, name):
+        known = spark.sparkContext.broadcast(Names(shard.toArrow(), name))
+
+        def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                for low, high in _groups(texts):
+                    text, row = known.value.pairs(texts[low:high])
+                    part = pa.Table.from_batches([b.slice(low, high - low)])
+                    for c in on:  # nulls agree with nothing
+                        same = part[c].to_numpy(zero_copy_only=False)[text] == known.value.rows[c].to_numpy(zero_copy_only=False)[row]
+                        valid = part[c].is_valid().to_numpy()[text] & known.value.rows[c].is_valid().to_numpy()[row]
+                        text, row = text[same & valid], row[same & valid]
+                    step = max(1, int(RETURNED * len(part) // max(1, part.nbytes)))
+                    for k in range(0, len(text), step):
+                        left, right = part.take(pa.array(text[k : k + step])), known.value.rows.take(pa.array(row[k : k + step]))
+                        for c in more:
+                            left = left.append_column(c, right[c])
+                        yield from left.combine_chunks().to_batches()
+
+        found = rows.mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def longest(rows: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """(qid, name, at) for rows (qid, text): the longest of the names (name) at each place, from the left, each after the end of
+    the one before, `most` a text; at counts characters from 1."""
+    usable = kept(names.select("name").filter(F.length("name") > 0).distinct())
+    asked, found = rows.select("qid", "text"), []
+    shards = list(_shards(usable, "name"))
+    alone = len(shards) == 1
+    kind = f"qid {dict(rows.dtypes)['qid']}, name string, at int"
+    for shard in shards:
+        known = rows.sparkSession.sparkContext.broadcast(Names(shard.toArrow(), "name"))
+
+        def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, words = [t or "" for t in b.column("text").to_pylist()], known.value.rows["name"].to_pylist()
+                for low, high in _groups(texts):
+                    if alone:
+                        hits = known.value.automaton.longest_first(texts[low:high], most)
+                    else:  # other shards may have longer names, so none is taken yet
+                        hits = list(zip(*(x.tolist() for x in known.value.automaton.find(texts[low:high]))))
+                    text, start, name = zip(*hits) if hits else ((), (), ())
+                    qids = b.column("qid").slice(low, high - low).take(pa.array(text, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([qids, pa.array([words[k] for k in name], pa.string()), pa.array([s + 1 for s in start], pa.int32())], ["qid", "name", "at"])
+
+        found.append(asked.mapInArrow(search, kind))
+    if alone:
+        return found[0]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("qid", "at").agg(F.max(F.length("name")).alias("n"), F.max_by("name", F.length("name")).alias("name"))
+    order = F.array_sort(F.collect_list(F.struct("at", "n", "name")))  # of one text, one for each place at most
+    start = F.struct(F.lit(1).alias("free"), F.expr("cast(array() as array<struct<at:int,n:int,name:string>>)").alias("out"))
+    walk = F.aggregate(order, start, lambda a, x: F.when((x["at"] >= a["free"]) & (F.size(a["out"]) < most), F.struct((x["at"] + x["n"]).alias("free"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a))["out"]
+    return best.groupBy("qid").agg(walk.alias("w")).select("qid", F.explode("w").alias("x")).select("qid", "x.name", "x.at")

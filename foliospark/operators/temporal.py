@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT
-from .spotting import small, spotted
-from .understand import TEMPORAL_NOISE
+from .spotting import longest, small, spotted
+from .understand import TEMPORAL_NOISE, temporal_target, without_noise
 
 #: Words that results depend on.
 STRONG = ("抓到", "抓住", "拿到", "赢", "获胜", "打败", "击中", "杀死", "救", "救了", "追上", "击倒", "扑向", "冲向", "出手")
@@ -39,18 +39,33 @@ def aliases(asked: DataFrame, chunks: DataFrame, scan: int = DEFAULT.temporal_ca
     """
     on = ("book",) if "book" in asked.columns else ()
     rows = spotted(chunks.select(*on, "doc_ord", "text"), asked.select(*on, "name").distinct(), on=on)
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*on, "name").orderBy("doc_ord"))).filter(F.col("r") <= scan)
     dotted = F.expr(r"regexp_extract_all(text, concat('\\Q', name, '\\E·([一-鿿]{2,4})'), 1)")
     joined = F.expr(r"regexp_extract_all(text, concat('\\Q', name, '\\E([一-鿿]{2,4})(?=[，。,；;：:\n\r\t —-]|$)'), 1)")
     fit = lambda c: ~c.isin(*ALIAS_STOP) & ~c.rlike(TEMPORAL_NOISE) & ~c.rlike(f"[{ALIAS_BAD}]|[{ALIAS_BAD_END}]$")
     every = F.regexp_extract_all("text", F.lit("·([一-鿿]{2,4})"), F.lit(1))
-    held = rows.groupBy(*on, "name").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for n, c in (("d", dotted), ("j", joined), ("v", every))])
+    # what forms may follow from is taken out of the texts first, so that texts aren't shuffled
+    rows = rows.select(*on, "name", "doc_ord", dotted.alias("d"), joined.alias("j"), every.alias("v"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*on, "name").orderBy("doc_ord"))).filter(F.col("r") <= scan)
+    held = rows.groupBy(*on, "name").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in "djv"])
     found = F.concat(F.filter("d", fit), F.filter(F.array_intersect("j", "v"), fit))
     held = held.select(*on, "name", F.array_distinct(found).alias("found"))
     out = asked.join(held, [*on, "name"], "left").withColumn("found", F.array_except(F.coalesce("found", F.expr("cast(array() as array<string>)")), F.array("name")))
-    longest = F.transform(F.array_sort(F.transform(F.concat(F.array("name"), "found"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
+    by_length = F.transform(F.array_sort(F.transform(F.concat(F.array("name"), "found"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
     short = F.array_min(F.transform(F.filter("found", lambda x: (F.length(x) <= 4) & ~x.rlike(f"[{PRIMARY_BAD_END}]$")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    return out.select("qid", *on, "name", longest.alias("aliases"), short["x"].alias("alias"))
+    return out.select("qid", *on, "name", by_length.alias("aliases"), short["x"].alias("alias"))
+
+
+def named(questions: DataFrame, names: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """(qid, names) that questions (qid, text) about first appearances are about: what stands before the mark of a first appearance;
+    else the known names (name) in the text, those without words of actions first of all; else its CJK spans."""
+    target = F.array_compact(F.array(temporal_target(F.col("text"))))
+    rows = questions.select("qid", "text", target.alias("target"))
+    held = F.expr("cast(null as array<string>)")
+    if names is not None:
+        found = longest(rows.filter(F.size("target") == 0), names, most).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("held"))
+        rows, held = rows.join(found, "qid", "left"), without_noise(F.col("held"), most)
+    plain = F.slice(F.filter(F.regexp_extract_all("text", F.lit(r"[一-鿿·]{2,10}"), F.lit(0)), lambda c: ~c.rlike(TEMPORAL_NOISE)), 1, most)
+    return rows.select("qid", F.when(F.size("target") > 0, F.col("target")).otherwise(F.coalesce(held, plain)).alias("names"))
 
 
 def first_appearance(asked: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT
 from ..functions import text as tx
 from ..operators import chunking, entities, evidence, fusion, lexical, planning, prep, temporal, understand, vector
-from ..operators.spotting import kept, small
+from ..operators.spotting import kept, spotted
 from ..sources import files
 from .engine import Engine
 
@@ -343,6 +343,21 @@ def entity_recall(s, d):
     return entities.recall(asked, usable, entities.index(terms, usable, conf), conf).select("qid", "chunk_id", "score")
 
 
+@query(f"WITH RECURSIVE {NAMED} SELECT qid, pl AS at, substring(q, pl, n) AS name FROM wk JOIN q USING (qid) WHERE no > 0")
+def entity_mentions(s, d):
+    """The longest known names in questions, from the left."""
+    _, names, _ = _terms(s, d)
+    return entities.mentions(_asked(s, d, True), names.filter(entities.reasonable(F.col("name")))).select("qid", F.col("at").cast("long").alias("at"), "name")
+
+
+@query(f"WITH {NAMED.split('q AS (')[0].rstrip().rstrip(',')}, b AS (SELECT doc_id, translate(text, '{LATIN}', '{HAN}') AS text FROM documents) SELECT name, count(*) AS n_chunks, min(doc_id) AS first FROM us JOIN b ON contains(text, name) GROUP BY name")
+def names_spotted(s, d):
+    """In how many texts each known name stands, also within longer ones."""
+    _, names, _ = _terms(s, d)
+    found = spotted(_docs(s, d, True).select("chunk_id", "text"), names.filter(entities.reasonable(F.col("name"))).select("name"))
+    return found.groupBy("name").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first"))
+
+
 HANNED = BM25.replace(D, H).replace("q AS (", "bq AS (").replace("FROM q JOIN", "FROM bq JOIN").replace(f"FROM {Q})", f"FROM (SELECT item_id AS qid, translate(text, '{LATIN}', '{HAN}') AS text FROM benchmark))").replace("tf AS (", "btf AS (").replace("FROM tf ", "FROM btf ").replace("JOIN tf USING", "JOIN btf USING")
 
 
@@ -443,12 +458,8 @@ GOLD = "gold AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN
 
 
 def _gold(s, d):
-    """Documents that hold an item's whole text; candidates come from the lexical index, so no pair is compared blindly."""
-    q, c = _asked(s, d).select("qid", F.col("text").alias("q")), _docs(s, d).select("chunk_id", "text")
-    words = F.array_distinct(F.regexp_extract_all("q", F.lit(r"[A-Za-z0-9]+"), F.lit(0)))
-    longest = q.withColumn("key", F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
-    where = c.select("chunk_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+"), F.lit(0)))).alias("key"))
-    return where.join(small(longest), "key").filter(F.contains("text", "q")).select("qid", "chunk_id")
+    """Documents that hold an item's whole text."""
+    return spotted(_docs(s, d).select("chunk_id", "text"), _asked(s, d).withColumnRenamed("text", "name")).select("qid", "chunk_id")
 
 
 @query(f"WITH {BM25}, {GOLD}, f AS (SELECT qid, min(rank) AS first FROM bm JOIN gold USING (qid, chunk_id) WHERE rank <= 8 GROUP BY qid) SELECT count(*) AS n, round(avg(CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM {Q} LEFT JOIN f USING (qid)")
@@ -457,15 +468,24 @@ def eval_hit_mrr(s, d):
     return evidence.hit_and_mrr(q.select("qid"), lexical.search(q, _docs(s, d), 8), _gold(s, d))
 
 
-SHORT = BM25.replace(f"FROM {Q})", f"FROM (SELECT qid, array_to_string(regexp_extract_all(text, '\\b[A-Za-z]{{1,3}}\\b'), ' ') AS text FROM {Q}))")
+RERANKED = f"rr AS (SELECT qid, chunk_id, rank AS r0, round(1 / (1 + exp(-(8 * CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END - 4))), 6) AS score FROM (SELECT qid, chunk_id, rank, list_distinct({TOK('b.text')}) AS qt, list_distinct({TOK('substring(d.text, 1, 800)')}) AS dt FROM bm JOIN benchmark b ON item_id = qid JOIN documents d ON doc_id = chunk_id WHERE rank <= 32)), rk AS (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r0) AS rank FROM rr) WHERE rank <= 16)"
+ARM_K, ARM_CANDIDATES = 8, 24
+ARMS = f"""{HALVES}, fu AS (SELECT qid // 2 AS qid, chunk_id, round(sum(CASE WHEN qid % 2 = 0 THEN 1.0 ELSE 0.7 END / (60 + rank)), 10) AS score FROM bm WHERE rank <= 50 GROUP BY qid // 2, chunk_id),
+fr AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fu), {RERANKED.replace('FROM bm JOIN', 'FROM fr JOIN').replace('rank <= 32', f'rank <= {ARM_CANDIDATES}').replace('WHERE rank <= 16', '')},
+arms AS (SELECT 'A_none' AS config, qid // 2 AS qid, chunk_id, rank FROM bm WHERE qid % 2 = 0 UNION ALL SELECT 'B_expand', qid, chunk_id, rank FROM fr UNION ALL SELECT 'C_expand_rerank', qid, chunk_id, rank FROM rk)"""
 
 
-@query(f"WITH {SHORT}, {GOLD}, cf AS (SELECT 'k1' AS config, 1 AS k UNION ALL SELECT 'k8', 8 UNION ALL SELECT 'k16', 16), f AS (SELECT config, qid, min(rank) AS first FROM cf JOIN bm ON rank <= k JOIN gold USING (qid, chunk_id) GROUP BY ALL) SELECT config, count(*) AS n, round(avg(CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM (SELECT * FROM cf, {Q}) LEFT JOIN f USING (config, qid) GROUP BY config")
+@query(f"WITH {ARMS}, {GOLD}, f AS (SELECT config, qid, min(rank) AS first FROM arms JOIN gold USING (qid, chunk_id) WHERE rank <= {ARM_K} GROUP BY ALL) SELECT config, count(*) AS n, round(avg(CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM (SELECT DISTINCT config, q.qid FROM arms, {Q} q) LEFT JOIN f USING (config, qid) GROUP BY config")
 def eval_ab_grid(s, d):
-    q = _asked(s, d).withColumn("text", F.array_join(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{1,3}\b"), F.lit(0)), " "))
-    hits = lexical.search(q, _docs(s, d), 16)
-    arms = hits.withColumn("config", F.explode(F.when(F.col("rank") <= 1, F.array(F.lit("k1"), F.lit("k8"), F.lit("k16"))).when(F.col("rank") <= 8, F.array(F.lit("k8"), F.lit("k16"))).otherwise(F.array(F.lit("k16")))))
-    return evidence.hit_and_mrr(q.select("qid"), arms, _gold(s, d), ("config",))  # questions are the short words of items alone
+    """Questions alone, with a further query each (their first half), and with that and a reranker over the best 24."""
+    q, c = _asked(s, d), _docs(s, d)
+    both = q.withColumn("sub_no", F.lit(0)).unionByName(q.select("qid", F.expr("substring(text, 1, int(length(text) div 2))").alias("text"), F.lit(1).alias("sub_no")))
+    found = lexical.search(both.select((F.col("qid") * 2 + F.col("sub_no")).alias("qid"), "text"), c, 50)
+    found = kept(found.select(F.expr("qid div 2").alias("qid"), F.expr("qid % 2").alias("sub_no"), "chunk_id", "rank", "score"))
+    fused = kept(fusion.multi_query(found, ARM_CANDIDATES))
+    pairs = fusion.materialise(fused, c).join(q.withColumnRenamed("text", "question"), "qid")
+    arms = {"A_none": found.filter("sub_no = 0"), "B_expand": fused, "C_expand_rerank": fusion.rerank(fused, fusion.lexical_rerank_scores(pairs), None)}
+    return evidence.ab_grid(q.select("qid"), arms, _gold(s, d), ARM_K)
 
 
 @query(f"WITH {BM25}, t AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN chunk_id = 0 THEN 1000000000 ELSE chunk_id END, chunk_id::VARCHAR) AS no FROM bm WHERE rank <= 16) SELECT qid, chunk_id, no FROM t WHERE no <= 10")
@@ -548,9 +568,6 @@ def pdf_pages(s, d):
     return files.pages_of_text(rows).select(F.col("book").alias("page_id"), F.col("page_no").cast("long").alias("page_no"), "text")
 
 
-RERANKED = f"rr AS (SELECT qid, chunk_id, rank AS r0, round(1 / (1 + exp(-(8 * CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END - 4))), 6) AS score FROM (SELECT qid, chunk_id, rank, list_distinct({TOK('b.text')}) AS qt, list_distinct({TOK('substring(d.text, 1, 800)')}) AS dt FROM bm JOIN benchmark b ON item_id = qid JOIN documents d ON doc_id = chunk_id WHERE rank <= 32)), rk AS (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r0) AS rank FROM rr) WHERE rank <= 16)"
-
-
 @query(f"WITH {BM25}, {RERANKED} SELECT qid, chunk_id, score, rank FROM rk")
 def rerank_stub(s, d):
     q, c = _asked(s, d), _docs(s, d)

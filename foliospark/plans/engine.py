@@ -89,8 +89,7 @@ class Engine:
             ranked = fusion.with_entities(ranked.join(some, "qid", "left_semi"), recalled, c).withColumn("single", F.lit(False)).unionByName(ranked.join(some, "qid", "left_anti"))
         ranked = ranked.withColumn("mode", mode).drop("single")
         hits = kept(ranked.join(chunks, "chunk_id").withColumn("text_snippet", snippet(F.col("text"))))
-        late = planned.filter("temporal").select("qid", F.array_compact(F.array(understand.temporal_target(F.col("text")))).alias("target"), "text")
-        late = late.select("qid", F.when(F.size("target") > 0, F.col("target")).otherwise(understand.without_noise(understand.spans(F.col("text")))).alias("names"))
+        late = temporal.named(planned.filter("temporal").select("qid", "text"), names)
         timely = None
         if "doc_ord" in chunks.columns:
             timely = temporal.in_order(hits.join(late.select("qid"), "qid", "left_semi"), late, min(c.top_k, c.temporal_keep)).withColumns({"cutoff": F.lit(None).cast("double"), "strategy": F.lit("temporal_position")})

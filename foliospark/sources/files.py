@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +39,43 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """(phrase, entities) from one JSON object of phrase to a list; other entries and broken files give nothing."""
-    found = F.from_json("value", "map<string,array<string>>")
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.coalesce(found, F.expr("map()"))).alias("phrase", "entities"))
-    rows = rows.select(strip(F.col("phrase")).alias("phrase"), F.filter(F.transform("entities", strip), lambda x: x != "").alias("entities"))
+    """(phrase, ord, entities) from one JSON object of phrase to a list, ord being the place in it; other entries and broken
+    files give nothing. planning.targets() takes it as it is."""
+    found = F.from_json("value", "map<string,string>")  # values as text, so that an odd one spoils no other
+    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.coalesce(found, F.expr("map()"))).alias("ord", "phrase", "list"))
+    rows = rows.select(strip(F.col("phrase")).alias("phrase"), "ord", F.filter(F.transform(F.from_json("list", "array<string>"), strip), lambda x: x != "").alias("entities"))
     return rows.filter((F.col("phrase") != "") & (F.size("entities") > 0))
 
 
+def read_entity_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(name, df, idf) and (name, chunk_id, page_start, tf, pos) of an entity index; None where there is none.
+
+    path: tables as write_entity_index() writes them, or one JSON object {"entities": [{name, df, idf}], "entity_to_chunks": {name: [{chunk_id,
+    tf, page_start}]}}, whose entries keep their order as pos. Entries of another form are left out.
+    """
+    try:
+        tables = not spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
+        if tables:
+            return spark.read.parquet(f"{path}/names"), spark.read.parquet(f"{path}/postings")
+        whole = spark.read.option("wholetext", True).text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    both = whole.select(F.from_json("value", "entities array<string>, entity_to_chunks map<string,string>").alias("v"))
+    one = F.from_json("x", "name string, df long, idf double")
+    names = both.select(F.explode("v.entities").alias("x")).select(one.alias("e")).select(strip(F.col("e.name")).alias("name"), "e.df", "e.idf").filter("name <> ''")
+    items = both.select(F.explode("v.entity_to_chunks").alias("name", "list")).select("name", F.posexplode(F.from_json("list", "array<string>")).alias("at", "x"))
+    rows = items.select("name", (F.col("at") + 1).alias("pos"), F.from_json("x", "chunk_id string, tf int, page_start int").alias("e"))
+    return names, rows.select("name", "e.chunk_id", "e.page_start", "e.tf", "pos").filter("chunk_id <> '' and tf > 0")
+
+
+def write_entity_index(names: DataFrame, postings: DataFrame, path: str) -> None:
+    """Two tables under path, the postings of a name side by side."""
+    names.write.mode("overwrite").parquet(f"{path}/names")
+    postings.repartition("name").sortWithinPartitions("name", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("chunk_id", "vec")
 
