@@ -11,7 +11,6 @@ Documents are dealt out by ranges of their ids, so that files follow each other
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -26,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.worker import shared
 from .common import cut, ensure_checkpoint_dir
 from .warc import _open
 
@@ -100,12 +100,6 @@ class Pieces(dict):
         return np.frombuffer(b"".join(found) + self._pack([END]), "<u4")
 
 
-@functools.lru_cache(1)
-def pieces(path: str) -> Pieces:
-    """One for all tasks of a worker."""
-    return Pieces(path)
-
-
 def widths(ids: np.ndarray) -> list[int]:
     """The widths of chunks, low ones first, for which ids take the fewest bits."""
     bits = np.bincount(np.frexp(ids.astype(np.float64))[1].clip(1), minlength=33)
@@ -283,7 +277,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             if out is None and b.num_rows:
                 where.create_dir(base, recursive=True)
                 out = where.open_output_stream(path, compression=None)
-                writer, known = Writer(out), pieces(tokenizer)
+                writer, known = Writer(out), shared(f"pieces of {tokenizer}", lambda: Pieces(tokenizer))
             if b.num_rows:
                 ids.append(b.column("doc_id"))
             for text in b.column("text"):
