@@ -27,11 +27,18 @@ def candidates(text: Column, conf: EngineConf = DEFAULT) -> Column:
 
 
 def chunk_terms(chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
-    """(chunk_id, page_start, term, tf): each chunk's terms of highest (tf, length), ties by first place, per_chunk_keep at most."""
-    rows = chunks.select("chunk_id", "page_start", F.posexplode(candidates(F.col("text"), conf)).alias("at", "term"))
-    tf = rows.groupBy("chunk_id", "page_start", "term").agg(F.count("*").alias("tf"), F.min("at").alias("at"))
-    best = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("tf"), F.desc(F.length("term")), "at"))
-    return tf.withColumn("r", best).filter(F.col("r") <= conf.per_chunk_keep).drop("r", "at")
+    """(chunk_id, page_start, term, tf): each chunk's terms of highest (tf, length), ties by first place, per_chunk_keep at most.
+
+    Terms are counted within the row: sorted with their places, equal ones stand side by side. Only what is kept leaves it.
+    """
+    placed = F.sort_array(F.transform(candidates(F.col("text"), conf), lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+    rows = chunks.select("chunk_id", "page_start", placed.alias("t")).withColumn("n", F.size("t"))
+    first = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("first", first)
+    tf = lambda i, k: F.coalesce(F.get("first", k + 1), F.col("n")) - i
+    counted = F.transform("first", lambda i, k: F.struct((-tf(i, k)).alias("tf"), (-F.length(F.get("t", i)["term"])).alias("n"), F.get("t", i)["at"].alias("at"), F.get("t", i)["term"].alias("term")))
+    best = F.slice(F.sort_array(counted), 1, conf.per_chunk_keep)
+    return rows.select("chunk_id", "page_start", F.explode(best).alias("x")).select("chunk_id", "page_start", "x.term", (-F.col("x.tf")).cast("long").alias("tf"))
 
 
 def vocabulary(terms: DataFrame, n_chunks: int, conf: EngineConf = DEFAULT) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,17 +28,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder of spark.checkpoint.dir: what follows neither recomputes it nor carries its plan.
-
-    Where that is unset, a folder of its own serves on a single machine; on a cluster that is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which executors share. Where that is unset, one of its own serves on a single machine;
+    on a cluster that is an error."""
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not known and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    known = known or tempfile.mkdtemp(prefix="foliospark-checkpoint-")
     if not sc.getCheckpointDir():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not known and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="foliospark-checkpoint-"))
+        sc.setCheckpointDir(known)
+    return known
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder: what follows neither recomputes it nor carries its plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

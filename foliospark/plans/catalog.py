@@ -6,6 +6,7 @@ exchanging letters where a rule is about CJK text. Searches over embeddings ask
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT
 from ..functions import text as tx
 from ..operators import chunking, entities, evidence, fusion, lexical, planning, prep, temporal, understand, vector
-from ..operators.spotting import kept, spotted
+from ..operators.providers import Policy, reranked_pairs
+from ..operators.spotting import kept, shared_folder, spotted
 from ..sources import files
+from ..streaming import ingest
 from .engine import Engine
 
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz.!?;,", "哈利波特罗恩赫敏邓布多斯内普伏地魔卢平金妮海格穆迪学。！？；，"
@@ -576,6 +579,51 @@ def rerank_stub(s, d):
     return _long_rank(fusion.rerank(hits, fusion.lexical_rerank_scores(pairs), 16)).select("qid", "chunk_id", "score", "rank")
 
 
+#: As RERANKED, but texts are cut after a sentence, as a provider gets them.
+PROVIDED = RERANKED.replace(TOK("substring(d.text, 1, 800)"), TOK(f"(SELECT {TRUNC.replace('300', '800').replace('180', '480')} FROM (SELECT t, h, coalesce(regexp_extract(h, '(?s)^(.*)[。！？；….!?;\\n]', 1), '') AS k FROM (SELECT t, substring(t, 1, 800) AS h FROM (SELECT {STRIP('replace(d.text, chr(13) || chr(10), chr(10))')} AS t))))"))
+
+
+def _overlap_provider(batch: list[dict]) -> list:
+    """A provider that scores passages by the share of the question's words that they have, and gives only every second reply at once."""
+    import math
+    import re
+
+    def words(text: str) -> set:
+        runs = re.findall("[一-鿿]+", text)
+        return {r[i : i + 2] for r in runs for i in range(max(1, len(r) - 1))} | set(re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+
+    out = []
+    for k, row in enumerate(batch):
+        q = words(row["question"])
+        scores = {p["chunk_id"]: round(1 / (1 + math.exp(-(8 * (len(q & words(p["text"])) / len(q) if q else 0) - 4))), 6) for p in row["passages"]}
+        out.append(scores if k % 2 == 0 else None)
+    return out
+
+
+@query(f"WITH {BM25}, {PROVIDED} SELECT qid, chunk_id, score, rank FROM rk")
+def rerank_provider(s, d):
+    """Reranking by a provider that is asked in batches, and again for what it leaves out."""
+    q, c = _asked(s, d), _docs(s, d)
+    hits = kept(lexical.search(q, c, 32))
+    pairs = fusion.materialise(hits, c).join(q.withColumnRenamed("text", "question"), "qid")
+    scored = reranked_pairs(pairs, _overlap_provider, Policy(batch=2, backoff=0.0))
+    return _long_rank(fusion.rerank_where_scored(hits, scored, 16)).select("qid", "chunk_id", "score", "rank")
+
+
+def _numbers_provider(batch: list[dict]) -> list:
+    import zlib
+
+    return [[float(zlib.crc32(r["text"][k::4].encode()) % 1000) for k in range(4)] for r in batch]
+
+
+@query("WITH c AS (SELECT DISTINCT coalesce(text, '') AS t FROM conversations), d AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents), u AS (SELECT t FROM c UNION SELECT t FROM d) SELECT 1 AS step, count(*) AS total, count(*) AS embedded, 0::BIGINT AS reused FROM c UNION ALL SELECT 2, count(*), count(*) - (SELECT count(*) FROM c), (SELECT count(*) FROM c) FROM u UNION ALL SELECT 3, count(*), 0, count(*) FROM d")
+def embed_ingest(s, d):
+    """Texts embedded and found in the store, as a store gets conversations, then documents too, then documents once more."""
+    store, talk, docs = f"{shared_folder(s).rstrip('/')}/store-{uuid.uuid4().hex}", _read(s, d, "conversations").select("text"), _read(s, d, "documents").select("text")
+    runs = [ingest.embed_new(t, store, _numbers_provider, "crc", 4, Policy(batch=256)) for t in (talk, talk.unionByName(docs), docs)]
+    return s.createDataFrame([(k, r["total"], r["embedded"], r["reused"]) for k, r in enumerate(runs, 1)], "step int, total long, embedded long, reused long")
+
+
 @query()
 def embed_stub(s, d):
     return _docs(s, d).select("chunk_id", vector.hashed_embedding(F.col("text"), 8).alias("v")).select("chunk_id", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(8)])
