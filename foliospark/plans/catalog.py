@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..operators import chunking, entities, evidence, fusion, lexical, planning, prep, temporal, understand, vector
 from ..operators.providers import Policy, reranked_pairs
 from ..operators.spotting import kept, shared_folder, spotted
-from ..sources import files
+from ..sources import files, pdf
 from ..streaming import ingest
 from .engine import Engine
 
@@ -134,6 +134,19 @@ def chapter_ffill(s, d):
     return prep.chapters(pages).select("book", "page_no", "chapter")
 
 
+@query(f"SELECT doc_id, generate_subscripts(l, 1)::BIGINT AS page_no, regexp_replace({STRIP('unnest(l)')}, '[\\r\\x0B\\f]+', ' ', 'g') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def pdf_extract(s, d):
+    """Documents written as PDF files, a page a line, and read back."""
+    line = F.regexp_replace(F.col("text"), r"[\r\x0B\f]+", " ")
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n3 0 obj << /Length 9999 >>\nstream\n1 beginbfrange <0000> <02ff> <0000> <2000> <20ff> <2000> endbfrange\nendstream endobj\n4 0 obj << /Font << /F << /Subtype /Type0 /ToUnicode 3 0 R >> >> >> endobj\n"
+    page = lambda t, i: F.concat(F.format_string("%d 0 obj << /Type /Page /Contents %d 0 R >> endobj\n%d 0 obj << >>\nstream\nBT /F 9 Tf <", i * 2 + 10, i * 2 + 11, i * 2 + 11), F.hex(F.encode(t, "UTF-16BE")), F.lit("> Tj ET\nendstream endobj\n"))
+    rows = _read(s, d, "documents").select("doc_id", F.split(line, "\n").alias("l"))
+    kids = F.array_join(F.transform("l", lambda _, i: F.format_string("%d 0 R", i * 2 + 10)), " ")
+    written = F.concat(F.lit(head), F.array_join(F.transform("l", page), ""), F.lit("2 0 obj << /Type /Pages /Resources 4 0 R /Kids ["), kids, F.lit("] >> endobj\n"))
+    files_ = rows.select(F.col("doc_id").alias("book"), F.encode(written, "UTF-8").alias("content"))
+    return pdf.pages_of_files(files_).select(F.col("book").cast("long").alias("doc_id"), F.col("page_no").cast("long").alias("page_no"), "text")
+
+
 @query(f"SELECT doc_id, generate_subscripts(s, 1)::BIGINT AS no, unnest(s) AS sentence FROM (SELECT doc_id, {SENT('text')} AS s FROM documents)")
 def sentence_split(s, d):
     return _read(s, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("i", "sentence")).select("doc_id", (F.col("i") + 1).cast("long").alias("no"), "sentence")
