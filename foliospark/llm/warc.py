@@ -14,7 +14,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,31 +151,31 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     # only payloads that occur more than once have an owner to look up
     marked = full.join(small(owner), "sha", "left").select("page_id", "url", "html", F.when(F.col("owner") != F.col("page_id"), F.col("owner")).alias("refers_to"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = _open(folder)
         out, path, n = None, f"{base}/{uuid.uuid4().hex}.warc.gz", 0
-        for pdf in batches:
-            if out is None and len(pdf):
+        for b in batches:
+            if out is None and b.num_rows:
                 where.create_dir(base, recursive=True)
                 out = where.open_output_stream(path, compression=None)
-            for i, u, h, r in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"]):
-                out.write(record(None if pd.isna(i) else int(i), u, h.encode("utf-8", "surrogatepass"), None if pd.isna(r) else int(r)))
+            for i, u, h, r in zip(*(b.column(c) for c in ("page_id", "url", "html", "refers_to"))):  # ids stay integers, however large
+                out.write(record(i.as_py(), u.as_py(), h.as_py().encode("utf-8", "surrogatepass"), r.as_py()))
                 n += 1
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [f"{folder.rstrip('/')}/{path.rsplit('/', 1)[1]}"], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{path.rsplit('/', 1)[1]}"], "records": [n]})
 
-    return cut(marked.mapInPandas(write, "path string, records long"))
+    return cut(marked.mapInArrow(write, "path string, records long"))
 
 
 def read_archives(spark, archives: DataFrame) -> DataFrame:
     """The records of the archives (path), each archive read in order by one task: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, valid."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num = lambda x: int(x) if (x := x.strip("<>").removeprefix(RECORD)) else None
-        for pdf in batches:
-            for uri in pdf["path"]:
+        for b in batches:
+            for uri in b.column("path").to_pylist():
                 where, path = _open(uri)
                 with where.open_input_stream(path, compression=None) as f:
                     rows = []
@@ -183,17 +183,17 @@ def read_archives(spark, archives: DataFrame) -> DataFrame:
                         x = r["fields"]
                         rows.append((num(x["warc-record-id"]), x["warc-target-uri"], r["payload_bytes"], r["payload_digest"], x["warc-type"], num(x.get("warc-refers-to", "")), r["valid"]))
                         if len(rows) >= 2000:
-                            yield _frame(rows)
+                            yield _batch(rows)
                             rows = []
                     if rows:
-                        yield _frame(rows)
+                        yield _batch(rows)
 
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid"])
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid"])
 
     n = max(1, archives.count())
-    return archives.select("path").repartition(n, "path").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, valid boolean")
+    return archives.select("path").repartition(n, "path").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, valid boolean")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -201,7 +201,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload; a null url is written empty, a null id as none. Rows that repeat a page_id are
     records of their own, and those that repeat the largest id of a payload are all responses, as are those without an
-    id. An empty table gives an empty result. Other columns are ignored.
+    id; integer ids of any size come back as they are. Long payloads are written and read in pieces. An empty table gives an empty
+    result. Other columns are ignored.
     """
     spark = pages.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"

@@ -217,6 +217,14 @@ def test_warc_round_trip(spark, sf):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_of_any_size(spark):
+    big = 2**53 + 1
+    pages = spark.createDataFrame([(big, "u", "x"), (big - 1, "v", "x"), (None, "w", "y"), (-7, None, "z")], "page_id long, url string, html string")
+    odd_names = pages.withColumns({c: F.lit(1) for c in ("sha", "owner", "refers_to", "n", "payload_bytes", "valid", "path")})
+    for table in (pages, odd_names):
+        assert sorted((str(r.page_id), r.refers_to) for r in warc.round_trip(table).collect()) == sorted([(str(big), None), (str(big - 1), big), ("None", None), ("-7", None)])
+
+
 def test_warc_reader_rejects_damage():
     good = warc.record(1, "u", b"payload", None)
     assert [r["valid"] for r in warc.records(io.BytesIO(good * 2).read)] == [True, True]
