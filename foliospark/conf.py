@@ -39,6 +39,7 @@ class EngineConf:
     evidence_chunks: int = 10
     evidence_chunk_chars: int = 900
     evidence_chars: int = 10000
+    retry_on_abstain: bool = True
     temporal_candidates: int = 80
     temporal_keep: int = 6
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import sentences, strip, truncate
 from . import understand
+from .spotting import kept
 from .understand import keywords
 
 #: Patterns that results depend on.
@@ -23,7 +25,7 @@ KEPT_LABELS = ("关键描写", "情节", "简短总结")
 HOUSES = ("格兰芬多", "斯莱特林", "拉文克劳", "赫奇帕奇")
 LIST_WORDS = ("哪些", "列出", "列举")
 CRITERIA_LINES = ("判定标准：", "1) 依据问题语义从原文中抽取", "2) 需有明确描写或具体情节支撑", "3) 不满足条件的不列出", "")
-LABELS = ("   关键描写/情节：", "   简短总结：")
+LABELS, LIST_LABELS = ("   关键描写/情节：", "   简短总结："), ("关键描写", "简短总结")
 NO_ANSWER, FOUND = "无法回答", "相关内容如下："
 CITATION = r"\[([A-Za-z0-9_:-]+)\]"
 
@@ -109,14 +111,15 @@ def structured(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("qid", "target", "field").agg(F.min_by("value", F.struct("no", "i")).alias("value"))
 
 
-def filled(values: DataFrame, planned: DataFrame) -> DataFrame:
+def filled(values: DataFrame, planned: DataFrame, missing: str | None = None) -> DataFrame:
     """(qid, complete, table) for plans (qid, targets, fields) from values (qid, target, field, value): whether every cell has
-    one, and a line per target of what is known. Plans without targets or fields are never complete."""
+    one, and a line per target of what is known, with `missing` in other cells if it is given. Plans without targets or fields are never complete."""
     cells = planned.select("qid", F.posexplode("targets").alias("i", "target"), "fields").select("qid", "i", "target", F.posexplode("fields").alias("j", "field"))
     rows = cells.join(values, ["qid", "target", "field"], "left")
-    part = F.when(F.col("value") != "", F.concat("field", F.lit("："), "value"))
+    known = F.col("value") != ""
+    part = F.when(known, F.concat("field", F.lit("："), "value")).otherwise(F.lit(None) if missing is None else F.concat("field", F.lit("：" + missing)))
     in_order = lambda c, by: F.transform(F.array_sort(F.filter(F.collect_list(F.struct(F.col(by), c.alias("t"))), lambda x: x["t"].isNotNull())), lambda x: x["t"])
-    lines = rows.groupBy("qid", "i", "target").agg(F.array_join(in_order(part, "j"), "；").alias("known"), F.min((part.isNotNull()).cast("int")).alias("all"))
+    lines = rows.groupBy("qid", "i", "target").agg(F.array_join(in_order(part, "j"), "；").alias("known"), F.min(F.coalesce(known, F.lit(False)).cast("int")).alias("all"))
     line = F.when(F.col("known") != "", F.concat("target", F.lit("："), "known"))
     return lines.groupBy("qid").agg((F.min("all") == 1).alias("complete"), F.array_join(in_order(line, "i"), "\n").alias("table"))
 
@@ -211,3 +214,49 @@ def ab_grid(questions: DataFrame, arms: dict[str, DataFrame], gold: DataFrame, k
     first = hits.join(gold, ["qid", "chunk_id"]).groupBy("config", "qid").agg(F.min("rank").alias("first"))
     rows = asked.join(first, ["config", "qid"], "left")
     return rows.groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def reranked_for_evidence(hits: DataFrame, scored: DataFrame, candidates: int) -> DataFrame:
+    """hits (qid, chunk_id, score, rank, ...) with their first `candidates` put in the order of a reranker's (qid, chunk_id, rerank_score), and
+    the others after them as they were. Questions whose hits have rerank scores already, or that the reranker gave none, stay as they are."""
+    known = scored.filter("rerank_score is not null").select("qid", "chunk_id", F.col("rerank_score").alias("__new"))
+    rows = hits.join(known, ["qid", "chunk_id"], "left")
+    w = Window.partitionBy("qid")
+    had = F.max(F.col("rerank_score").isNotNull()).over(w) if "rerank_score" in hits.columns else F.lit(False)
+    rows = rows.withColumn("__go", F.max(F.col("__new").isNotNull()).over(w) & ~had).withColumn("__first", F.col("__go") & (F.col("rank") <= candidates))
+    new = F.when(F.col("__first"), F.coalesce("__new", F.lit(0.0)))
+    rows = rows.withColumn("score", F.coalesce(new, "score")).withColumn("__order", F.when(F.col("__go"), F.coalesce(-new, F.lit(1.0))).otherwise(0.0))
+    return rows.withColumn("rank", F.row_number().over(w.orderBy("__order", "rank"))).drop("__new", "__go", "__first", "__order")
+
+
+def replied(asked: DataFrame, provider: Callable[[DataFrame], DataFrame], retry: bool = True) -> DataFrame:
+    """(qid, reply, rounds): what a provider says to asked (qid, question, evidence, is_list, ...), asked again where need be.
+
+    provider gets the rows of a round, with its name in `round`, and gives (qid, reply). All are asked in round first. Those that abstain or
+    refuse though there is evidence are asked in round abstain; list questions whose reply lacks a label of lists, in round list. An empty second
+    reply leaves the first as it was; an empty first reply is not asked again. rounds names those that were asked, with a + between.
+    """
+    text = lambda c: strip(F.coalesce(c, F.lit("")))
+
+    def round_of(rows: DataFrame, name: str, which: Column) -> DataFrame:
+        part = rows.filter(which).drop("said", "rounds").withColumn("round", F.lit(name))
+        got = kept(provider(part).groupBy("qid").agg(text(F.max("reply")).alias("again")))
+        both = rows.join(got, "qid", "left").withColumn("rounds", F.when(which, F.concat_ws("+", "rounds", F.lit(name))).otherwise(F.col("rounds")))
+        return kept(both.withColumn("said", F.when(which & (F.coalesce("again", F.lit("")) != ""), F.col("again")).otherwise(F.col("said"))).drop("again"))
+
+    rows = round_of(kept(asked.withColumns({"said": F.lit(""), "rounds": F.lit(None).cast("string")})), "first", F.lit(True))
+    if retry:
+        some = (F.col("said") != "") & (text(F.col("evidence")) != "")
+        rows = round_of(rows, "abstain", some & ((F.col("said") == NO_ANSWER) | is_refusal(F.col("said"))))
+    some = (F.col("said") != "") & (text(F.col("evidence")) != "")
+    lacks = F.lit(False)
+    for label in LIST_LABELS:
+        lacks = lacks | ~F.contains("said", F.lit(label))
+    return round_of(rows, "list", some & F.col("is_list") & lacks).select("qid", F.col("said").alias("reply"), "rounds")
+
+
+def finished(reply: Column) -> Column:
+    """A reply as it is shown: cleaned, once more if words about sources are left; null if nothing or a refusal remains."""
+    once = clean_style(reply)
+    out = F.when(once.rlike("|".join(META_WORDS)), clean_style(once)).otherwise(once)
+    return F.when(~is_refusal(out) & (strip(out) != NO_ANSWER), strip(out))

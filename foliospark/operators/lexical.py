@@ -1,13 +1,17 @@
 """BM25 over chunks (chunk_id, text), for many questions (qid, text) at once.
 
 Chunks are read as a forward index: per chunk its length and the counts of its terms, made within the row, so nothing is
-shuffled for it. An index that is written once (keep) serves any number of searches. Statistics need one narrow pass, and
-scoring another: questions are broadcast block by block, every task scores its chunks against all questions of the block and
-passes on its best k a question, so what is shuffled grows with questions and tasks, not with questions times chunks.
+shuffled for it. Texts are cut into terms once: an index is written before it is searched, and one that is kept (keep) serves
+any number of searches. Statistics and scoring then read its columns: questions are broadcast block by block, every task scores its
+chunks against all questions of the block and passes on its best k a question, so what is shuffled grows with questions and
+tasks, not with questions times chunks.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
+from .spotting import groups, kept, shared_folder
 
 ASKED = 200_000  # terms of questions that are broadcast at a time, repeats between questions counted
 CELLS = 400_000  # questions times chunks that a task scores together
@@ -28,15 +33,44 @@ def index(chunks: DataFrame) -> DataFrame:
 
     A chunk without tokens has none. An index may stand for chunks wherever they are searched.
     """
-    rows = chunks.select("chunk_id", F.sort_array(tokens(F.col("text"))).alias("t")).withColumn("dl", F.size("t"))
-    first = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("__first", first)
-    tfs = F.transform("__first", lambda i, k: F.coalesce(F.get("__first", k + 1), F.col("dl")) - i)
-    return rows.select("chunk_id", "dl", F.array_distinct("t").alias("terms"), tfs.alias("tfs"))
-
-
-def keep(chunks: DataFrame, path: str) -> DataFrame:
-    """The index, written as Parquet under path (which executors share) and read from there."""
+    return chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counted, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, dl int, terms array<string>, tfs array<int>")
+
+
+def _tokens(text: str) -> list[str]:
+    """As functions.text.tokens has them."""
+    pairs = [x for run in re.findall("[一-鿿]+", text) for x in (map("".join, zip(run, run[1:])) if len(run) > 1 else (run,))]
+    words = re.findall("[A-Za-z0-9]+", text)
+    return pairs + (" ".join(words).lower().split(" ") if words else [])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        for low, high in groups(texts):
+            found = [_tokens(t) for t in texts[low:high]]
+            dl = np.array([len(x) for x in found], np.int64)
+            number: dict[str, int] = defaultdict()
+            number.default_factory = number.__len__
+            code = np.fromiter((number[t] for x in found for t in x), np.int64, int(dl.sum()))
+            names = np.array(list(number), object)
+            order = np.argsort(names) if len(names) else np.zeros(0, np.int64)
+            rank = np.empty(len(names), np.int64)
+            rank[order] = np.arange(len(names))
+            both, n = np.unique(np.repeat(np.arange(len(found)), dl) * max(1, len(names)) + (rank[code] if len(names) else code), return_counts=True)
+            row, term = np.divmod(both, max(1, len(names)))
+            ends = pa.array(np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32))
+            terms = pa.array(names[order], pa.string()).take(pa.array(term))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id").slice(low, high - low), pa.array(dl.astype(np.int32)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], ["chunk_id", "dl", "terms", "tfs"])
+
+
+def keep(chunks: DataFrame, path: str | None = None) -> DataFrame:
+    """The index, written as Parquet under path (which executors share; a new one in the shared folder unless given) and read from there.
+
+    chunks that are an index already are given back.
+    """
+    if "tfs" in chunks.columns:
+        return chunks
+    path = path or f"{shared_folder(chunks.sparkSession).rstrip('/')}/bm25-{uuid.uuid4().hex}"
     index(chunks).write.mode("overwrite").parquet(path)
     return chunks.sparkSession.read.parquet(path)
 
@@ -53,8 +87,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def corpus(chunks: DataFrame) -> DataFrame:
     """One row (n, avgdl) over chunks that have tokens."""
-    size = F.col("dl") if "tfs" in chunks.columns else F.size(tokens(F.col("text")))
-    return chunks.select(size.alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return _indexed(chunks).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -65,22 +98,19 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def _weights(questions: DataFrame, docs: DataFrame) -> tuple[DataFrame, float, DataFrame]:
-    """(qid, term, idf) of terms that some chunk has, the mean length, and what is kept of the one pass over terms alone."""
+def _weights(questions: DataFrame, docs: DataFrame) -> tuple[DataFrame, float]:
+    """(qid, term, idf) of terms that some chunk has, and the mean length. docs: an index that is kept."""
     asked = query_terms(questions)
-    terms = asked.select("term").distinct()
-    lengths = docs.filter("dl > 0").select(F.lit(None).cast("string").alias("term"), F.col("dl").cast("long").alias("dl"))
-    seen = docs.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").select("term", F.lit(0).cast("long").alias("dl"))
-    df = seen.unionByName(lengths).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).persist()
-    total = df.filter("term is null").first()
-    n, avgdl = (total["df"], total["dl"] / total["df"]) if total else (0, 1.0)
-    return asked.join(df.filter("term is not null"), "term").select("qid", "term", idf(F.lit(n), F.col("df")).alias("idf")), avgdl, df
+    total = docs.filter("dl > 0").agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("long")).alias("dl")).first()
+    df = docs.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return asked.join(df, "term").select("qid", "term", idf(F.lit(total["n"]), F.col("df")).alias("idf")), (total["dl"] / total["n"] if total["n"] else 1.0)
 
 
 def scores(questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT, k: int | None = None) -> DataFrame:
     """(qid, chunk_id, score) of chunks that share a term with the question: all of them, or with k at least the best k."""
-    docs = _indexed(chunks)
-    weights, avgdl, kept = _weights(questions, docs)
+    docs = keep(chunks)
+    weights, avgdl = _weights(questions, docs)
+    weights = kept(weights)
     n_asked = weights.count()
     blocks = max(1, -(-n_asked // ASKED))
     kinds = dict(questions.dtypes)["qid"], dict(docs.dtypes)["chunk_id"]
@@ -89,7 +119,6 @@ def scores(questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT,
         part = weights.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("term", "qid").toArrow()
         found = docs.select("chunk_id", "dl", "terms", "tfs").mapInArrow(_scorer(docs, part, avgdl, conf, k), f"qid {kinds[0]}, chunk_id {kinds[1]}, score double")
         out = found if out is None else out.unionByName(found)
-    kept.unpersist()
     return out.select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -150,8 +179,8 @@ def search(questions: DataFrame, chunks: DataFrame, k: int, conf: EngineConf = D
 
 def point_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     """pairs (qid, chunk_id) with their score, 0 without a shared term. Terms of the pairs alone are joined."""
-    docs = _indexed(chunks)
-    weights, avgdl, _ = _weights(questions, docs)
+    docs = keep(chunks)
+    weights, avgdl = _weights(questions, docs)
     rows = pairs.select("qid", "chunk_id").distinct().join(docs, "chunk_id").select("qid", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
     tf = F.col("x.tfs")
     w = F.col("idf") * tf * (conf.k1 + 1) / (tf + conf.k1 * (1 - conf.b + conf.b * F.col("dl") / avgdl))

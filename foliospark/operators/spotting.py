@@ -77,7 +77,7 @@ def _shards(names: DataFrame, name: str) -> Iterator[DataFrame]:
         yield names.filter(F.pmod(F.xxhash64(*names.columns), F.lit(n)) == k) if n > 1 else names
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts that are searched together."""
     begin, size = 0, 0
     for k, t in enumerate(texts):
@@ -102,7 +102,7 @@ def spotted(rows: DataFrame, names: DataFrame, name: str = "name", on: tuple[str
         def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = [t or "" for t in b.column("text").to_pylist()]
-                for low, high in _groups(texts):
+                for low, high in groups(texts):
                     text, row = known.value.pairs(texts[low:high])
                     part = pa.Table.from_batches([b.slice(low, high - low)])
                     for c in on:  # nulls agree with nothing
@@ -135,7 +135,7 @@ def longest(rows: DataFrame, names: DataFrame, most: int) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts, words = [t or "" for t in b.column("text").to_pylist()], known.value.rows["name"].to_pylist()
-                for low, high in _groups(texts):
+                for low, high in groups(texts):
                     if alone:
                         hits = known.value.automaton.longest_first(texts[low:high], most)
                     else:  # other shards may have longer names, so none is taken yet

@@ -70,7 +70,8 @@ class Engine:
         asked = kept(planning.queries(planned, expansions))
         many = expansions is not None or not planned.filter("kind is not null").isEmpty()
         k = fusion.candidate_k(c.top_k, not planned.filter("temporal").isEmpty(), bool(rerank), many, c)
-        found, original = self.recall(asked, chunks, vectors, k)
+        index = lexical.keep(chunks)  # for all searches and scores that follow
+        found, original = self.recall(asked, index, vectors, k)
         found = kept(found)
         single = found.groupBy("qid").agg((F.max("sub_no") == 0).alias("single"))
         fused = fusion.multi_query(found, k, c).join(single, "qid")
@@ -104,7 +105,7 @@ class Engine:
         for more in (timely, early):
             if more is not None:
                 out = out.unionByName(more.select(*[x for x in out.columns if x in more.columns]), allowMissingColumns=True)
-        return self._diagnosed(kept(out), original, questions, chunks)
+        return self._diagnosed(kept(out), original, questions, index)
 
     def _planned(self, questions: DataFrame, names: DataFrame | None, aliases: DataFrame | None) -> DataFrame:
         return planning.plans(questions, planning.targets(questions, names, aliases))
@@ -142,14 +143,22 @@ class Engine:
         point = lexical.point_scores(hits.select("qid", "chunk_id"), questions, chunks, self.conf).withColumnRenamed("score", "bm25_score")
         return scored.join(point, ["qid", "chunk_id"], "left").drop("book", "doc_ord")
 
-    def answer(self, questions: DataFrame, hits: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, names: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    def answer(
+        self, questions: DataFrame, hits: DataFrame, provider: Callable[[DataFrame], DataFrame] | None = None, names: DataFrame | None = None, aliases: DataFrame | None = None,
+        rerank: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> DataFrame:
         """(qid, answer, way) of questions from their hits (qid, chunk_id, score, rank, page_start, page_end, chapter, text, ...).
 
         way: none without hits; structured if every target and field of the plan has a value in the evidence; list for list
-        questions with names in the evidence; else provider ((qid, question, evidence) to (qid, reply)), whose reply is cleaned;
-        else snippets, also where a reply is empty or a refusal.
+        questions with names in the evidence; else provider, which gets what is left (qid, question, evidence, is_list, criteria, targets,
+        fields, known: the values that were found) and gives (qid, reply), in up to three rounds (evidence.replied), and whose
+        reply is cleaned; else snippets, also where a reply is empty or a refusal. rerank puts the first hits in order that have no
+        rerank scores yet ((qid, chunk_id, question, text) to (qid, chunk_id, rerank_score)).
         """
         c = self.conf
+        if rerank is not None:
+            pairs = hits.filter(F.col("rank") <= c.rerank_candidates).join(questions.select("qid", F.col("text").alias("question")), "qid").select("qid", "chunk_id", "question", "text")
+            hits = kept(evidence.reranked_for_evidence(hits, kept(rerank(pairs)), c.rerank_candidates))
         hits = hits if "alias_hint" in hits.columns else hits.withColumn("alias_hint", F.lit(None).cast("string"))
         planned = kept(self._planned(questions, names, aliases))
         about = planned.select("qid", F.array_distinct(F.concat("targets", "fields")).alias("terms"))
@@ -163,7 +172,8 @@ class Engine:
         planned = kept(self._planned(bridged, names, aliases))
         pieces = planned.filter("kind is not null")
         wanted = pieces.select("qid", F.explode("targets").alias("target"), "fields").select("qid", "target", F.explode("fields").alias("field"))
-        table = evidence.filled(evidence.structured(capped.select("qid", "no", "text"), wanted), pieces).filter("complete and table <> ''")
+        cells = kept(evidence.filled(evidence.structured(capped.select("qid", "no", "text"), wanted), pieces))
+        table = cells.filter("complete and table <> ''")
         lists = planned.filter(F.col("kind").isNull() & understand.is_list(F.col("text"))).select("qid", F.col("text").alias("question"))
         seen = capped.select("qid", "no", "text").join(lists, "qid")
         listed = evidence.list_answer(evidence.names_in(seen, evidence.list_terms(F.col("question"), understand.criteria(F.col("question")))), lists.withColumnRenamed("question", "text"))
@@ -172,10 +182,12 @@ class Engine:
         out = out.join(table.select("qid", F.col("table").alias("t")), "qid", "left").join(listed.select("qid", F.col("answer").alias("l")), "qid", "left")
         said = F.lit(None).cast("string")
         if provider is not None:
+            about = planned.select("qid", understand.is_list(F.col("text")).alias("is_list"), understand.criteria(F.col("text")).alias("criteria"), "targets", "fields")
             asked = bridged.join(evidence.block(evidence.budgeted(capped, c)), "qid").select("qid", F.col("text").alias("question"), "evidence")
-            replies = provider(asked).select("qid", evidence.clean_style(F.col("reply")).alias("said"))
+            asked = asked.join(about, "qid").join(cells.select("qid", F.col("table").alias("known")), "qid", "left")
+            asked = asked.join(table.select("qid"), "qid", "left_anti").join(listed.select("qid"), "qid", "left_anti")
+            replies = evidence.replied(asked, provider, c.retry_on_abstain).select("qid", evidence.finished(F.col("reply")).alias("said"))
             out, said = out.join(replies, "qid", "left"), F.col("said")
-        said = F.when(~evidence.is_refusal(said) & (strip(said) != evidence.NO_ANSWER), said)
         way = F.when(F.col("t").isNotNull(), "structured").when(F.col("l").isNotNull(), "list").when(said.isNotNull(), "provider").when(F.col("snippets") == evidence.NO_ANSWER, "none").otherwise("snippets")
         return out.select("qid", F.coalesce("t", "l", said, "snippets").alias("answer"), way.alias("way"))
 
