@@ -1,9 +1,9 @@
 """Token ids in files of directly addressable codes: any token can be read without decoding a block.
 
-An id is cut into chunks from its low bits upwards. Level k holds the k-th chunks, packed, of the ids that have one; a bitmap beside
-it says which of them go on to the next level, and a directory of counts every RANK_BITS bits turns a place in the bitmap
-into a place on the next level. The widths of the chunks are those that make a segment smallest, found from the counts of
-id lengths. A file is a run of segments of SEGMENT ids each (the last one shorter), so the segment of a token follows
+An id is cut into chunks from its low bits upwards. Level k holds the k-th chunks of the ids that have one, as planes of bytes and
+half bytes; a bitmap beside it says which of them go on to the next level, and a directory of counts every RANK_BITS bits turns a
+place in the bitmap into a place on the next level. The widths of the chunks, multiples of half a byte, are those that make a
+segment smallest, found from the counts of id lengths. A file is a run of segments of SEGMENT ids each (the last one shorter), so the segment of a token follows
 from its number, then a table of the documents in it, and a footer that says where things are.
 
 Documents are dealt out by ranges of their ids, so that files follow each other in ascending order of doc_id.
@@ -30,6 +30,7 @@ from .common import cut, ensure_checkpoint_dir
 from .warc import _open
 
 SEGMENT = 1 << 20  # ids in a segment
+UNIT = 4  # widths of chunks are multiples of so many bits
 RANK_BITS = 512  # bits of a bitmap for each entry of its directory
 END = 2  # the id after each document
 PIECE = 1 << 18  # ids read at a time
@@ -102,28 +103,29 @@ class Pieces(dict):
 
 def widths(ids: np.ndarray) -> list[int]:
     """The widths of chunks, low ones first, for which ids take the fewest bits."""
-    bits = np.bincount(np.frexp(ids.astype(np.float64))[1].clip(1), minlength=33)
-    most = int(np.flatnonzero(bits).max(initial=1))
-    longer = len(ids) - np.cumsum(bits)  # ids of more than so many bits
-    longer[0] = len(ids)
+    most = max(UNIT, -(-int(ids.max(initial=1)).bit_length() // UNIT) * UNIT)
+    longer = {at: int(np.count_nonzero(ids >> np.uint32(at))) if at else len(ids) for at in range(0, most, UNIT)}  # ids of more than so many bits
     best = {most: (0.0, [])}
-    for at in range(most - 1, -1, -1):
-        best[at] = min((longer[at] * (w + (at + w < most) * (1 + 32 / RANK_BITS)) + best[at + w][0], [w, *best[at + w][1]]) for w in range(1, most - at + 1))
+    for at in range(most - UNIT, -1, -UNIT):
+        best[at] = min((longer[at] * (w + (at + w < most) * (1 + 32 / RANK_BITS)) + best[at + w][0], [w, *best[at + w][1]]) for w in range(UNIT, most - at + 1, UNIT))
     return best[0][1]
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
-    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+def _planes(width: int) -> list[int]:
+    return [8] * (width // 8) + [4] * (width % 8 // 4)
 
 
-def _unpack(data: bytes, skip: int, n: int, width: int) -> np.ndarray:
-    """n values of so many bits, after skip bits."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[skip : skip + n * width]
-    whole = np.packbits(bits.reshape(n, width), axis=1, bitorder="little")
-    out = np.zeros((n, 4), np.uint8)
-    out[:, : whole.shape[1]] = whole
-    return out.view("<u4").reshape(-1)
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Planes of values, one after the other: a byte of each value, or half a byte, two in a byte."""
+    out, shift = [], 0
+    for bits in _planes(width):
+        plane = (values >> np.uint32(shift)).astype(np.uint8)
+        if bits == 4:
+            plane = np.append(plane & 15, np.zeros(len(plane) % 2, np.uint8))
+            plane = plane[0::2] | plane[1::2] << 4
+        out.append(plane.tobytes())
+        shift += bits
+    return b"".join(out)
 
 
 def segment(ids: np.ndarray) -> tuple[dict, bytes]:
@@ -131,23 +133,27 @@ def segment(ids: np.ndarray) -> tuple[dict, bytes]:
     ws, counts, out = widths(ids), [], []
     for k, w in enumerate(ws):
         counts.append(len(ids))
-        out.append(_pack(ids & np.uint32((1 << w) - 1), w))
+        out.append(_pack(ids, w))
         if k < len(ws) - 1:
             more = ids >> np.uint32(w) > 0
-            ends = np.cumsum(np.add.reduceat(more, np.arange(0, len(more), RANK_BITS), dtype=np.int64)) if len(more) else np.zeros(0, np.int64)
-            out += [np.packbits(more, bitorder="little").tobytes(), np.r_[0, ends[:-1]][: len(ends)].astype("<u4").tobytes()]
+            marks = np.packbits(more, bitorder="little")
+            ends = np.cumsum(np.add.reduceat(np.bitwise_count(marks), np.arange(0, len(marks), RANK_BITS // 8), dtype=np.int64)) if len(marks) else np.zeros(0, np.int64)
+            out += [marks.tobytes(), np.r_[0, ends[:-1]][: len(ends)].astype("<u4").tobytes()]
             ids = ids[more] >> np.uint32(w)
     return {"widths": ws, "counts": counts}, b"".join(out)
 
 
-def _places(head: dict) -> list[tuple[int, int, int]]:
-    """Where chunks, bitmap and directory of each level begin, from the begin of the segment."""
+def _places(head: dict) -> list[tuple[list[tuple[int, int]], int, int]]:
+    """Where planes (place, bits), bitmap and directory of each level begin, from the begin of the segment."""
     out, at = [], 0
     for k, (w, n) in enumerate(zip(head["widths"], head["counts"])):
-        bitmap = at + -(-n * w // 8)
-        ranks = bitmap + -(-n // 8)
-        out.append((at, bitmap, ranks))
-        at = ranks + 4 * -(-n // RANK_BITS) if k < len(head["widths"]) - 1 else bitmap
+        planes = []
+        for bits in _planes(w):
+            planes.append((at, bits))
+            at += -(-n * bits // 8)
+        ranks = at + -(-n // 8)
+        out.append((planes, at, ranks))
+        at = ranks + 4 * -(-n // RANK_BITS) if k < len(head["widths"]) - 1 else at
     return out
 
 
@@ -223,11 +229,11 @@ class Reader:
             raise IndexError(i)
         head = self.footer["segments"][i // self.footer["segment"]]
         place, value, shift, base = i % self.footer["segment"], 0, 0, head["at"]
-        for k, (w, (chunks, bitmap, ranks)) in enumerate(zip(head["widths"], _places(head))):
-            byte, skip = divmod(place * w, 8)
-            got = int.from_bytes(self.f.read_at(-(-(skip + w) // 8), base + chunks + byte), "little")
-            value |= (got >> skip & ((1 << w) - 1)) << shift
-            shift += w
+        for k, (planes, bitmap, ranks) in enumerate(_places(head)):
+            for at, bits in planes:
+                byte = self.f.read_at(1, base + at + place * bits // 8)[0]
+                value |= (byte if bits == 8 else byte >> 4 * (place % 2) & 15) << shift
+                shift += bits
             if k == len(head["widths"]) - 1 or not self.f.read_at(1, base + bitmap + place // 8)[0] >> (place % 8) & 1:
                 break
             place = self._rank(base, bitmap, ranks, place)
@@ -243,16 +249,28 @@ class Reader:
             a += last - first
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
+    def _plane(self, at: int, bits: int, a: int, b: int) -> np.ndarray:
+        """Entries a to b - 1 of a plane."""
+        low = a * bits // 8
+        data = np.frombuffer(self.f.read_at(-(-b * bits // 8) - low, at + low), np.uint8)
+        if bits == 8:
+            return data
+        both = np.empty(2 * len(data), np.uint8)
+        both[0::2], both[1::2] = data & 15, data >> 4
+        return both[a % 2 :][: b - a]
+
     def _of_segment(self, head: dict, a: int, b: int) -> np.ndarray:
         out, where, shift, base = np.zeros(b - a, "<u4"), slice(None), 0, head["at"]
-        for k, (w, (chunks, bitmap, ranks)) in enumerate(zip(head["widths"], _places(head))):
-            low, high = a * w // 8, -(-b * w // 8)
-            out[where] |= _unpack(self.f.read_at(high - low, base + chunks + low), a * w - 8 * low, b - a, w) << np.uint32(shift)
-            shift += w
+        for k, (planes, bitmap, ranks) in enumerate(_places(head)):
+            value = np.zeros(b - a, "<u4")
+            for at, bits in planes:
+                value |= self._plane(base + at, bits, a, b).astype("<u4") << np.uint32(shift)
+                shift += bits
+            out[where] |= value
             if k == len(head["widths"]) - 1:
                 break
-            bits = np.unpackbits(np.frombuffer(self.f.read_at(-(-b // 8) - a // 8, base + bitmap + a // 8), np.uint8), bitorder="little")[a % 8 :][: b - a]
-            on = np.flatnonzero(bits)
+            bitmap_bits = np.unpackbits(np.frombuffer(self.f.read_at(-(-b // 8) - a // 8, base + bitmap + a // 8), np.uint8), bitorder="little")[a % 8 :][: b - a]
+            on = np.flatnonzero(bitmap_bits)
             where = on if k == 0 else where[on]
             a = self._rank(base, bitmap, ranks, a)
             b = a + len(on)
