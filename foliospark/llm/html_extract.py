@@ -4,7 +4,9 @@ A page is a sequence of words and tags. Words score positive, tags negative; a l
 of highest score. Weights are log odds of a token's kind inside against outside the content of labelled pages: pages that
 mark their content themselves (article or main elements) label it for the others. On those pages, too, the scan decides:
 crossing the bound of such an element only costs score, and words outside count less. What is never content (menus,
-adverts, forms, comments and the like, known by element, role or class) is left out of the sequence first.
+adverts, forms, comments and the like, known by element, role or class) is left out of the sequence first. A class or a form
+may also be that of a frame around everything: where leaving such elements out leaves no content element, those that hold one
+are read after all, and where there is none at all, one that holds most of the page's words.
 """
 
 from __future__ import annotations
@@ -45,28 +47,52 @@ SKIP_WORDS = {
     "widget", "widgets", "login", "search", "alert", "copyright", "recommended", "responses", "discussion",
 }
 HEADER_WORDS = {"header"}
+COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "reply", "respond", "responses", "discussion"}
+#: How an element is left out: for good, or unless it is a frame, of which that of comments needs a content element.
+NEVER, FRAME, COMMENTS = 1, 2, 3
+PASSES = 10  # frames within frames
 KNOWN = RAW | VOID | BLOCK | INLINE | SKIP
 #: Elements whose end tags are often left out: a new one ends an open one of the same set.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _skipped(name: str, attributes: str, in_content: bool) -> bool:
-    """Whether an element is never content."""
+def _skipped(name: str, attributes: str, in_content: bool) -> int:
+    """Whether an element is never content: NEVER, FRAME or COMMENTS, else 0."""
     if name in SKIP or name == "header" and not in_content:
-        return True
+        return FRAME if name == "form" else NEVER
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
     found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in SKIP_ROLES or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return NEVER
     names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
     if name in CONTENT or name in ("body", "html"):
-        return bool(names & {"comment", "comments", "reply", "respond"}) and name == "article"
-    return bool(names & SKIP_WORDS) or bool(names & HEADER_WORDS) and not in_content
+        return NEVER if names & {"comment", "comments", "reply", "respond"} and name == "article" else 0
+    if names & SKIP_WORDS or names & HEADER_WORDS and not in_content:
+        return COMMENTS if names & COMMENT_WORDS else FRAME
+    return 0
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
-    """(sequence, blocks): the page's tokens outside what is skipped, and the texts of its blocks.
+    """(sequence, blocks) of a page, with frames that must be read after all."""
+    frames: set[int] = set()
+    for _ in range(PASSES):
+        seq, blocks, left_out = _parsed(page, frames)
+        if any(c and b >= 0 for _, b, c in seq):
+            break
+        more = {at for at, _, _, holds in left_out if holds}
+        if not more and not any(holds for *_, holds in left_out):
+            most = sum(len(x.split()) for x in blocks) + sum(n for _, _, n, _ in left_out)
+            more = {at for at, kind, n, _ in left_out if kind == FRAME and 2 * n > most}
+        if not more:
+            break
+        frames |= more
+    return seq, blocks
+
+
+def _parsed(page: str, frames: set[int]) -> tuple[list[tuple[str, int, bool]], list[str], list[tuple[int, int, int, bool]]]:
+    """(sequence, blocks, left out): the page's tokens outside what is skipped, the texts of its blocks, and the outermost elements that were
+    skipped but may be frames: (place, kind, words, whether a content element with words is in it). Elements at the places `frames` aren't skipped.
 
     A token is (kind, block, in content): kind is a tag that begins ('<p>' as 'p', one that HTML doesn't know as 'other'), '/' for a bound of a content element
     (the end of each, and the begin of an outermost one), or 'word' or 'linked' with as many tokens as the block has
@@ -75,10 +101,11 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
     seq: list[tuple[str, int, bool]] = []
     blocks: list[str] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
+    left_out: list[list] = []
     opened: list[Counter] = [Counter()]  # names of open elements, by scope; an end tag without a begin looks no further
     every: Counter = Counter()
-    skip = content = links = 0
+    skip = content = links = never = 0
 
     def flush() -> None:
         text = " ".join("".join(t for t, _ in parts).split())
@@ -90,7 +117,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
         parts.clear()
 
     def pop(to: int) -> None:
-        nonlocal skip, content, links
+        nonlocal skip, content, links, never
         while len(stack) > to:
             name, was = stack.pop()
             opened[-1][name] -= 1
@@ -101,7 +128,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
                 if not skip:
                     seq.append(("/", -1, True))
                 content -= 1
-            skip -= was
+            skip -= was > 0
+            never -= was == NEVER
             links -= name == "a"
 
     at, end = 0, len(page)
@@ -110,6 +138,10 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
         text = page[at : m.start() if m else end]
         if text and not skip:
             parts.append((entities.unescape(text), links > 0))
+        elif text and not never:
+            n = len(text.split())
+            left_out[-1][2] += n
+            left_out[-1][3] |= n > 0 and content > 0
         if not m:
             break
         at = max(m.end(), m.start() + 1)
@@ -135,20 +167,23 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
                 pop(len(stack) - 1)
             if stack and stack[-1][0] in ends:
                 pop(len(stack) - 1)
-            was = _skipped(name, m[3], content > 0)
+            was = 0 if m.start() in frames else _skipped(name, m[3], content > 0)
             if name in SCOPE:
                 opened.append(Counter())
             stack.append((name, was))
             opened[-1][name] += 1
             every[name] += 1
-            skip += was
+            if was > NEVER and not skip:
+                left_out.append([m.start(), was, 0, False])
+            skip += was > 0
+            never += was == NEVER
             if name in CONTENT:
                 if not skip and not content:
                     seq.append(("/", -1, False))
                 content += 1
             links += name == "a"
     flush()
-    return seq, blocks
+    return seq, blocks, [tuple(x) for x in left_out]
 
 
 def count_labelled(page: str) -> tuple[Counter, Counter]:
@@ -214,7 +249,8 @@ def main_text(pages: DataFrame, max_pages: int = MAX_LABELLED) -> DataFrame:
     """Per row of pages: page_id, url, text (main text; empty if none), n_chars (its code points).
 
     Null html is empty. Repeated rows get equal texts; an empty table gives an empty result; broken markup is read as
-    far as it goes. Other columns are ignored.
+    far as it goes; pages of any length are read whole, in time that grows with them. Of regions of equal score the first is taken. Other
+    columns are ignored.
     """
     weight = learn(pages, max_pages)
 

@@ -86,8 +86,31 @@ def test_html_breaks_and_repeats(spark):
     assert got[0] == "" and got[1] == got[2] and got[1].startswith("line one line two three\nword and")
 
 
+ARTICLE = "<h1>The title</h1>" + "".join(f"<p>Paragraph {k} of a text that goes on for some words.</p>" for k in range(5))
+SIDE = '<div class="sidebar"><p>Some other words beside it.</p></div><div id="comments"><article class="comment"><p>Nice text, I liked it a lot, really.</p></article></div>'
+
+
+@pytest.mark.parametrize("frame", ['<div class="wrap has-sidebar">', '<div class="container no-sidebar">', '<section class="related-work">', '<div id="td-search">', "<form>", '<div class="comments-open">', '<form><div class="has-sidebar">', '<div class="header-fixed"><div id="widget-7">'])
+def test_articles_in_frames_are_not_lost(frame):
+    ends = "".join(f"</{x}>" for x in reversed(re.findall(r"<(\w+)", frame)))
+    for mark in ("article", "main"):
+        page = f"<body><nav><a href=/>Home</a></nav>{frame}{SIDE}<{mark}>{ARTICLE}</{mark}>{SIDE}{ends}<footer>end</footer></body>"
+        text = html_extract.extract(page, html_extract.weights(Counter(), Counter()))
+        assert text.startswith("The title\nParagraph 0") and text.count("Paragraph") == 5 and "beside" not in text and "liked" not in text and "Home" not in text
+    if "comments" not in frame:  # without any mark what holds most of the words is the frame
+        text = html_extract.extract(f"<body><nav><a href=/>Home</a></nav>{frame}{ARTICLE}{ends}<footer>end</footer></body>", html_extract.weights(Counter(), Counter()))
+        assert text.count("Paragraph") == 5 and "Home" not in text
+
+
+def test_what_is_beside_an_article_stays_out():
+    page = f"<body><article>{ARTICLE}</article><div class=related><article>{ARTICLE * 3}</article></div><div id=comments>{'<p>Long comments here.</p>' * 60}</div></body>"
+    text = html_extract.extract(page, html_extract.weights(Counter(), Counter()))
+    assert text.count("title") == 1 and "comments" not in text
+    assert html_extract.extract(f"<body><div id=comments>{'<p>Long comments here.</p>' * 60}</div><p>One line.</p></body>", html_extract.weights(Counter(), Counter())) == "One line."
+
+
 def test_html_takes_linear_time():
-    for page in ("<div>" * 40_000 + "</b>" * 40_000, "<b><table>" + "<div>" * 40_000 + "</b>" * 40_000, "<article>" * 3000 + "</b>" * 40_000 + "</main>" * 40_000, "<p>" * 40_000 + "x" + "</span>" * 40_000):
+    for page in ("<div>" * 40_000 + "</b>" * 40_000, "<b><table>" + "<div>" * 40_000 + "</b>" * 40_000, "<article>" * 3000 + "</b>" * 40_000 + "</main>" * 40_000, "<p>" * 40_000 + "x" + "</span>" * 40_000, "<form>" * 20_000 + "<article>x" + "</form>" * 20_000):
         began = time.time()
         html_extract.parse(page)
         assert time.time() - began < 3
