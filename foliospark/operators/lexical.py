@@ -98,18 +98,22 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def _weights(questions: DataFrame, docs: DataFrame) -> tuple[DataFrame, float]:
-    """(qid, term, idf) of terms that some chunk has, and the mean length. docs: an index that is kept."""
+def _weights(questions: DataFrame, docs: DataFrame, stats: tuple[DataFrame, int, float] | None = None) -> tuple[DataFrame, float]:
+    """(qid, term, idf) of terms that some chunk has, and the mean length. docs: an index that is kept; stats: what is known of it."""
     asked = query_terms(questions)
-    total = docs.filter("dl > 0").agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("long")).alias("dl")).first()
-    df = docs.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    return asked.join(df, "term").select("qid", "term", idf(F.lit(total["n"]), F.col("df")).alias("idf")), (total["dl"] / total["n"] if total["n"] else 1.0)
+    if stats is None:
+        total = docs.filter("dl > 0").agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("long")).alias("dl")).first()
+        df = docs.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        stats = df, total["n"], (total["dl"] / total["n"] if total["n"] else 1.0)
+    df, n, avgdl = stats
+    return asked.join(df, "term").select("qid", "term", idf(F.lit(n), F.col("df")).alias("idf")), avgdl
 
 
-def scores(questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT, k: int | None = None) -> DataFrame:
-    """(qid, chunk_id, score) of chunks that share a term with the question: all of them, or with k at least the best k."""
+def scores(questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT, k: int | None = None, stats: tuple[DataFrame, int, float] | None = None) -> DataFrame:
+    """(qid, chunk_id, score) of chunks that share a term with the question: all of them, or with k at least the best k. stats: ((term, df),
+    n, avgdl) of an index, where they are known."""
     docs = keep(chunks)
-    weights, avgdl = _weights(questions, docs)
+    weights, avgdl = _weights(questions, docs, stats)
     weights = kept(weights)
     n_asked = weights.count()
     blocks = max(1, -(-n_asked // ASKED))
@@ -172,9 +176,9 @@ def top(ranked: DataFrame, k: int, by: str = "qid", score: str = "score", tie: s
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, chunks: DataFrame, k: int, conf: EngineConf = DEFAULT) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, k: int, conf: EngineConf = DEFAULT, stats: tuple[DataFrame, int, float] | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): the best k chunks (or rows of an index) of each question."""
-    return top(scores(questions, chunks, conf, k), k)
+    return top(scores(questions, chunks, conf, k, stats), k)
 
 
 def point_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT
 from ..functions import text as tx
 from ..operators import chunking, entities, evidence, fusion, lexical, planning, prep, temporal, understand, vector
+from ..operators import segments
 from ..operators.providers import Policy, reranked_pairs
 from ..operators.spotting import kept, shared_folder, spotted
 from ..sources import files, pdf
@@ -190,6 +191,18 @@ def bm25_topk(s, d):
     return lexical.search(_asked(s, d), _docs(s, d), 16).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {BM25} SELECT qid, chunk_id, score, rank FROM bm WHERE rank <= 16")
+def bm25_maintained(s, d):
+    """As bm25_topk, over an index that got old texts and questions first, then the documents, and lost the questions again."""
+    q, docs = _asked(s, d), _docs(s, d).select("chunk_id", "text")
+    store = segments.Store(s, f"{shared_folder(s).rstrip('/')}/index-{uuid.uuid4().hex}")
+    others = q.select((-F.col("qid") - 1).alias("chunk_id"), "text")
+    store.add(docs.withColumn("text", F.reverse("text")).unionByName(others))
+    store.add(docs)
+    store.delete(others)
+    return _long_rank(store.search(q, 16)).select("qid", "chunk_id", "score", "rank")
+
+
 @query(f"WITH {BM25} SELECT item_id AS qid, doc_id AS chunk_id, coalesce(score, 0) AS score, len(list_intersect(list_distinct({TOK('b.text')}), list_distinct({TOK('d.text')})))::BIGINT AS overlap FROM benchmark b JOIN documents d ON b.item_id = d.doc_id LEFT JOIN sc ON sc.qid = item_id AND sc.chunk_id = doc_id")
 def bm25_point_score(s, d):
     q, c = _asked(s, d), _docs(s, d)
