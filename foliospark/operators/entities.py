@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import CJK, grams, strip
-from .spotting import longest
+from .spotting import longest, spread
 
 #: Words and characters that results depend on.
 STOP = ("什么", "怎么", "为什么", "为何", "哪里", "哪个", "哪些", "是否", "能否", "可以", "一下", "一段", "原文", "内容", "章节", "目录", "作者", "读者", "问题", "回答", "如下", "以上", "如下内容", "原文内容", "要求", "直接", "明确", "无法确定", "无法回答")
@@ -29,16 +34,26 @@ def candidates(text: Column, conf: EngineConf = DEFAULT) -> Column:
 def chunk_terms(chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     """(chunk_id, page_start, term, tf): each chunk's terms of highest (tf, length), ties by first place, per_chunk_keep at most.
 
-    Terms are counted within the row: sorted with their places, equal ones stand side by side. Only what is kept leaves it.
+    Terms are those of candidates(), counted text by text; only what is kept leaves its task.
     """
-    placed = F.sort_array(F.transform(candidates(F.col("text"), conf), lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
-    rows = chunks.select("chunk_id", "page_start", placed.alias("t")).withColumn("n", F.size("t"))
-    first = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("first", first)
-    tf = lambda i, k: F.coalesce(F.get("first", k + 1), F.col("n")) - i
-    counted = F.transform("first", lambda i, k: F.struct((-tf(i, k)).alias("tf"), (-F.length(F.get("t", i)["term"])).alias("n"), F.get("t", i)["at"].alias("at"), F.get("t", i)["term"].alias("term")))
-    best = F.slice(F.sort_array(counted), 1, conf.per_chunk_keep)
-    return rows.select("chunk_id", "page_start", F.explode(best).alias("x")).select("chunk_id", "page_start", "x.term", (-F.col("x.tf")).cast("long").alias("tf"))
+    sizes, keep = range(conf.ngram_min, conf.ngram_max + 1), conf.per_chunk_keep
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms, tfs = [], [], []
+            for k, text in enumerate(b.column("text")):
+                runs = [r for r in re.findall(f"{CJK}+", text.as_py() or "") if len(r) > 1]
+                tf = Counter(r[i : i + n] for n in sizes for r in runs for i in range(len(r) - n + 1))
+                tf.update(re.findall(TITLE.removeprefix("(?U)"), text.as_py() or ""))
+                best = sorted(((t, n) for t, n in tf.items() if t not in STOP), key=lambda x: (-x[1], -len(x[0])))[:keep]
+                rows += [k] * len(best)
+                terms += [t for t, _ in best]
+                tfs += [n for _, n in best]
+            part = [b.column(c).take(pa.array(rows, pa.int64())) for c in ("chunk_id", "page_start")]
+            yield pa.RecordBatch.from_arrays([*part, pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["chunk_id", "page_start", "term", "tf"])
+
+    kinds = dict(chunks.dtypes)
+    return spread(chunks.select("chunk_id", "page_start", "text")).mapInArrow(count, f"chunk_id {kinds['chunk_id']}, page_start {kinds['page_start']}, term string, tf long")
 
 
 def vocabulary(terms: DataFrame, n_chunks: int, conf: EngineConf = DEFAULT) -> DataFrame:

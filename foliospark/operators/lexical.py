@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
-from .spotting import groups, kept, shared_folder
+from .spotting import groups, kept, shared_folder, spread
 
 ASKED = 200_000  # terms of questions that are broadcast at a time, repeats between questions counted
 CELLS = 400_000  # questions times chunks that a task scores together
@@ -33,7 +33,7 @@ def index(chunks: DataFrame) -> DataFrame:
 
     A chunk without tokens has none. An index may stand for chunks wherever they are searched.
     """
-    return chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counted, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, dl int, terms array<string>, tfs array<int>")
+    return spread(chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(_counted, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, dl int, terms array<string>, tfs array<int>")
 
 
 def _tokens(text: str) -> list[str]:

@@ -20,6 +20,7 @@ from .automaton import BYTES_A_CHARACTER, Automaton
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 128 << 20  # of an automaton and what is known of its names, at most about so many
 SEARCHED = 4 << 20  # characters of texts that are searched together
+SPREAD_BYTES = 256 << 20
 RETURNED = 16 << 20  # bytes of rows in a batch that is given back, about
 
 
@@ -47,6 +48,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small by Spark's estimate: a small table in one file would be a single task. Large ones stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 class Names:
     """One shard: an automaton of different names, and the rows that each of them has."""
 
@@ -116,7 +123,7 @@ def spotted(rows: DataFrame, names: DataFrame, name: str = "name", on: tuple[str
                             left = left.append_column(c, right[c])
                         yield from left.combine_chunks().to_batches()
 
-        found = rows.mapInArrow(search, schema)
+        found = spread(rows).mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
