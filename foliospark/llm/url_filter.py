@@ -104,7 +104,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, globs: tuple[str, ...] = GLOBS
     """Per row of pages: page_id, host, path, rule (host + path of the longest that fits, else null), verdict.
 
     Rules of equal length go by the longer host, then block before allow. Null urls and urls without '://' have empty
-    host and path, fit no rule and are allowed. Repeated rows get equal verdicts. Other columns are ignored.
+    host and path, fit no rule and are allowed. Repeated rows get equal verdicts, an empty table gives an empty result, and urls
+    of any length are read whole. Other columns are ignored.
     """
     ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block"))
     patterns = [f"{LEFT}.{h}{p}*" for _, h, p in ranked] + list(globs)

@@ -179,19 +179,36 @@ def test_schedule_against_looking_at_all_shards():
         assert sharding.schedule(items, 7) == naive_schedule(items, 7)
 
 
-def test_sharding_against_scheduling_all_groups(spark, monkeypatch):
-    """With a bundle for each group, shards are those of the plain schedule over all groups."""
+def test_shards_in_closed_form_against_the_heap(monkeypatch):
+    rng = np.random.default_rng(12)
+    for one_by_one in (0, 3, 1000):
+        monkeypatch.setattr(sharding, "ONE_BY_ONE", one_by_one)
+        for _ in range(150):
+            shards = int(rng.integers(1, 9))
+            histogram = [(int(s), int(rng.integers(1, 40))) for s in np.unique(rng.integers(1, rng.choice([5, 60, 900]), 8))]
+            items = [(s, f"{k:05}") for s, n in histogram for k in range(n)]
+            want = naive_schedule([(s, f"{s:09}{k}") for s, k in items], shards)
+            for size, before, loads in sharding.runs(histogram, shards):
+                n = dict(histogram)[size]
+                got = sharding.shards_of(np.array([loads] * n), np.full(n, size), np.arange(n))
+                assert got.tolist() == [want[f"{size:09}{k:05}"] for k in range(n)]
+                assert before == sum(m for s, m in histogram if s > size)
+
+
+@pytest.mark.parametrize("groups", [1_000_000, 10])
+def test_sharding_against_scheduling_all_groups(spark, sf, monkeypatch, groups):
+    """Shards are those of the plain schedule over all groups, whether they are broadcast or joined."""
+    monkeypatch.setattr(sharding, "GROUP_ROWS", groups)
     rng = np.random.default_rng(11)
-    rows = [(k, "x" * int(rng.integers(0, 400)) + str(k // 2)) for k in range(300)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(sharding, "LARGE", 1 << 40)
-    got = sharding.assign(table).join(table, "doc_id").withColumn("name", F.concat_ws(":", F.xxhash64("text"), "text_crc32", "size")).collect()
-    sizes = Counter()
-    for r in got:
-        sizes[r["name"]] += r["size"]
-    want = naive_schedule([(n, name) for name, n in sizes.items()], 16)
-    assert all(r.shard == want[r["name"]] for r in got)
-    assert sorted((r.text, r.shard) for r in sharding.place(table).collect()) == sorted((r.text, r.shard) for r in got)
+    few = spark.createDataFrame([(k, "x" * int(rng.integers(0, 40)) + str(k // 2)) for k in range(900)], "doc_id long, text string")
+    for table in (few, spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")):
+        got = sharding.assign(table).join(table, "doc_id").withColumn("hash", F.xxhash64("text")).collect()
+        sizes = Counter()
+        for r in got:
+            sizes[r["hash"], r.text_crc32, r["size"]] += r["size"]
+        want = naive_schedule([(n, name) for name, n in sizes.items()], 16)
+        assert all(r.shard == want[r["hash"], r.text_crc32, r["size"]] for r in got)
+        assert sorted((r.text, r.shard) for r in sharding.place(table).collect()) == sorted((r.text, r.shard) for r in got)
 
 
 def test_slots_of_equal_rows_are_dealt_out(spark):

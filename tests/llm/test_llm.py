@@ -242,6 +242,14 @@ def test_url_filter(spark):
     assert got[8:] == [(None, "allow"), (None, "allow"), (None, "block"), (None, "block"), ("org/", "allow")]
 
 
+def test_url_filter_on_odd_tables(spark):
+    rows = [(1, "http://x.org/"), (1, "http://x.org/"), (None, None), (3, "http://a.com/de/" + "y" * 50_000), (4, "http://a.com/de")]
+    table = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(7) for c in ("host", "path", "rule", "verdict", "__d")})
+    got = sorted(map(str, ((r.page_id, r.rule, r.verdict, len(r.path)) for r in url_filter.judge(table).collect())))
+    assert got == sorted(map(str, [(1, "org/", "allow", 1), (1, "org/", "allow", 1), (None, None, "allow", 0), (3, "com/de/", "block", 50_004), (4, None, "allow", 3)]))
+    assert url_filter.judge(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
