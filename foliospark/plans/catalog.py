@@ -19,7 +19,7 @@ from ..operators import segments
 from ..operators.providers import Policy, reranked_pairs
 from ..operators.spotting import kept, shared_folder, spotted
 from ..sources import files, pdf
-from ..streaming import ingest
+from ..streaming import ingest, jobs
 from .engine import Engine
 
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz.!?;,", "哈利波特罗恩赫敏邓布多斯内普伏地魔卢平金妮海格穆迪学。！？；，"
@@ -605,6 +605,17 @@ def rerank_stub(s, d):
     return _long_rank(fusion.rerank(hits, fusion.lexical_rerank_scores(pairs), 16)).select("qid", "chunk_id", "score", "rank")
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS mode, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def audit_stream(s, d):
+    """Events as audit records that arrive in files, all of them twice, appended once each and rolled up by day."""
+    folder = f"{shared_folder(s).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    rows = _read(s, d, "events").select("ts", F.col("user_id").cast("string").alias("username"), F.col("event_id").cast("string").alias("query"), F.col("event_type").alias("mode"))
+    for _ in range(2):
+        rows.write.mode("append").json(f"{folder}/in", timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        jobs.audit_once(s, f"{folder}/in", f"{folder}/log", f"{folder}/checkpoint", "400 days").awaitTermination()
+    return jobs.audit_rollup(s, f"{folder}/log")
+
+
 #: As RERANKED, but texts are cut after a sentence, as a provider gets them.
 PROVIDED = RERANKED.replace(TOK("substring(d.text, 1, 800)"), TOK(f"(SELECT {TRUNC.replace('300', '800').replace('180', '480')} FROM (SELECT t, h, coalesce(regexp_extract(h, '(?s)^(.*)[。！？；….!?;\\n]', 1), '') AS k FROM (SELECT t, substring(t, 1, 800) AS h FROM (SELECT {STRIP('replace(d.text, chr(13) || chr(10), chr(10))')} AS t))))"))
 

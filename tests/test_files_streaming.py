@@ -30,3 +30,19 @@ def test_streams_add_each_record_once(spark, tmp_path):
     (src / "3.json").write_text("")
     jobs.audit_log(spark, str(src), str(tmp_path / "audit"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 4
+
+
+def test_records_that_arrive_again_add_nothing(spark, tmp_path):
+    src, sink = tmp_path / "in", str(tmp_path / "log")
+    src.mkdir()
+    line = lambda ts, user, mode: json.dumps({"ts": ts, "username": user, "query": "q", "mode": mode, "chunk_ids": ["p1_c0"]}) + "\n"
+    go = lambda: jobs.audit_once(spark, str(src), sink, str(tmp_path / "cp")).awaitTermination()
+    first = line("2024-01-01T10:00:00Z", "a", "rag") + line("2024-01-01T10:00:00.000001Z", "a", "rag") + line("2024-01-01T11:00:00Z", "b", "rag")
+    (src / "1.json").write_text(first)
+    go()
+    (src / "2.json").write_text(first + line("2024-01-02T09:00:00Z", "a", "retrieve_only") * 2)
+    go()
+    go()
+    rows = spark.read.parquet(sink)
+    assert rows.count() == 4 and rows.columns == ["ts", "username", "query", "mode", "top_k", "chunk_ids", "retrieval"]
+    assert sorted(map(tuple, jobs.audit_rollup(spark, sink).collect())) == [("2024-01-01", "rag", 3, 2), ("2024-01-02", "retrieve_only", 1, 1)]
