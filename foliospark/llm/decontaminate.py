@@ -81,7 +81,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row per document text and item, with the best window: of `compared` words (WINDOW, or all of a shorter item) at
     least SIMILARITY are equal at the same places, all of them if compared is EXACT or less. Null texts and texts and items
     without words hold and are nothing; repeated rows are reported once; null ids are reported as null; an empty benchmark
-    finds nothing. Other columns are ignored.
+    finds nothing, an empty table of documents holds nothing. Texts are read whole, however long; of equally good windows one is reported. Other
+    columns are ignored.
     """
     parts = cut(pieces(benchmark).withColumn("piece", F.monotonically_increasing_id()))
     short = sorted(r[0] for r in parts.filter("n < 5").select("n").distinct().collect())  # of 1 to 4

@@ -267,7 +267,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     every context the probabilities sum to 1 but for what quantising and false probes do to counts, a few percent.
 
     Null and empty texts are an end token alone. Repeated rows get equal scores, and count as often in training as they
-    occur. Null ids count as crc32 0, so they are trained on. An empty table gives an empty result.
+    occur. Null ids count as crc32 0, so they are trained on. An empty table gives an empty result; texts are read whole.
     Other columns are ignored. broadcast_bytes decides how the filter is read, not what it holds.
     """
     spark = docs.sparkSession

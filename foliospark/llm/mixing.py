@@ -99,7 +99,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Null texts have size 0; texts without words are taken 0 times. Rows that share doc_id and source are rounded as one
     and taken equally often; rows without an id are told apart by their text. An empty table gives an empty
-    result. Other columns are ignored. Every draw is a hash of ids, so reruns agree.
+    result. Texts are read whole, however long. Ids are integers. Other columns are ignored. Every draw is a hash of ids, so reruns
+    agree.
     """
     return _mixed(docs.select("doc_id", "source", *_keyed()))
 

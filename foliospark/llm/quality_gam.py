@@ -186,7 +186,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
 
     Null and empty texts are scored like texts without words; repeated rows get equal scores; no labels, or only one
-    kind, give every text the share of label 1. Other columns are ignored. labels.toxic, lang and source play no part.
+    kind, give every text the share of label 1; an empty table gives an empty result; texts are read whole, however long. Ids are integers. Of cuts
+    that are equally good a tree takes the first. Other columns are ignored. labels.toxic, lang and source play no part.
     """
     score = scorer(train(docs, labels, ~is_held_out()))
     out = docs.select("doc_id", is_held_out().alias("held_out"), score("text").alias("score"))

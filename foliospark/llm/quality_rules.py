@@ -118,8 +118,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the
     distances class_distance and word_distance (null where too short to judge).
 
-    Null texts have no words and fail; repeated rows get equal verdicts; an empty table gives an empty result. Other
-    columns are ignored.
+    Null texts have no words and fail; repeated rows get equal verdicts; an empty table gives an empty result; texts are read
+    whole, however long. A distance of just the threshold passes. Other columns are ignored.
 
     word_distance is 1 for a text without any common word of its language, and null for texts of few words and few
     common ones.

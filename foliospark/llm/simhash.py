@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of docs: its id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
     Null and wordless texts have fingerprint zero and link like others. Repeated rows and ids stay as they are. Null ids
-    are kept and never become a component_id, unless a component has no other (then null). Other columns are ignored.
+    are kept and never become a component_id, unless a component has no other (then null). A bit that is set in just half the shingles is 0.
+    Long texts are read whole, in blocks; an empty table gives an empty result. Other columns are ignored.
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
     return rows.join(small(_component_of(rows)), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
