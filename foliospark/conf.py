@@ -1,6 +1,10 @@
 """Settings with their defaults; a real zero is a zero."""
 
-from dataclasses import dataclass
+from __future__ import annotations
+
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -27,7 +31,7 @@ class EngineConf:
     score_delta: float = 0.20
     gap_threshold: float = 0.18
     min_score: float | None = None
-    alpha: float = 0.65
+    alpha: float | None = 0.65
     channel_k: int = 50
     rrf_k0: int = 60
     rerank_candidates: int = 32
@@ -44,4 +48,30 @@ class EngineConf:
     temporal_keep: int = 6
 
 
+PREFIX = "spark.foliospark."
+
+
+def configured(spark, environ: Mapping[str, str] | None = None) -> EngineConf:
+    """Settings of a session: spark.foliospark.<name>, else FOLIOSPARK_<NAME> of the environment, else the default.
+
+    none stands for no value where a setting may have none; what can't be read as its setting's type is an error that names it.
+    """
+    environ, found = os.environ if environ is None else environ, {}
+    for f in fields(EngineConf):
+        text = spark.conf.get(PREFIX + f.name, None) or environ.get(f"FOLIOSPARK_{f.name.upper()}")
+        if text is None:
+            continue
+        kind, text = str(f.type), text.strip()
+        try:
+            if text.lower() == "none" and "None" in kind:
+                found[f.name] = None
+            elif kind == "bool":
+                found[f.name] = {"true": True, "1": True, "false": False, "0": False}[text.lower()]
+            else:
+                found[f.name] = int(text) if kind == "int" else float(text)
+        except (KeyError, ValueError):
+            raise ValueError(f"{f.name} can't be {text!r}: it is {kind}") from None
+    return EngineConf(**found)
+
+
 DEFAULT = EngineConf()

@@ -76,6 +76,16 @@ def guard(pages: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     return got.withColumn("ok", (F.col("nonempty") >= conf.min_nonempty_pages) & (F.col("chars") >= conf.min_total_chars))
 
 
+def required(pages: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
+    """pages, or ValueError if there are none or a book has too little text."""
+    poor = guard(pages, conf).filter(~F.col("ok")).orderBy("book").limit(20).collect()
+    if poor:
+        raise ValueError("too little text: " + ", ".join(f"{r.book} ({r.nonempty} pages, {r.chars} characters)" for r in poor))
+    if pages.isEmpty():
+        raise ValueError("no pages")
+    return pages
+
+
 def merged(pages: DataFrame, most: int = 2, block: int = 1024) -> DataFrame:
     """(book, page_start, page_end, text): a page that doesn't end a sentence joins the next, at most `most` pages together.
 

@@ -23,9 +23,10 @@ class Engine:
     def __init__(self, conf: EngineConf = DEFAULT, embed: Callable[[Column], Column] | None = None, **changes):
         self.conf, self.embed = replace(conf, **changes), embed
 
-    def ingest(self, pages: DataFrame) -> DataFrame:
-        """Chunks of pages (book, page_no, text)."""
+    def ingest(self, pages: DataFrame, strict: bool = False) -> DataFrame:
+        """Chunks of pages (book, page_no, text). strict: an error if a book has too little text that is content."""
         clean = prep.content_pages(prep.blank_before(prep.without_boilerplate(pages), self.conf), self.conf)
+        clean = prep.required(kept(clean), self.conf) if strict else clean
         filled = prep.chapters(prep.merged(clean).withColumnRenamed("page_start", "page_no")).withColumnRenamed("page_no", "page_start")
         return chunking.chunks(filled, self.conf)
 

@@ -23,7 +23,7 @@ def pages_of_text(docs: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of text files (extracted books), one book per file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("book"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("book"), F.col("value").alias("text"))
     return pages_of_text(files)
 
 
@@ -33,6 +33,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.max_by(F.struct("page_start", "page_end", "chapter", "text"), "at").alias("c")).select("chunk_id", "c.*")
 
 
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of several books (book, chunk_id, ...), as write_chunks() writes them; ids are told apart by their book."""
+    rows = spark.read.schema(f"book STRING, {CHUNK}").json(path).filter(F.col("chunk_id").isNotNull())
+    return rows.withColumn("chunk_id", F.concat_ws("/", "book", "chunk_id"))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(QUESTION).json(path)
     return rows.select(F.coalesce("id", F.lit("")).alias("qid"), "question", F.coalesce("gold_chunk_ids", F.expr("cast(array() as array<string>)")).alias("gold"), F.coalesce("k", F.lit(8)).alias("k"), F.coalesce("mode", F.lit("retrieve_only")).alias("mode"))
@@ -42,7 +48,7 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(phrase, ord, entities) from one JSON object of phrase to a list, ord being the place in it; other entries and broken
     files give nothing. planning.targets() takes it as it is."""
     found = F.from_json("value", "map<string,string>")  # values as text, so that an odd one spoils no other
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.coalesce(found, F.expr("map()"))).alias("ord", "phrase", "list"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.coalesce(found, F.expr("map()"))).alias("ord", "phrase", "list"))
     rows = rows.select(strip(F.col("phrase")).alias("phrase"), "ord", F.filter(F.transform(F.from_json("list", "array<string>"), strip), lambda x: x != "").alias("entities"))
     return rows.filter((F.col("phrase") != "") & (F.size("entities") > 0))
 
@@ -57,7 +63,7 @@ def read_entity_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         tables = not spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
         if tables:
             return spark.read.parquet(f"{path}/names"), spark.read.parquet(f"{path}/postings")
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None

@@ -12,10 +12,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"question": "x"}\n')
     r = files.read_questions(spark, str(tmp_path / "q.json")).first()
     assert (r.qid, r.gold, r.k, r.mode) == ("", [], 8, "retrieve_only")
-    (tmp_path / "a.json").write_text(json.dumps({" 甲 ": ["乙", ""], "x": []}, ensure_ascii=False))
+    (tmp_path / "a.json").write_text(json.dumps({" 甲 ": ["乙", ""], "x": []}, ensure_ascii=False, indent=2))
     assert [(r.phrase, r.entities) for r in files.read_aliases(spark, str(tmp_path / "a.json")).collect()] == [("甲", ["乙"])]
-    (tmp_path / "book.txt").write_text("one\ftwo\f")
-    assert [(r.page_no, r.text) for r in files.read_pages(spark, str(tmp_path / "book.txt")).orderBy("page_no").collect()] == [(1, "one"), (2, "two")]
+    (tmp_path / "book.txt").write_text("one\nmore\ftwo\f")
+    assert [(r.page_no, r.text) for r in files.read_pages(spark, str(tmp_path / "book.txt")).orderBy("page_no").collect()] == [(1, "one\nmore"), (2, "two")]
 
 
 def test_streams_add_each_record_once(spark, tmp_path):

@@ -94,7 +94,7 @@ def test_stored_index(spark, tmp_path):
         "entity_to_chunks": {"马尔": [{"chunk_id": "p1_c0", "tf": 4, "page_start": 1}, 7, {"tf": 1}, {"chunk_id": "p2_c0", "tf": 1, "page_start": 2}], "出现了": [{"chunk_id": "p3_c0", "tf": 2}], "福伊": [{"chunk_id": "p9_c0", "tf": 1}], "x": "no list"},
     }
     path = str(tmp_path / "index.json")
-    (tmp_path / "index.json").write_text(json.dumps(whole, ensure_ascii=False))
+    (tmp_path / "index.json").write_text(json.dumps(whole, ensure_ascii=False, indent=2))
     names, postings = files.read_entity_index(spark, path)
     assert sorted(map(tuple, names.collect()), key=str) == [("的人", 1, None), ("马尔", 2, 1.5)]
     rows = sorted(map(tuple, postings.collect()))
