@@ -253,7 +253,8 @@ def test_url_filter_on_odd_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    for t in ("pages", "documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     want = con.sql(queries.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
