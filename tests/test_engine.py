@@ -181,7 +181,7 @@ def test_answers(spark):
 
     got = {r.qid: (r.answer, r.way) for r in Engine().answer(asked, table, provider, names=names).collect()}
     assert got[2] == ("今天晴。", "provider") and got[4][1] == "snippets"
-    assert seen[2] == "[来源1]（页码 6-7）：\n金妮笑了。" and seen[0].startswith("[来源1]（页码 5，一）：")
+    assert seen[2] == "[来源1]（页码 6-7）：\n金妮笑了。" and set(seen) == {2, 4}  # what has an answer by rule isn't asked
 
 
 def test_bridge_and_clean_style(spark):
