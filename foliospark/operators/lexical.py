@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
-from .spotting import groups, kept, shared_folder, spread
+from .spotting import kept, pieces, shared_folder, spread
 
 ASKED = 200_000  # terms of questions that are broadcast at a time, repeats between questions counted
 CELLS = 400_000  # questions times chunks that a task scores together
+ENTRIES = 1_000_000  # shared terms of questions and chunks that a task adds up together, a chunk's at least
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -45,9 +46,8 @@ def _tokens(text: str) -> list[str]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column("text").to_pylist()
-        for low, high in groups(texts):
-            found = [_tokens(t) for t in texts[low:high]]
+        for piece in pieces(b):
+            found = [_tokens(t or "") for t in piece.column("text").to_pylist()]
             dl = np.array([len(x) for x in found], np.int64)
             number: dict[str, int] = defaultdict()
             number.default_factory = number.__len__
@@ -60,7 +60,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, term = np.divmod(both, max(1, len(names)))
             ends = pa.array(np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32))
             terms = pa.array(names[order], pa.string()).take(pa.array(term))
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id").slice(low, high - low), pa.array(dl.astype(np.int32)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], ["chunk_id", "dl", "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([piece.column("chunk_id"), pa.array(dl.astype(np.int32)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], ["chunk_id", "dl", "terms", "tfs"])
 
 
 def keep(chunks: DataFrame, path: str | None = None) -> DataFrame:
@@ -151,9 +151,16 @@ def _scorer(docs: DataFrame, asked: pa.Table, avgdl: float, conf: EngineConf, k:
                 dl = rb.column("dl").to_numpy(zero_copy_only=False)[chunk]
                 w = tf * (conf.k1 + 1) / (tf + conf.k1 * (1 - conf.b + conf.b * dl / avgdl))
                 times = starts[term + 1] - starts[term]
-                every = np.repeat(np.arange(len(term)), times)
-                entry = starts[term][every] + np.arange(len(every)) - np.repeat(np.cumsum(times) - times, times)
-                s = np.bincount(who[entry] * n + chunk[every], idfs[entry] * w[every], len(qids) * n).reshape(len(qids), n)
+                upto = np.append(0, np.cumsum(np.bincount(chunk, times, n)))
+                s, low = np.empty((len(qids), n)), 0
+                while low < n:  # a chunk's terms stay together
+                    high = max(low + 1, int(np.searchsorted(upto, upto[low] + ENTRIES, side="right")) - 1)
+                    own = slice(*np.searchsorted(chunk, (low, high)))
+                    every = np.repeat(np.arange(own.start, own.stop), times[own])
+                    first = np.cumsum(times[own]) - times[own]
+                    entry = starts[term][every] + np.arange(len(every)) - np.repeat(first, times[own])
+                    s[:, low:high] = np.bincount(who[entry] * (high - low) + chunk[every] - low, idfs[entry] * w[every], len(qids) * (high - low)).reshape(len(qids), high - low)
+                    low = high
                 q, c = np.nonzero(s > 0) if k is None else _best(s, k)
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), rb.column("chunk_id").take(pa.array(c)), pa.array(s[q, c])], names=["qid", "chunk_id", "score"])
 

@@ -18,7 +18,7 @@ TOC_WORD = "目录"
 TOC_LINE = r"(?U)\s[0-9]{1,4}\s*$"
 TOC_HEADING = r"(?U)^(第[0-9一二三四五六七八九十百千]+[章節章节篇]|第[一二三四五六七八九十百千]+部)\b"
 FRONT_WORDS = ("制作说明", "画廊", "封面", "作者简介", "统一书号", "ISBN", "排版", "字体", "请访问", "Pottermore", "版权", "出品")
-CHAPTERS = (r"(?m)(第[0-9一二三四五六七八九十百千]+[章節章节篇][^\n]{0,40})", r"(?m)(^[0-9]+\s*[.、]\s*[^\n]{1,60})", r"(?m)(^[一二三四五六七八九十]+[、.]\s*[^\n]{1,60})")
+CHAPTERS = (r"(?md)(第[0-9一二三四五六七八九十百千]+[章節章节篇][^\n]{0,40})", r"(?md)(^[0-9]+\s*[.、]\s*[^\n]{1,60})", r"(?md)(^[一二三四五六七八九十]+[、.]\s*[^\n]{1,60})")
 NOT_CHAPTERS = ("制作说明", "画廊", "封面", "作者简介", "ISBN", "排版", "字体", "请访问", "Pottermore", "目录")
 ENDS = r"(?U)[。！？；:：…]\s*$"
 
@@ -116,16 +116,16 @@ def merged(pages: DataFrame, most: int = 2, block: int = 1024) -> DataFrame:
     return rows.groupBy("book", "group").agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), joined.alias("text")).drop("group")
 
 
-def chapter_of(text: Column) -> Column:
-    """The first heading in the first forty lines; null without one, or if it is no chapter's."""
+def chapter_of(text: Column, patterns: tuple[str, ...] = CHAPTERS) -> Column:
+    """The first heading in the first forty lines, of the first of the patterns that has one; null without one, or if it is no chapter's."""
     head = F.array_join(F.slice(F.split(strip(text), "\n"), 1, 40), "\n")
-    found = F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in CHAPTERS])
+    found = F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in patterns])
     return F.when(~found.rlike("|".join(NOT_CHAPTERS)), strip(found))
 
 
-def chapters(pages: DataFrame, block: int = 1024) -> DataFrame:
+def chapters(pages: DataFrame, block: int = 1024, patterns: tuple[str, ...] = CHAPTERS) -> DataFrame:
     """pages with chapter: the page's own, or that of the nearest page before it; '' before the first."""
-    rows = pages.withColumn("__own", chapter_of(F.col("text"))).withColumn("__block", F.floor(F.col("page_no") / block))
+    rows = pages.withColumn("__own", chapter_of(F.col("text"), patterns)).withColumn("__block", F.floor(F.col("page_no") / block))
     inside = Window.partitionBy("book", "__block").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__here", F.last("__own", ignorenulls=True).over(inside))
     ends = rows.groupBy("book", "__block").agg(F.max_by("__own", F.when(F.col("__own").isNotNull(), F.col("page_no"))).alias("end"))

@@ -7,19 +7,20 @@ matches, in a shuffle only where several shards have to agree on the longest nam
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .automaton import BYTES_A_CHARACTER, Automaton
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 128 << 20  # of an automaton and what is known of its names, at most about so many
-SEARCHED = 4 << 20  # characters of texts that are searched together
+SEARCHED = 1 << 20  # characters of texts that are worked on together
 SPREAD_BYTES = 256 << 20
 RETURNED = 16 << 20  # bytes of rows in a batch that is given back, about
 
@@ -69,65 +70,112 @@ class Names:
 
     def pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, row): the rows of the names that each text holds, each once."""
-        text, _, name = self.automaton.find(texts)
-        both = np.unique(text * max(1, len(self.counts)) + name)
-        text, name = np.divmod(both, max(1, len(self.counts)))
+        text, name = self.automaton.held(texts)
+        which, row = self.rows_of(name)
+        return text[which], row
+
+    def rows_of(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in name, row): the rows of each of these names."""
         n = self.counts[name]
-        return np.repeat(text, n), np.repeat(self.begins[name], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(name)), n), np.repeat(self.begins[name], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _shards(names: DataFrame, name: str) -> Iterator[DataFrame]:
-    """Parts of names, each of bounded bytes; names must be kept."""
+def _shards(names: DataFrame, name: str, by: tuple[str, ...] = ()) -> Iterator[DataFrame]:
+    """Parts of names, each of bounded bytes; names must be kept. Rows that agree in the columns `by` stay together."""
     size = F.octet_length(F.to_json(F.struct(*names.columns))) + BYTES_A_CHARACTER * F.length(name)
     n = -(-(names.agg(F.sum(size.cast("long"))).first()[0] or 0) // BROADCAST_BYTES)
     for k in range(max(1, n)):
-        yield names.filter(F.pmod(F.xxhash64(*names.columns), F.lit(n)) == k) if n > 1 else names
+        yield names.filter(F.pmod(F.xxhash64(*(by or names.columns)), F.lit(n)) == k) if n > 1 else names
 
 
-def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that are searched together."""
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= SEARCHED or k == len(texts) - 1:
-            yield begin, k + 1
-            begin, size = k + 1, 0
+def pieces(b: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about SEARCHED characters together, at least a row each: what is made of texts in a
+    worker is bounded by this, not by the rows of a batch."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < b.num_rows:
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + SEARCHED, side="right")))
+        yield b.slice(begin, end - begin)
+        begin = end
 
 
-def spotted(rows: DataFrame, names: DataFrame, name: str = "name", on: tuple[str, ...] = ()) -> DataFrame:
-    """rows (text, ...) with each row of names (name, ...) whose name their text contains, and that agrees in the columns `on`.
+def searched(rows: DataFrame, names: DataFrame, schema: StructType, give: Callable[[pa.Table, list[str], Names], Iterator[pa.Table]], name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+    """What give() makes of parts of rows (text, ...), their texts and a shard of names (name, ...): a map over rows for each shard.
 
-    A map over rows, whatever the number of names. Empty names stand nowhere; null texts hold nothing.
+    Empty names are left out; null texts are empty. Rows of names that agree in the columns `by` are in one shard.
     """
     usable = kept(names.filter(F.length(name) > 0))
-    spark, more = rows.sparkSession, [c for c in usable.columns if c not in on]
-    schema = StructType([*rows.schema.fields, *(usable.schema[c] for c in more)])
     out = None
-    for shard in _shards(usable, name):
-        known = spark.sparkContext.broadcast(Names(shard.toArrow(), name))
+    for shard in _shards(usable, name, by):
+        known = rows.sparkSession.sparkContext.broadcast(Names(shard.toArrow(), name))
 
         def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                for low, high in groups(texts):
-                    text, row = known.value.pairs(texts[low:high])
-                    part = pa.Table.from_batches([b.slice(low, high - low)])
-                    for c in on:  # nulls agree with nothing
-                        same = part[c].to_numpy(zero_copy_only=False)[text] == known.value.rows[c].to_numpy(zero_copy_only=False)[row]
-                        valid = part[c].is_valid().to_numpy()[text] & known.value.rows[c].is_valid().to_numpy()[row]
-                        text, row = text[same & valid], row[same & valid]
-                    step = max(1, int(RETURNED * len(part) // max(1, part.nbytes)))
-                    for k in range(0, len(text), step):
-                        left, right = part.take(pa.array(text[k : k + step])), known.value.rows.take(pa.array(row[k : k + step]))
-                        for c in more:
-                            left = left.append_column(c, right[c])
-                        yield from left.combine_chunks().to_batches()
+                for piece in pieces(b):
+                    for t in give(pa.Table.from_batches([piece]), [x or "" for x in piece.column("text").to_pylist()], known.value):
+                        yield from t.combine_chunks().to_batches()
 
         found = spread(rows).mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def agreeing(part: pa.Table, names: pa.Table, text: np.ndarray, row: np.ndarray, on: tuple[str, ...]) -> np.ndarray:
+    """Whether rows of part and of names agree in the columns `on`; nulls agree with nothing."""
+    out = np.ones(len(text), bool)
+    for c in on:
+        same = part[c].to_numpy()[text] == names[c].to_numpy()[row]
+        out &= same & part[c].is_valid().to_numpy()[text] & names[c].is_valid().to_numpy()[row]
+    return out
+
+
+def spotted(rows: DataFrame, names: DataFrame, name: str = "name", on: tuple[str, ...] = (), carry: tuple[str, ...] | None = None) -> DataFrame:
+    """rows (text, ...) with each row of names (name, ...) whose name their text contains, and that agrees in the columns `on`.
+
+    A map over rows, whatever the number of names. Empty names stand nowhere; null texts hold nothing. carry: the columns of rows
+    that come out (all, unless given); a text that comes out is written once for every name that it holds.
+    """
+    carry = tuple(rows.columns) if carry is None else carry
+    more = [c for c in names.columns if c not in on]
+    schema = StructType([*(rows.schema[c] for c in carry), *(names.schema[c] for c in more)])
+
+    def give(part: pa.Table, texts: list[str], known: Names) -> Iterator[pa.Table]:
+        text, row = known.pairs(texts)
+        if on:
+            fits = agreeing(part, known.rows, text, row, on)
+            text, row = text[fits], row[fits]
+        part = part.select(list(carry))
+        step = max(1, int(RETURNED * len(part) // max(1, part.nbytes)))
+        for k in range(0, len(text), step):
+            left, right = part.take(pa.array(text[k : k + step])), known.rows.take(pa.array(row[k : k + step]))
+            for c in more:
+                left = left.append_column(c, right[c])
+            yield left
+
+    return searched(rows, names, schema, give, name)
+
+
+def tallied(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, n_chunks, first): of each of the names (name) that stand in some of rows (chunk_id, text), in how many, and the
+    smallest chunk_id. Tasks count before anything leaves them."""
+    schema = StructType([names.schema["name"], StructField("n_chunks", LongType()), StructField("first", rows.schema["chunk_id"].dataType)])
+
+    def give(part: pa.Table, texts: list[str], known: Names) -> Iterator[pa.Table]:
+        text, name = known.automaton.held(texts)
+        order = pc.sort_indices(part["chunk_id"]).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        least = np.full(len(known.counts), len(order))
+        np.minimum.at(least, name, place[text])
+        n = np.bincount(name, minlength=len(known.counts))
+        some = np.flatnonzero(n)
+        yield pa.table([known.rows["name"].take(pa.array(known.begins[some])), pa.array(n[some]), part["chunk_id"].take(pa.array(order[least[some]]))], ["name", "n_chunks", "first"])
+
+    found = searched(rows.select("chunk_id", "text"), names.select("name").distinct(), schema, give)
+    return found.groupBy("name").agg(F.sum("n_chunks").alias("n_chunks"), F.min("first").alias("first"))
+
+
 def longest(rows: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """(qid, name, at) for rows (qid, text): the longest of the names (name) at each place, from the left, each after the end of
     the one before, `most` a text; at counts characters from 1."""
@@ -141,15 +189,16 @@ def longest(rows: DataFrame, names: DataFrame, most: int) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts, words = [t or "" for t in b.column("text").to_pylist()], known.value.rows["name"].to_pylist()
-                for low, high in groups(texts):
+                words = known.value.rows["name"]
+                for piece in pieces(b):
+                    texts = [t or "" for t in piece.column("text").to_pylist()]
                     if alone:
-                        hits = known.value.automaton.longest_first(texts[low:high], most)
+                        hits = known.value.automaton.longest_first(texts, most)
+                        text, start, name = (np.array(x, np.int64) for x in (zip(*hits) if hits else ((), (), ())))
                     else:  # other shards may have longer names, so none is taken yet
-                        hits = list(zip(*(x.tolist() for x in known.value.automaton.find(texts[low:high]))))
-                    text, start, name = zip(*hits) if hits else ((), (), ())
-                    qids = b.column("qid").slice(low, high - low).take(pa.array(text, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([qids, pa.array([words[k] for k in name], pa.string()), pa.array([s + 1 for s in start], pa.int32())], ["qid", "name", "at"])
+                        text, start, name = known.value.automaton.find(texts)
+                    row = pa.array(known.value.begins[name])
+                    yield pa.RecordBatch.from_arrays([piece.column("qid").take(pa.array(text)), words.take(row).combine_chunks(), pa.array((start + 1).astype(np.int32))], ["qid", "name", "at"])
 
         found.append(asked.mapInArrow(search, kind))
     if alone:
