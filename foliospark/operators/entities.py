@@ -6,13 +6,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import CJK, grams, strip
-from .spotting import longest, spread
+from .automaton import points
+from .spotting import longest, pieces, spread
 
 #: Words and characters that results depend on.
 STOP = ("什么", "怎么", "为什么", "为何", "哪里", "哪个", "哪些", "是否", "能否", "可以", "一下", "一段", "原文", "内容", "章节", "目录", "作者", "读者", "问题", "回答", "如下", "以上", "如下内容", "原文内容", "要求", "直接", "明确", "无法确定", "无法回答")
@@ -31,6 +33,41 @@ def candidates(text: Column, conf: EngineConf = DEFAULT) -> Column:
     return F.filter(F.concat(cjk, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TITLE), F.lit(0))), lambda t: ~t.isin(*STOP))
 
 
+def frequent(text: str, sizes: range, keep: int) -> list[tuple[str, int]]:
+    """(term, tf): the terms of candidates() of highest (tf, length) in a text, ties by first place, `keep` at most.
+
+    Grams are numbers: one of n characters is that of its first n - 1 and a character more. Sorted with their places behind them, they
+    give counts and first places at once, and only those that are kept become strings.
+    """
+    chars = points(text).astype(np.int64)
+    han = np.concatenate([[False], (chars >= 0x4E00) & (chars <= 0x9FFF), [False]])
+    fits = han[1:-1] & (han[:-2] | han[2:])  # a run of one character has no grams
+    bits = max(1, len(text).bit_length())
+    mask, gram, found = (1 << bits) - 1, np.zeros(len(chars), np.int64), [np.zeros(0, np.int64)]
+    for n in range(1, max(sizes) + 1):
+        fits = fits & han[1:-1] if n == 1 else fits[:-1] & han[n:-1]
+        place = np.flatnonzero(fits)
+        code = (gram[place] << 15) + chars[place + n - 1] - 0x4E00
+        if bits <= 24:
+            both = np.sort(code << bits | place)
+            code, place = both >> bits, both & mask
+        else:
+            order = np.argsort(code, kind="stable")
+            code, place = code[order], place[order]
+        new = np.append(True, code[1:] != code[:-1])[: len(code)]
+        gram[place] = np.cumsum(new) - 1
+        if n in sizes:
+            begin = np.flatnonzero(new)
+            found.append((np.diff(np.append(begin, len(code))) << 6 | n) << bits | mask - place[begin])
+    best, most = np.concatenate(found), keep + len(STOP)
+    best = np.sort(np.partition(best, -most)[-most:] if len(best) > most else best)[::-1]
+    place, size, tf = (mask - (best & mask)).tolist(), (best >> bits & 63).tolist(), (best >> bits + 6).tolist()
+    terms = [(text[p : p + n], k) for p, n, k in zip(place, size, tf)]
+    if ((chars >= 65) & (chars <= 90)).any():
+        terms = sorted(terms + list(Counter(re.findall(TITLE.removeprefix("(?U)"), text)).items()), key=lambda x: (-x[1], -len(x[0])))
+    return [x for x in terms if x[0] not in STOP][:keep]
+
+
 def chunk_terms(chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     """(chunk_id, page_start, term, tf): each chunk's terms of highest (tf, length), ties by first place, per_chunk_keep at most.
 
@@ -40,17 +77,11 @@ def chunk_terms(chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, terms, tfs = [], [], []
-            for k, text in enumerate(b.column("text")):
-                runs = [r for r in re.findall(f"{CJK}+", text.as_py() or "") if len(r) > 1]
-                tf = Counter(r[i : i + n] for n in sizes for r in runs for i in range(len(r) - n + 1))
-                tf.update(re.findall(TITLE.removeprefix("(?U)"), text.as_py() or ""))
-                best = sorted(((t, n) for t, n in tf.items() if t not in STOP), key=lambda x: (-x[1], -len(x[0])))[:keep]
-                rows += [k] * len(best)
-                terms += [t for t, _ in best]
-                tfs += [n for _, n in best]
-            part = [b.column(c).take(pa.array(rows, pa.int64())) for c in ("chunk_id", "page_start")]
-            yield pa.RecordBatch.from_arrays([*part, pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["chunk_id", "page_start", "term", "tf"])
+            for piece in pieces(b):
+                best = [frequent(t or "", sizes, keep) for t in piece.column("text").to_pylist()]
+                rows = np.repeat(np.arange(len(best)), [len(x) for x in best])
+                part = [piece.column(c).take(pa.array(rows)) for c in ("chunk_id", "page_start")]
+                yield pa.RecordBatch.from_arrays([*part, pa.array([t for x in best for t, _ in x], pa.string()), pa.array([n for x in best for _, n in x], pa.int64())], ["chunk_id", "page_start", "term", "tf"])
 
     kinds = dict(chunks.dtypes)
     return spread(chunks.select("chunk_id", "page_start", "text")).mapInArrow(count, f"chunk_id {kinds['chunk_id']}, page_start {kinds['page_start']}, term string, tf long")
