@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql
-from foliospark.operators import automaton, entities, lexical, spotting, temporal
+from foliospark.operators import automaton, chunking, entities, evidence, lexical, spotting, temporal
 from foliospark.plans import catalog
 
 
@@ -99,3 +100,37 @@ def test_parts_of_batches_are_bounded(monkeypatch):
     got = [p.column("text").to_pylist() for p in spotting.pieces(b)]
     assert sum(got, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10 for p in got)
     assert [r.num_rows for r in lexical._counted([b])] == [len(p) for p in got]
+
+
+def test_shared_terms_are_added_in_bounded_parts(spark, monkeypatch):
+    """Scores are the same, whatever number of shared terms is added up together."""
+    rng = random.Random(5)
+    chunks = spark.createDataFrame([(k, " ".join(rng.choices("abcdef", k=rng.choice([0, 4, 30])))) for k in range(60)], "chunk_id int, text string").coalesce(1)
+    asked = spark.createDataFrame([(k, " ".join(rng.choices("abcdefg", k=4))) for k in range(9)], "qid int, text string")
+    want = sorted(tuple(r) for r in lexical.search(asked, chunks, 5).collect())
+    sizes, plain = [], lexical.np.bincount
+    monkeypatch.setattr(lexical, "ENTRIES", 20)
+    assert sorted(tuple(r) for r in lexical.search(asked, chunks, 5).collect()) == want
+
+    docs = lexical.index(chunks)
+    weights, avgdl = lexical._weights(asked, docs)
+    score = lexical._scorer(docs, weights.orderBy("term", "qid").toArrow(), avgdl, lexical.DEFAULT, 5)
+    monkeypatch.setattr(lexical.np, "bincount", lambda x, *a: (sizes.append(len(x)) if a and a[0].dtype == float else None, plain(x, *a))[1])
+    list(score(iter(docs.toArrow().combine_chunks().to_batches())))
+    assert len(sizes) > 10 and max(sizes) <= 54  # a chunk's own at least: 9 questions, 6 terms
+
+
+def test_chunks_of_parts_of_batches(spark, monkeypatch):
+    monkeypatch.setattr(spotting, "SEARCHED", 500)
+    rng = random.Random(2)
+    texts = [None, ""] + [" ".join(rng.choices(["哈利。 ", "一段很长的文字，", "words and words", "\n"], k=rng.choice([3, 90, 400]))) for _ in range(30)]
+    pages = spark.createDataFrame([("b", k + 1, k + 1, "c", t) for k, t in enumerate(texts)], "book string, page_start int, page_end int, chapter string, text string").coalesce(1)
+    got = chunking.chunks(pages)
+    want = [("b", k + 1, k + 1, "c", i, x, f"p{k + 1}_c{i}") for k, t in enumerate(texts) for i, x in enumerate(chunking.split_text(t)) if len(x) >= 120]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and mapped(got)
+
+
+def test_sentences_without_words_about_sources_stay(spark):
+    rows = [("根据原文，哈利赢了。 天气很好。\n根据天气，不定。",), ("简短总结：原文没有提到。书中说好。",), (None,), (" 无 \n 事 ",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(evidence.clean_style(F.col("t"))).collect()]
+    assert got == ["哈利赢了。天气很好。根据天气，不定。", "简短总结：原文没有提到。说好。", "", "无事"]
