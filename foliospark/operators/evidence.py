@@ -79,7 +79,9 @@ def clean_style(text: Column) -> Column:
     def one(s: Column) -> Column:
         bare = strip(F.regexp_replace(strip(F.regexp_replace(s, META_PREFIX, "")), META_CLAUSE, ""))
         only_meta = s.rlike(META_CLAUSE) & (F.length(strip(F.regexp_replace(s, META_CLAUSE, ""))) <= 2)
-        return F.when(s.rlike("|".join(KEPT_LABELS)), s).when(~only_meta, F.when(bare.rlike("|".join(META_WORDS)), strip(without(bare))).otherwise(bare))
+        # every pattern needs one of the words, so a sentence without them stays as it is
+        plain = ~s.rlike("|".join(META_WORDS)) | s.rlike("|".join(KEPT_LABELS))
+        return F.when(plain, s).when(~only_meta, F.when(bare.rlike("|".join(META_WORDS)), strip(without(bare))).otherwise(bare))
 
     parts = F.transform(F.split(strip(text), r"(?<=[。！？\n])"), strip)
     kept = F.filter(F.transform(parts, one), lambda s: s.isNotNull() & (s != ""))
