@@ -59,13 +59,13 @@ def frequent(text: str, sizes: range, keep: int) -> list[tuple[str, int]]:
         if n in sizes:
             begin = np.flatnonzero(new)
             found.append((np.diff(np.append(begin, len(code))) << 6 | n) << bits | mask - place[begin])
-    best, most = np.concatenate(found), keep + len(STOP)
+    stop, best, most = frozenset(STOP), np.concatenate(found), keep + len(STOP)
     best = np.sort(np.partition(best, -most)[-most:] if len(best) > most else best)[::-1]
     place, size, tf = (mask - (best & mask)).tolist(), (best >> bits & 63).tolist(), (best >> bits + 6).tolist()
     terms = [(text[p : p + n], k) for p, n, k in zip(place, size, tf)]
     if ((chars >= 65) & (chars <= 90)).any():
         terms = sorted(terms + list(Counter(re.findall(TITLE.removeprefix("(?U)"), text)).items()), key=lambda x: (-x[1], -len(x[0])))
-    return [x for x in terms if x[0] not in STOP][:keep]
+    return [x for x in terms if x[0] not in stop][:keep]
 
 
 def chunk_terms(chunks: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
