@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql
 from foliospark.operators import automaton, chunking, entities, evidence, lexical, spotting, temporal
+from foliospark.operators.providers import Policy
 from foliospark.plans import catalog
+from foliospark.sources import pdf
+from foliospark.streaming import ingest
 
 
 def mapped(df):
@@ -134,3 +137,31 @@ def test_sentences_without_words_about_sources_stay(spark):
     rows = [("根据原文，哈利赢了。 天气很好。\n根据天气，不定。",), ("简短总结：原文没有提到。书中说好。",), (None,), (" 无 \n 事 ",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(evidence.clean_style(F.col("t"))).collect()]
     assert got == ["哈利赢了。天气很好。根据天气，不定。", "简短总结：原文没有提到。说好。", "", "无事"]
+
+
+def test_pdf_marks_and_fonts_against_plain_reading():
+    rng = random.Random(1)
+    for _ in range(5000):
+        data = b"".join(rng.choices([b"1", b"23", b" ", b"\n", b"obj", b"0", b"endobj", b"x", b"1" * 40, b" " * 40, b"5 0 obj"], k=rng.choice([3, 8, 14])))
+        assert list(pdf._marks(data)) == [(int(m[1]), m.start()) for m in re.finditer(rb"(?<![0-9])(\d+)\s+\d+\s+obj\b", data)]
+    table, lengths = pdf.to_unicode(b"begincodespacerange <0000> <ffff> endcodespacerange 3 beginbfrange <0010> <0013> <0041> <0020> <0021> <d7ff> <0030> <002f> <0041> endbfrange")
+    assert lengths == {2} and table == {b"\0\x10": "A", b"\0\x11": "B", b"\0\x12": "C", b"\0\x13": "D", b"\0\x20": "\ud7ff", b"\0\x21": "�"}
+    font = pdf.Font.__new__(pdf.Font)
+    font.table, font.lengths, font.wide = {b"\0A": "x", b"\0B": "yz", b"A": "no"}, [2], None
+    assert font.text(b"\0A\0B\0C") == "xyz�" and font.text(b"\0AA") == "xno" and font.text(b"") == ""
+
+
+def test_units_are_written_in_slices(spark, tmp_path):
+    table = spark.createDataFrame([(f"text {k}",) for k in range(200)], "text string")
+    got = ingest.embed_new(table, str(tmp_path), lambda rows: [[1.0] for _ in rows], "m", 1, Policy(batch=50), unit_rows=100)
+    assert (got["total"], got["embedded"], got["units"]) == (200, 200, 2)
+    files = [f.parent.name for f in (tmp_path / "todo").rglob("*.parquet")]
+    assert min(Counter(files).values()) > 1  # a unit was one task's before
+
+
+def test_wanted_values_are_broadcast(spark):
+    texts = spark.createDataFrame([("q", 1, "甲的乙是丙。甲的丁是戊。"), ("r", 1, "甲的乙是己。")], "qid string, no int, text string")
+    wanted = spark.createDataFrame([("q", "甲", "乙"), ("q", "甲", "丁"), ("s", "甲", "乙")], "qid string, target string, field string")
+    got = evidence.structured(texts, wanted)
+    assert sorted(tuple(r) for r in got.collect()) == [("q", "甲", "丁", "戊"), ("q", "甲", "乙", "丙")]
+    assert "ResolvedHint" in got._jdf.queryExecution().analyzed().toString() or "broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
