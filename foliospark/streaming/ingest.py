@@ -24,6 +24,7 @@ VECTORS = "digest STRING, model STRING, vec ARRAY<FLOAT>"
 FAILED = "digest STRING, model STRING, status STRING, attempts INT, run STRING"
 RUNS = "run STRING, model STRING, unit INT, units INT, embedded LONG, failed LONG, reused LONG, total LONG, done BOOLEAN, updated_at DOUBLE"
 UNIT_ROWS = 200_000  # texts embedded between two commits, about
+SLICES = 16  # of a unit, each written by one task
 
 
 def digest(text: str = "text"):
@@ -73,7 +74,8 @@ def embed_new(chunks: DataFrame, store: str, call: Callable[[list[dict]], list],
     _log(spark, store, run, model, units=units, reused=total - left, total=total, done=not units)
     if units > 1:  # each unit reads its own files
         path = f"{store}/todo/{run}"
-        todo.withColumn("unit", F.pmod(F.crc32("digest"), F.lit(units)).cast("int")).repartition("unit").write.partitionBy("unit").parquet(path)
+        cut = F.pmod(F.crc32(F.reverse("digest")), F.lit(SLICES)).alias("cut")  # a task writes a slice of a unit, not all of it
+        todo.withColumn("unit", F.pmod(F.crc32("digest"), F.lit(units)).cast("int")).repartition(units * SLICES, "unit", cut).write.partitionBy("unit").parquet(path)
     fits = lambda v: None if len(v) == dims else "bad_dims"
     tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, -(-left // (policy.batch * max(1, units)))))
     numbers = lambda rows: [None if v is None else [float(x) for x in v] for v in call(rows)]
