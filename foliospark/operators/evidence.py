@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import sentences, strip, truncate
 from . import understand
-from .spotting import kept
+from .spotting import kept, small
 from .understand import keywords
 
 #: Patterns that results depend on.
@@ -108,9 +108,11 @@ def value_of(sentence: Column, target: Column, field: Column) -> Column:
 def structured(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     """(qid, target, field, value): the first sentence of a question's evidence (qid, no, text) that gives a wanted value."""
     s = evidence.select("qid", "no", F.posexplode(sentences(F.col("text"))).alias("i", "s"))
-    rows = s.join(wanted, "qid").filter(F.contains("s", "target") & F.contains("s", "field"))
-    rows = rows.withColumn("value", value_of(F.col("s"), F.col("target"), F.col("field"))).filter("value <> ''")
-    return rows.groupBy("qid", "target", "field").agg(F.min_by("value", F.struct("no", "i")).alias("value"))
+    rows = s.join(small(kept(wanted)), "qid").filter(F.contains("s", "target") & F.contains("s", "field"))
+    # no filter on value: it would go below the join, and every value would be worked out twice
+    rows = rows.withColumn("value", value_of(F.col("s"), F.col("target"), F.col("field")))
+    first = F.min_by("value", F.when(F.col("value") != "", F.struct("no", "i"))).alias("value")
+    return rows.groupBy("qid", "target", "field").agg(first).filter("value is not null")
 
 
 def filled(values: DataFrame, planned: DataFrame, missing: str | None = None) -> DataFrame:
