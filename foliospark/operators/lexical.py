@@ -9,9 +9,7 @@ tasks, not with questions times chunks.
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
+from .automaton import points
 from .spotting import kept, pieces, shared_folder, spread
 
 ASKED = 200_000  # terms of questions that are broadcast at a time, repeats between questions counted
@@ -37,29 +36,47 @@ def index(chunks: DataFrame) -> DataFrame:
     return spread(chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(_counted, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, dl int, terms array<string>, tfs array<int>")
 
 
-def _tokens(text: str) -> list[str]:
-    """As functions.text.tokens has them."""
-    pairs = [x for run in re.findall("[一-鿿]+", text) for x in (map("".join, zip(run, run[1:])) if len(run) > 1 else (run,))]
-    words = re.findall("[A-Za-z0-9]+", text)
-    return pairs + (" ".join(words).lower().split(" ") if words else [])
+#: The lower-case form of an ASCII letter or digit by code point, 0 for everything else.
+LOWER = np.array([ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 0 for c in range(129)], np.uint8)
+
+
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, name, names): the tokens that functions.text.tokens has in texts, as places in names, which are different and in order.
+
+    Words and pairs are cut and numbered in arrays; only different ones become strings.
+    """
+    chars = points("\n".join(texts))
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
+    low = LOWER[np.minimum(chars, 128)]
+    place = np.flatnonzero(low)
+    first = np.flatnonzero(np.diff(place, prepend=-2) > 1)
+    ends = pa.py_buffer(np.append(first, len(place)).astype(np.int32))
+    words = pa.StringArray.from_buffers(len(first), ends, pa.py_buffer(low[place])).dictionary_encode()
+    order = pc.sort_indices(words.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+
+    han = np.flatnonzero((chars >= 0x4E00) & (chars <= 0x9FFF))
+    goes_on = np.diff(han, prepend=-2) == 1
+    paired = np.append(goes_on[1:], False)[: len(han)]
+    code = chars[han].astype(np.int64) - 0x4E00
+    code = code << 15 | np.where(paired, np.append(code[1:], 0)[: len(han)] + 1, 0)
+    used = paired | ~goes_on  # of a run, all but the last; one that is alone as it is
+    codes, pair = np.unique(code[used], return_inverse=True)
+    pairs = [chr(0x4E00 + (c >> 15)) + (chr(0x4DFF + (c & 0x7FFF)) if c & 0x7FFF else "") for c in codes.tolist()]
+    names = pa.concat_arrays([words.dictionary.take(order), pa.array(pairs, pa.string())])
+    return np.concatenate([text[place[first]], text[han[used]]]), np.concatenate([rank[words.indices.to_numpy()], len(order) + pair]), names
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for piece in pieces(b):
-            found = [_tokens(t or "") for t in piece.column("text").to_pylist()]
-            dl = np.array([len(x) for x in found], np.int64)
-            number: dict[str, int] = defaultdict()
-            number.default_factory = number.__len__
-            code = np.fromiter((number[t] for x in found for t in x), np.int64, int(dl.sum()))
-            names = np.array(list(number), object)
-            order = np.argsort(names) if len(names) else np.zeros(0, np.int64)
-            rank = np.empty(len(names), np.int64)
-            rank[order] = np.arange(len(names))
-            both, n = np.unique(np.repeat(np.arange(len(found)), dl) * max(1, len(names)) + (rank[code] if len(names) else code), return_counts=True)
+            row, name, names = _cut([t or "" for t in piece.column("text").to_pylist()])
+            dl = np.bincount(row, minlength=piece.num_rows)
+            both, n = np.unique(row * np.int64(max(1, len(names))) + name, return_counts=True)
             row, term = np.divmod(both, max(1, len(names)))
-            ends = pa.array(np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32))
-            terms = pa.array(names[order], pa.string()).take(pa.array(term))
+            ends = pa.array(np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32))
+            terms = names.take(pa.array(term))
             yield pa.RecordBatch.from_arrays([piece.column("chunk_id"), pa.array(dl.astype(np.int32)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], ["chunk_id", "dl", "terms", "tfs"])
 
 
@@ -85,6 +102,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return rows.select("x.terms", "chunk_id", F.col("x.tfs").cast("long").alias("tf"), "dl").withColumnRenamed("terms", "term")
 
 
+def frequencies(chunks: DataFrame) -> DataFrame:
+    """(term, df): in how many chunks each term stands."""
+    return _indexed(chunks).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def corpus(chunks: DataFrame) -> DataFrame:
     """One row (n, avgdl) over chunks that have tokens."""
     return _indexed(chunks).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
