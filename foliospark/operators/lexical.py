@@ -4,7 +4,7 @@ Chunks are read as a forward index: per chunk its length and the counts of its t
 shuffled for it. Texts are cut into terms once: an index is written before it is searched, and one that is kept (keep) serves
 any number of searches. Statistics and scoring then read its columns: questions are broadcast block by block, every task scores its
 chunks against all questions of the block and passes on its best k a question, so what is shuffled grows with questions and
-tasks, not with questions times chunks.
+tasks, not with questions times chunks. Terms that many questions and chunks have are multiplied as a matrix, the others go by lists.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
 from .automaton import points
-from .spotting import kept, pieces, shared_folder, spread
-
-ASKED = 200_000  # terms of questions that are broadcast at a time, repeats between questions counted
-CELLS = 400_000  # questions times chunks that a task scores together
+from .spotting import BROADCAST_ROWS, kept, pieces, shared_folder, spread
+
+ASKED = 1_000_000  # terms of questions that are broadcast at a time, repeats between questions counted
+CELLS = 1_000_000  # questions times chunks that a task scores together
+ROWS = 1_000  # chunks that a task scores together at most
+COMMON = 1_024  # terms at most whose weights are multiplied as a matrix
+COMMON_SHARE = 0.002  # of questions times chunks have a term: above it a matrix is faster than lists
+LEAST_ASKED = 64  # questions from which on a matrix is used
 ENTRIES = 1_000_000  # shared terms of questions and chunks that a task adds up together, a chunk's at least
 
 
@@ -125,7 +129,10 @@ def _weights(questions: DataFrame, docs: DataFrame, stats: tuple[DataFrame, int,
     asked = query_terms(questions)
     if stats is None:
         total = docs.filter("dl > 0").agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("long")).alias("dl")).first()
-        df = docs.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        wanted = kept(asked.select("term").distinct())
+        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # else all terms are counted: counts are shuffled, not the terms of all chunks
+        rows = docs.select(F.explode("terms").alias("term"))
+        df = (rows.join(F.broadcast(wanted), "term", "left_semi") if few else rows).groupBy("term").agg(F.count("*").alias("df"))
         stats = df, total["n"], (total["dl"] / total["n"] if total["n"] else 1.0)
     df, n, avgdl = stats
     return asked.join(df, "term").select("qid", "term", idf(F.lit(n), F.col("df")).alias("idf")), avgdl
@@ -148,20 +155,35 @@ def scores(questions: DataFrame, chunks: DataFrame, conf: EngineConf = DEFAULT,
     return out.select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _common(times: np.ndarray, idfs: np.ndarray, n_asked: int) -> np.ndarray:
+    """Places of terms that most questions and chunks share, by their number of questions and their idf."""
+    share = times / max(1, n_asked) * np.exp(-idfs)  # exp(-idf) is about the share of chunks
+    most = np.argsort(-share, kind="stable")[:COMMON]
+    return most[share[most] > COMMON_SHARE] if n_asked >= LEAST_ASKED else most[:0]
+
+
 def _scorer(docs: DataFrame, asked: pa.Table, avgdl: float, conf: EngineConf, k: int | None):
     """A function over batches of the index, for a block of weights sorted by term."""
     asked = asked.combine_chunks()
     qids = asked["qid"].unique()
-    who = pc.index_in(asked["qid"], value_set=qids).to_numpy().astype(np.int64)
-    terms = asked["term"].unique()
+    who = pc.index_in(asked["qid"], value_set=qids).to_numpy().astype(np.int32)
+    terms, idfs = asked["term"].unique(), asked["idf"].to_numpy()
     starts = np.searchsorted(pc.index_in(asked["term"], value_set=terms).to_numpy(), np.arange(len(terms) + 1))
-    held = docs.sparkSession.sparkContext.broadcast((qids, terms, who, asked["idf"].to_numpy(), starts))
+    common = _common(np.diff(starts), idfs[starts[:-1]], len(qids))
+    held = docs.sparkSession.sparkContext.broadcast((qids, terms, who, idfs, starts, common))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, terms, who, idfs, starts = held.value
-        step = max(1, CELLS // max(1, len(qids)))
+        qids, terms, who, idfs, starts, common = held.value
+        if not len(qids):
+            return
+        step, best = max(1, min(ROWS, CELLS // len(qids))), None if k is None else Best(len(qids), k)
+        column = np.full(len(terms) + 1, -1)  # the last: of no term
+        column[common] = np.arange(len(common))
+        matrix = np.zeros((len(common), len(qids)))
+        for j, t in enumerate(common):
+            matrix[j, who[starts[t] : starts[t + 1]]] = idfs[starts[t] : starts[t + 1]]
         for whole in batches:
-            for at in range(0, whole.num_rows if len(qids) else 0, step):
+            for at in range(0, whole.num_rows, step):
                 rb = whole.slice(at, step)
                 order = pc.sort_indices(rb.column("chunk_id"))  # ties go by the chunk
                 rb = pa.RecordBatch.from_arrays([c.take(order) for c in rb.columns], names=rb.schema.names)
@@ -172,30 +194,81 @@ def _scorer(docs: DataFrame, asked: pa.Table, avgdl: float, conf: EngineConf, k:
                 chunk, term, tf = chunk[has], term[has], rb.column("tfs").flatten().to_numpy(zero_copy_only=False)[has].astype(float)
                 dl = rb.column("dl").to_numpy(zero_copy_only=False)[chunk]
                 w = tf * (conf.k1 + 1) / (tf + conf.k1 * (1 - conf.b + conf.b * dl / avgdl))
+                place = column[term]
+                often = place >= 0
+                shared = np.zeros((n, len(common)))
+                shared[chunk[often], place[often]] = w[often]
+                s = shared @ matrix  # a chunk's scores lie together
+                chunk, term, w = chunk[~often], term[~often], w[~often]
                 times = starts[term + 1] - starts[term]
                 upto = np.append(0, np.cumsum(np.bincount(chunk, times, n)))
-                s, low = np.empty((len(qids), n)), 0
+                low = 0
                 while low < n:  # a chunk's terms stay together
                     high = max(low + 1, int(np.searchsorted(upto, upto[low] + ENTRIES, side="right")) - 1)
                     own = slice(*np.searchsorted(chunk, (low, high)))
-                    every = np.repeat(np.arange(own.start, own.stop), times[own])
-                    first = np.cumsum(times[own]) - times[own]
-                    entry = starts[term][every] + np.arange(len(every)) - np.repeat(first, times[own])
-                    s[:, low:high] = np.bincount(who[entry] * (high - low) + chunk[every] - low, idfs[entry] * w[every], len(qids) * (high - low)).reshape(len(qids), high - low)
+                    entry = np.arange(int(times[own].sum())) + np.repeat(starts[term[own]] - np.cumsum(times[own]) + times[own], times[own])
+                    cell = who[entry] + np.repeat((chunk[own] - low) * len(qids), times[own])
+                    s[low:high] += np.bincount(cell, idfs[entry] * np.repeat(w[own], times[own]), len(qids) * (high - low)).reshape(high - low, len(qids))
                     low = high
-                q, c = np.nonzero(s > 0) if k is None else _best(s, k)
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), rb.column("chunk_id").take(pa.array(c)), pa.array(s[q, c])], names=["qid", "chunk_id", "score"])
+                if best is None:
+                    c, q = np.nonzero(s > 0)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), rb.column("chunk_id").take(pa.array(c)), pa.array(s[c, q])], names=["qid", "chunk_id", "score"])
+                else:
+                    best.add(s, rb.column("chunk_id"))
+        if best is not None and best.rows():
+            q, score, ids = best.rows()
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids, pa.array(score)], names=["qid", "chunk_id", "score"])
 
     return score
 
 
-def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the k highest positive scores of each row, rounded as they are ranked; of equal ones those that come first."""
+class Best:
+    """The k rows of highest positive score of each of n questions among all that were added, rounded as they are ranked; of equal
+    ones those of the smallest ids. What is held is bounded by questions times k."""
+
+    def __init__(self, n: int, k: int, least: float = 0.0):
+        self.n, self.k, self.floor = n, k, least
+        self.least = np.full(n, least)  # what a score must have to be among the best, rounding left out
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.held = self.kept = 0
+
+    def add(self, s: np.ndarray, ids: pa.Array) -> None:
+        """s: scores of rows that have these ids, in order, with all questions."""
+        cell = np.flatnonzero((s >= self.least) & (s > self.floor))
+        c, q = np.divmod(cell, self.n) if len(cell) <= self.n * self.k else _best(s.T, self.k, self.floor)[::-1]
+        self.parts.append((q.astype(np.int32), s[c, q], ids.take(pa.array(c))))
+        self.held += len(q)
+        if self.held > self.kept + self.n * self.k:
+            self._cut()
+
+    def _cut(self) -> None:
+        q, s = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        ids = pa.concat_arrays([p[2] for p in self.parts])
+        order = pc.sort_indices(pa.table({"q": q, "r": -np.round(s, 6), "id": ids}), sort_keys=[("q", "ascending"), ("r", "ascending"), ("id", "ascending")]).to_numpy()
+        begin = np.searchsorted(q[order], np.arange(self.n + 1))
+        n = np.diff(begin)
+        order = order[np.arange(len(q)) - np.repeat(begin[:-1], n) < self.k]
+        q, s = q[order], s[order]
+        n = np.minimum(n, self.k)
+        full = np.flatnonzero(n == self.k)
+        self.least[full] = np.round(s[np.cumsum(n)[full] - 1], 6) - 1e-6
+        self.parts, self.held, self.kept = [(q, s, ids.take(pa.array(order)))], len(q), len(q)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+        """(question, score, id) of what is best, question by question."""
+        if not self.parts:
+            return None
+        self._cut()
+        return self.parts[0]
+
+
+def _best(s: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k highest scores above floor of each row, rounded as they are ranked; of equal ones those that come first."""
     if s.shape[1] <= k:
-        return np.nonzero(s > 0)
-    r = np.where(s > 0, np.round(s, 6), -1.0)
+        return np.nonzero(s > floor)
+    r = np.where(s > floor, np.round(s, 6), -np.inf)
     least = np.partition(r, -k, 1)[:, -k][:, None]
-    above, equal = r > least, (r == least) & (r >= 0)
+    above, equal = r > least, (r == least) & (r > -np.inf)
     return np.nonzero(above | equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))
 
 

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import top
+from .lexical import CELLS, Best, top
 
 BLOCK = 4096  # query vectors that are broadcast at a time
 
@@ -31,7 +32,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): the k nearest of vectors (chunk_id, vec) for each of queries (qid, vec); with ids of the same
     integer type, itself left out.
 
-    Blocks of queries are broadcast; each task multiplies them with its rows and passes on its best k (and equals).
+    Blocks of queries are broadcast; each task multiplies them with its rows and passes on its best k.
     """
     spark, n = vectors.sparkSession, queries.count()
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
@@ -47,16 +48,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, q = held.value
+            found, step = Best(len(ids), k, -np.inf), max(1, CELLS // max(1, len(ids)))
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
+                pdf = pdf.sort_values("chunk_id")  # ties go by the chunk
                 c, v = ids_of(pdf["chunk_id"], kinds[1]), np.array(pdf["vec"].tolist(), float)
-                s = np.round(q @ (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)).T, 6)
-                if same:
-                    s[ids[:, None] == c[None, :]] = -np.inf
-                least = np.partition(s, -min(k, s.shape[1]), 1)[:, -min(k, s.shape[1])]
-                i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                yield pd.DataFrame({"qid": ids[i], "chunk_id": c[j], "score": s[i, j]})
+                v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-12
+                for at in range(0, len(c), step):
+                    s = np.round(v[at : at + step] @ q.T, 6)
+                    if same:
+                        s[c[at : at + step, None] == ids] = -np.inf
+                    found.add(s, pa.array(c[at : at + step]))
+            if found.rows():
+                i, s, c = found.rows()
+                yield pd.DataFrame({"qid": ids[i], "chunk_id": c.to_numpy(zero_copy_only=False), "score": s})
 
         found = vectors.select("chunk_id", "vec").mapInPandas(best, f"qid {kinds[0]}, chunk_id {kinds[1]}, score double")
         out = found if out is None else out.unionByName(found)
