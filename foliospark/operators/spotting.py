@@ -7,6 +7,7 @@ matches, in a shuffle only where several shards have to agree on the longest nam
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet under the shared folder and read from there: for what is large and read several times, a few columns each."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it is small by Spark's estimate: a small table in one file would be a single task. Large ones stay as they are."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
