@@ -97,12 +97,12 @@ def vocabulary(terms: DataFrame, n_chunks: int, conf: EngineConf = DEFAULT) -> D
 def index(terms: DataFrame, names: DataFrame, conf: EngineConf = DEFAULT) -> DataFrame:
     """(name, chunk_id, page_start, tf, pos): the earliest chunks of a name first, then those of highest tf, max_postings at most."""
     rows = terms.withColumnRenamed("term", "name").join(names.select("name"), "name", "left_semi")
-    early = F.row_number().over(Window.partitionBy("name").orderBy("page_start", "chunk_id"))
-    dense = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("tf"), "page_start", "chunk_id"))
-    rows = rows.withColumn("e", early).withColumn("d", dense)
-    order = F.when(F.col("e") <= conf.keep_earliest, F.col("e")).otherwise(F.lit(conf.keep_earliest) + F.col("d"))
-    pos = F.row_number().over(Window.partitionBy("name").orderBy("o"))
-    return rows.withColumn("o", order).withColumn("pos", pos).filter(F.col("pos") <= conf.max_postings).drop("e", "d", "o")
+    rows = rows.withColumn("h", F.xxhash64("name"))  # rows are sorted by numbers first: names begin alike
+    early = F.row_number().over(Window.partitionBy("h", "name").orderBy("page_start", "chunk_id"))
+    rows = rows.withColumn("e", early).withColumn("late", F.col("e") > conf.keep_earliest)
+    dense = F.row_number().over(Window.partitionBy("h", "name", "late").orderBy(F.desc("tf"), "page_start", "chunk_id"))
+    pos = F.when(F.col("late"), F.lit(conf.keep_earliest) + dense).otherwise(F.col("e"))
+    return rows.withColumn("pos", pos).filter(F.col("pos") <= conf.max_postings).drop("h", "e", "late")
 
 
 def reasonable(t: Column) -> Column:

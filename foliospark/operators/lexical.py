@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
 from .automaton import points
-from .spotting import BROADCAST_ROWS, kept, pieces, shared_folder, spread
+from .spotting import BROADCAST_ROWS, kept, pieces, shared_folder, small, spread
 
 ASKED = 1_000_000  # terms of questions that are broadcast at a time, repeats between questions counted
 CELLS = 1_000_000  # questions times chunks that a task scores together
@@ -287,7 +287,7 @@ def point_scores(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, conf
     """pairs (qid, chunk_id) with their score, 0 without a shared term. Terms of the pairs alone are joined."""
     docs = keep(chunks)
     weights, avgdl = _weights(questions, docs)
-    rows = pairs.select("qid", "chunk_id").distinct().join(docs, "chunk_id").select("qid", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    rows = small(kept(pairs.select("qid", "chunk_id").distinct())).join(docs, "chunk_id").select("qid", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
     tf = F.col("x.tfs")
     w = F.col("idf") * tf * (conf.k1 + 1) / (tf + conf.k1 * (1 - conf.b + conf.b * F.col("dl") / avgdl))
     rows = rows.withColumn("term", F.col("x.terms")).join(weights, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.round(F.sum(w), 6).alias("score"))

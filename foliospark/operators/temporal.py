@@ -140,9 +140,9 @@ def first_appearance(asked: DataFrame, chunks: DataFrame) -> DataFrame:
 def around(anchors: DataFrame, chunks: DataFrame, keep: int = DEFAULT.temporal_keep, reach: int = 24, page_reach: int = 3) -> DataFrame:
     """(qid, book, doc_ord, rank): chunks about an anchor, of its chapter and near its page, in document order, the first
     `keep` of them. Anchors are joined with the places around them, not with books."""
-    a = anchors.join(chunks.select("book", "doc_ord", "page_start", "page_end", "chapter"), ["book", "doc_ord"])
+    a = small(kept(anchors)).join(chunks.select("book", "doc_ord", "page_start", "page_end", "chapter"), ["book", "doc_ord"])
     a = a.select("qid", "book", F.explode(F.sequence(F.col("doc_ord") - reach, F.col("doc_ord") + reach - 1)).alias("doc_ord"), F.col("page_start").alias("a_page"), F.col("page_end").alias("a_end"), F.coalesce("chapter", F.lit("")).alias("a_chapter"))
-    rows = chunks.select("book", "doc_ord", "page_start", F.coalesce("chapter", F.lit("")).alias("chapter")).join(a, ["book", "doc_ord"])
+    rows = chunks.select("book", "doc_ord", "page_start", F.coalesce("chapter", F.lit("")).alias("chapter")).join(small(kept(a)), ["book", "doc_ord"])
     same = (F.col("chapter") == F.col("a_chapter")) | (F.col("chapter") == "") | (F.col("a_chapter") == "")
     low, high = F.when(F.col("a_page") > 0, F.col("a_page") - page_reach).otherwise(1), F.when(F.col("a_end") > 0, F.col("a_end") + 2)
     near = F.coalesce(F.col("page_start") <= 0, F.lit(True)) | (F.col("page_start") >= low) & (high.isNull() | (F.col("page_start") <= high))

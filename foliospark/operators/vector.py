@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import CELLS, Best, top
+from .lexical import CELLS, Best, _cut, top
+from .spotting import pieces
 
 BLOCK = 4096  # query vectors that are broadcast at a time
 
@@ -78,8 +79,63 @@ def point_scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> Da
 
 
 def hashed_embedding(text: Column, d: int = 64) -> Column:
-    """A deterministic stand-in for a remote embedding: signed counts of hashed tokens."""
-    from ..functions.text import tokens
+    """A deterministic stand-in for a remote embedding: signed counts of hashed tokens.
 
-    t = F.transform(tokens(text), lambda x: F.xxhash64(x))
-    return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate(t, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(d)) == i, F.when(F.pmod(F.shiftright(h, 8), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
+    Texts are cut into tokens in arrays, once a text, and each different token of a part of texts is hashed once, as Spark's xxhash64 does.
+    """
+
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        out = [np.zeros((0, d))]
+        for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"])):
+            row, name, names = _cut([t or "" for t in piece.column(0).to_pylist()])
+            h = xxhash64(names)
+            cell = row * np.int64(d) + (h % d)[name]
+            out.append(np.bincount(cell, np.where(h >> 8 & 1, -1.0, 1.0)[name], piece.num_rows * d).reshape(-1, d))
+        vectors = np.concatenate(out)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * np.int32(d)), pa.array(vectors.ravel()))
+
+    return embed(text)
+
+
+def xxhash64(names: pa.Array) -> np.ndarray:
+    """Spark's xxhash64 of strings: XXH64 of their bytes, with 42 as its seed. Strings advance together, a word at a time."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    mixed = lambda h, x: turned(h + x * p2, 31) * p1
+    data = pa.concat_arrays([names.cast(pa.large_binary())])
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    size, at = np.diff(ends), ends[:-1].copy()
+    raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] else np.zeros(0, np.uint8)
+    raw = np.append(raw, np.zeros(8, np.uint8))
+    read = lambda at, kind: raw[at[:, None] + np.arange(np.dtype(kind).itemsize)].view(kind)[:, 0].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        seed, h = np.uint64(42), np.full(len(size), np.uint64(42) + p5)
+        left = np.flatnonzero(size >= 32)
+        if len(left):
+            lanes, long = [np.full(len(size), x) for x in (seed + p1 + p2, seed + p2, seed, seed - p1)], left
+            while len(left):
+                for k, lane in enumerate(lanes):
+                    lane[left] = mixed(lane[left], read(at[left] + 8 * k, "<u8"))
+                at[left] += 32
+                left = left[ends[1:][left] - at[left] >= 32]
+            h[long] = sum(turned(lane[long], n) for lane, n in zip(lanes, (1, 7, 12, 18)))
+            for lane in lanes:
+                h[long] = (h[long] ^ mixed(np.uint64(0), lane[long])) * p1 + p4
+        h += size.astype(np.uint64)
+        left = np.flatnonzero(ends[1:] - at >= 8)
+        while len(left):
+            h[left] = turned(h[left] ^ mixed(np.uint64(0), read(at[left], "<u8")), 27) * p1 + p4
+            at[left] += 8
+            left = left[ends[1:][left] - at[left] >= 8]
+        left = np.flatnonzero(ends[1:] - at >= 4)
+        h[left] = turned(h[left] ^ read(at[left], "<u4") * p1, 23) * p2 + p3
+        at[left] += 4
+        left = np.flatnonzero(ends[1:] > at)
+        while len(left):
+            h[left] = turned(h[left] ^ raw[at[left]].astype(np.uint64) * p5, 11) * p1
+            at[left] += 1
+            left = left[ends[1:][left] > at[left]]
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return (h ^ h >> np.uint64(32)).view(np.int64)

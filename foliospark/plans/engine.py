@@ -44,9 +44,10 @@ class Engine:
         channel = max(k, c.channel_k)
         if vectors is None or self.embed is None:
             return back(lexical.search(own, chunks, k, c)), None
-        near = vector.search(vectors, own.select("qid", self.embed(F.col("text")).alias("vec")), channel if c.alpha is not None else k)
+        own = kept(own.withColumn("vec", self.embed(F.col("text"))))
+        near = kept(vector.search(vectors, own.select("qid", "vec"), channel if c.alpha is not None else k))  # once, for both that follow
         original = back(near).filter("sub_no = 0").drop("sub_no")
-        original = kept(original)
+        own = own.drop("vec")
         return back(near if c.alpha is None else fusion.hybrid(near, lexical.search(own, chunks, channel, c), k, c)), original
 
     def retrieve(
@@ -90,7 +91,8 @@ class Engine:
             some = recalled.select("qid").distinct().withColumn("named", F.lit(True))
             ranked = fusion.with_entities(ranked.join(some, "qid", "left_semi"), recalled, c).withColumn("single", F.lit(False)).unionByName(ranked.join(some, "qid", "left_anti"))
         ranked = ranked.withColumn("mode", mode).drop("single")
-        hits = kept(ranked.join(chunks, "chunk_id").withColumn("text_snippet", snippet(F.col("text"))))
+        # few rows meet the chunks where these are: no text is shuffled for them
+        hits = kept(small(kept(ranked)).join(chunks, "chunk_id").withColumn("text_snippet", snippet(F.col("text"))))
         late = temporal.named(planned.filter("temporal").select("qid", "text"), names)
         timely = None
         if "doc_ord" in chunks.columns:
@@ -119,7 +121,7 @@ class Engine:
         # the earliest book counts where there are several
         one = anchors.groupBy("qid").agg(F.min(F.struct("book", "doc_ord")).alias("a")).select("qid", "a.*")
         near = temporal.around(one, chunks, min(self.conf.top_k, self.conf.temporal_keep))
-        hits = near.join(chunks, ["book", "doc_ord"]).join(asked.select("qid", F.concat("name", F.lit("="), "alias").alias("alias_hint")), "qid")
+        hits = small(kept(near)).join(chunks, ["book", "doc_ord"]).join(asked.select("qid", F.concat("name", F.lit("="), "alias").alias("alias_hint")), "qid")
         return kept(hits.withColumns({"score": F.lit(0.0), "cutoff": F.lit(None).cast("double"), "strategy": F.lit("temporal_first_mention_scan"), "text_snippet": snippet(F.col("text"))}))
 
     def _gated(self, planned: DataFrame, found: DataFrame, original: DataFrame, chunks: DataFrame, min_overlap: int, most: float) -> DataFrame:
