@@ -58,9 +58,18 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it is small by Spark's estimate: a small table in one file would be a single task. Large ones stay as they are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    """df over all cores if it is small by Spark's estimate: a small table in one file would be a single task. Large ones stay as they are, and
+    so do columns and rows of files that are as many as cores."""
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SPREAD_BYTES and not _in_files(df, cores) else df
+
+
+def _in_files(df: DataFrame, n: int) -> bool:
+    """Whether df is columns and rows of n files or more, read where they are."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" and len(df.inputFiles()) >= n
 
 
 class Names:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.conf import EngineConf
 from foliospark.functions.text import tokens
-from foliospark.operators import automaton, entities, vector
+from foliospark.operators import automaton, entities, spotting, vector
 from foliospark.plans.engine import Engine
 
 
@@ -77,3 +77,15 @@ def test_postings_against_sorting(spark):
         want |= {(name, r[0], r[1], r[3], k) for k, r in enumerate(own[:13], 1)}
     got = entities.index(spark.createDataFrame(rows, "chunk_id long, page_start int, term string, tf long"), names, conf)
     assert {tuple(r[c] for c in ("name", "chunk_id", "page_start", "tf", "pos")) for r in got.collect()} == want
+
+
+def test_texts_of_many_files_stay_where_they_are(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(40).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    moved = lambda df: "Repartition" in spotting.spread(df)._jdf.queryExecution().optimizedPlan().toString()
+    for n in (1, cores):
+        rows.repartition(n).write.parquet(f"{tmp_path}/{n}")
+    few, many = (spark.read.parquet(f"{tmp_path}/{n}") for n in (1, cores))
+    assert moved(few) and not moved(many.filter("id > 3").select(F.upper("text").alias("text")))
+    assert moved(many.groupBy("id").agg(F.max("text").alias("text"))) and moved(rows)
+    assert sorted(spotting.spread(many).collect()) == sorted(rows.collect())
