@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..conf import DEFAULT, EngineConf
 from ..functions.text import tokens
 from .automaton import points
-from .spotting import BROADCAST_ROWS, kept, pieces, shared_folder, small, spread
+from .spotting import BROADCAST_ROWS, bounded_batches, kept, pieces, shared_folder, small, spread
 
 ASKED = 1_000_000  # terms of questions that are broadcast at a time, repeats between questions counted
 CELLS = 1_000_000  # questions times chunks that a task scores together
@@ -92,7 +92,8 @@ def keep(chunks: DataFrame, path: str | None = None) -> DataFrame:
     if "tfs" in chunks.columns:
         return chunks
     path = path or f"{shared_folder(chunks.sparkSession).rstrip('/')}/bm25-{uuid.uuid4().hex}"
-    index(chunks).write.mode("overwrite").parquet(path)
+    with bounded_batches(chunks.sparkSession):
+        index(chunks).write.mode("overwrite").parquet(path)
     return chunks.sparkSession.read.parquet(path)
 
 

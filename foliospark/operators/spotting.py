@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ BROADCAST_BYTES = 128 << 20  # of an automaton and what is known of its names, a
 SEARCHED = 1 << 20  # characters of texts that are worked on together
 SPREAD_BYTES = 256 << 20
 RETURNED = 16 << 20  # bytes of rows in a batch that is given back, about
+RECEIVED = 16 << 20  # bytes of rows in a batch that a worker gets, in steps that are run at once: it and the JVM hold some of them at a time
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -44,16 +47,31 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, workers get batches of RECEIVED bytes, unless the session has a bound of its own."""
+    own = spark.conf.get(BATCH_BYTES, None) is not None
+    if not own:
+        spark.conf.set(BATCH_BYTES, str(RECEIVED))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(BATCH_BYTES)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder: what follows neither recomputes it nor carries its plan."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with bounded_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df, written once as Parquet under the shared folder and read from there: for what is large and read several times, a few columns each."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -89,3 +89,12 @@ def test_texts_of_many_files_stay_where_they_are(spark, tmp_path):
     assert moved(few) and not moved(many.filter("id > 3").select(F.upper("text").alias("text")))
     assert moved(many.groupBy("id").agg(F.max("text").alias("text"))) and moved(rows)
     assert sorted(spotting.spread(many).collect()) == sorted(rows.collect())
+
+
+def test_workers_get_bounded_batches(spark, monkeypatch):
+    """Steps that are run at once hand texts to workers in batches of bounded bytes; the session is as it was afterwards."""
+    monkeypatch.setattr(spotting, "RECEIVED", 4_000)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    counted = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100).alias("text")).mapInArrow(sizes, "n long")
+    assert max(r.n for r in spotting.kept(counted).collect()) < 100 and max(r.n for r in spotting.written(counted).collect()) < 100
+    assert [r.n for r in counted.collect()] == [400]
